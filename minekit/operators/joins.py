@@ -13,29 +13,23 @@ from pyspark.sql.window import Window
 
 from minekit.functions.geo import EARTH_KM, haversine_km, unit_vector
 from minekit.functions.text import typo_match
-from minekit.scale import settle, tile_join
+from minekit.scale import enrich, settle, tile_join
 
 
 def lookup_join(df: DataFrame, dim: DataFrame, on: Sequence[str], validate: str | None = "m:1") -> DataFrame:
-    """Left equi-join; with ``m:1`` a repeated dimension key fails the job instead of adding rows.
-
-    The check rides on the aggregate that reduces the dimension to one row per key.
-    """
-    if validate == "m:1":
-        rest = [c for c in dim.columns if c not in on]
-        once = dim.groupBy(*on).agg(
-            F.count("*").alias("__n"), *[F.first(c).alias(c) for c in rest]
-        )
-        message = F.concat(F.lit("repeated lookup key "), F.to_json(F.struct(*on)))
-        dim = once.where(F.when(F.col("__n") > 1, F.raise_error(message).cast("boolean")).otherwise(True))
-        dim = dim.drop("__n")
-    return df.join(dim, list(on), "left")
+    """Left equi-join; with ``m:1`` a repeated dimension key fails the job instead of adding rows."""
+    joined = df.join(dim, list(on), "left")
+    if validate != "m:1":
+        return joined
+    repeated = dim.groupBy(*on).count().where("count > 1").agg(F.count("*")).scalar()
+    message = F.lit(f"lookup key {', '.join(on)} is not unique")
+    return joined.where(F.when(repeated > 0, F.raise_error(message).cast("boolean")).otherwise(True))
 
 
 def override_join(df: DataFrame, fix: DataFrame, on: Sequence[str], c: str) -> DataFrame:
     """Replace ``c`` where ``fix`` (keys + same column) has a value for the key."""
     named = fix.select(*on, F.col(c).alias("__fix"))
-    return df.join(named, list(on), "left").withColumn(c, F.coalesce("__fix", c)).drop("__fix")
+    return enrich(df, named, on).withColumn(c, F.coalesce("__fix", c)).drop("__fix")
 
 
 apply_corrections = override_join
@@ -57,7 +51,7 @@ def carry_forward_join(
         .agg(F.max_by(F.struct(*rest), F.col("__from")).alias("__row"))
         .select(*keys, "__row.*")
     )
-    return df.join(covered, keys, "left")
+    return enrich(df, covered, keys)
 
 
 def fill_from_previous(
@@ -170,7 +164,7 @@ def fuzzy_lookup(
         .withColumn(f"{out}_exact", F.lit(False))
     )
     found = exact.unionByName(typo).withColumnRenamed("__name", name)
-    return df.join(found, [*block, name], "left")
+    return enrich(df, found, [*block, name])
 
 
 def radius_join(
@@ -196,7 +190,7 @@ def radius_join(
         .groupBy(*block, lat, lon)
         .agg(F.min(name).alias(out))
     )
-    return points.join(hits, [*block, lat, lon], "left")
+    return enrich(points, hits, [*block, lat, lon])
 
 
 def _neighbour_cells(dims: int) -> list[tuple[int, ...]]:

@@ -54,4 +54,4 @@ def infer_label_knn(
 
 def majority_by_point(df: DataFrame, lat: str, lon: str, label: str) -> DataFrame:
     """Give all rows at the same coordinate the most frequent label there."""
-    return override_join(df, mode_by(df, [lat, lon], label).drop("n"), [lat, lon], label)
+    return override_join(df, mode_by(df, [lat, lon], label), [lat, lon], label)

@@ -92,6 +92,12 @@ def attach(
     return left.join(right, [*keys, "__salt"], "left").drop("__salt")
 
 
+def enrich(df: DataFrame, dim: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join a one-row-per-key table onto ``df`` with the hot keys of ``df`` salted."""
+    sizes = df.where(all_present(keys)).groupBy(*keys).agg(F.count("*").alias("__rows"))
+    return attach(df, dim.join(sizes, list(keys)), keys, "__rows")
+
+
 def quantiles(
     df: DataFrame,
     keys: Sequence[str],
