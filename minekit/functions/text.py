@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,37 +80,57 @@ def alias(c: str | Column, mapping: Mapping[str, str]) -> Column:
     return map_value(c, mapping, col(c))
 
 
-def _true_damerau_levenshtein(a: str, b: str) -> int:
-    last_row: dict[str, int] = {}
-    width = len(b) + 2
-    limit = len(a) + len(b)
-    grid = [[limit] * width, [limit, *range(len(b) + 1)]]
-    for i, x in enumerate(a, 1):
-        row = [limit, i] + [0] * len(b)
-        last_col = 0
-        for j, y in enumerate(b, 1):
-            swap_row, swap_col = last_row.get(y, 0), last_col
-            cost = 0 if x == y else 1
-            row[j + 1] = min(
-                grid[i][j] + cost,
-                row[j] + 1,
-                grid[i][j + 1] + 1,
-                grid[swap_row][swap_col] + (i - swap_row - 1) + 1 + (j - swap_col - 1),
-            )
-            if x == y:
-                last_col = j
-        last_row[x] = i
-        grid.append(row)
-    return grid[-1][-1]
+def _distances(a: list[str], b: list[str]) -> np.ndarray:
+    """Damerau-Levenshtein distance (unrestricted transpositions) of many pairs, one numpy step per cell."""
+    n, rows = len(a), np.arange(len(a))
+    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    wide_a, wide_b = int(la.max(initial=0)), int(lb.max(initial=0))
+    letters = {ch: i + 2 for i, ch in enumerate(sorted(set("".join(a) + "".join(b))))}
+    left, right = np.zeros((n, wide_a), int), np.ones((n, wide_b), int)  # paddings never agree
+    for k in range(n):
+        left[k, : la[k]] = [letters[ch] for ch in a[k]]
+        right[k, : lb[k]] = [letters[ch] for ch in b[k]]
+    grid = np.full((wide_a + 2, wide_b + 2, n), wide_a + wide_b, np.int32)
+    grid[1:, 1] = np.arange(wide_a + 1)[:, None]
+    grid[1, 1:] = np.arange(wide_b + 1)[:, None]
+    last_row = np.zeros((len(letters) + 2, n), int)
+    for i in range(1, wide_a + 1):
+        last_col = np.zeros(n, int)
+        for j in range(1, wide_b + 1):
+            row, equal = last_row[right[:, j - 1], rows], left[:, i - 1] == right[:, j - 1]
+            swap = grid[row, last_col, rows] + (i - row) + (j - last_col) - 1
+            edit = np.minimum(grid[i, j] + ~equal, np.minimum(grid[i + 1, j], grid[i, j + 1]) + 1)
+            grid[i + 1, j + 1] = np.minimum(edit, swap)
+            last_col[equal] = j
+        last_row[left[:, i - 1], rows] = i
+    return grid[la + 1, lb + 1, rows]
+
+
+def _distance_map(pairs: set[tuple[str, str]]) -> dict[tuple[str, str], int]:
+    """Distances of distinct pairs; pairs of similar size share a step, a step stays within a few MB."""
+    todo = sorted(pairs, key=lambda p: (len(p[0]) + len(p[1]), p))
+    out: dict[tuple[str, str], int] = {}
+    start = 0
+    while start < len(todo):
+        stop = start + 1
+        longest = max(map(len, todo[start]))
+        while stop < len(todo):
+            longest = max(longest, *map(len, todo[stop]))
+            if (longest + 2) ** 2 * (stop - start + 1) > 4_000_000:
+                break
+            stop += 1
+        part = todo[start:stop]
+        out.update(zip(part, _distances([p[0] for p in part], [p[1] for p in part]).tolist()))
+        start = stop
+    return out
 
 
 @F.pandas_udf(IntegerType())
 def dl_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Damerau-Levenshtein distance with unrestricted transpositions; null when a side is null."""
-    return pd.Series(
-        [None if x is None or y is None else _true_damerau_levenshtein(x, y) for x, y in zip(a, b)],
-        dtype="Int32",
-    )
+    pairs = list(zip(a, b))
+    known = _distance_map({p for p in pairs if p[0] is not None and p[1] is not None})
+    return pd.Series([known.get(p) for p in pairs], dtype="Int32")
 
 
 def typo_limit(a: Column, b: Column, ratio: int) -> Column:
@@ -135,11 +156,11 @@ def typo_match(a: str | Column, b: str | Column, ratio: int = RATIO_STATE) -> Co
     )
 
 
-def _within(a: str, b: str, ratio: int) -> bool:
-    limit = max(len(a), len(b)) // ratio
-    if abs(len(a) - len(b)) > limit:
-        return False
-    return a == b if limit == 0 else _true_damerau_levenshtein(a, b) <= limit
+def _close_pairs(pairs: set[tuple[str, str]], ratio: int) -> set[tuple[str, str]]:
+    """The pairs that agree up to ``floor(longest / ratio)`` typos."""
+    limit = lambda p: max(map(len, p)) // ratio
+    open_pairs = {p for p in pairs if limit(p) > 0 and abs(len(p[0]) - len(p[1])) <= limit(p) and p[0] != p[1]}
+    return {p for p in pairs if p[0] == p[1]} | {p for p, d in _distance_map(open_pairs).items() if d <= limit(p)}
 
 
 def address_match(
@@ -156,13 +177,9 @@ def address_match(
 
     @F.pandas_udf(IntegerType())
     def agreeing(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                None if u is None or v is None else sum(_within(p, q, ratio) for p in u for q in v)
-                for u, v in zip(x, y)
-            ],
-            dtype="Int32",
-        )
+        rows = [None if u is None or v is None else [(p, q) for p in u for q in v] for u, v in zip(x, y)]
+        close = _close_pairs({p for row in rows if row for p in row}, ratio)
+        return pd.Series([None if row is None else sum(p in close for p in row) for row in rows], dtype="Int32")
 
     count = agreeing(F.split(left, " "), F.split(F.translate(col(b), " ", ","), ","))
     return F.when(count.isNull(), 0).when(count >= pairs, 1).otherwise(-1)
@@ -171,24 +188,21 @@ def address_match(
 def part_score(word: str | Column, text: str | Column, ratio: int = RATIO_GENERAL) -> Column:
     """Best score of ``word`` against the comma separated parts of ``text``: contained or within typos.
 
-    A part contains the word as is, or equals it after place normalisation up to typos.
+    A part contains the word as is, or equals it after place normalisation up to typos. Words found inside
+    a part never reach the Python comparison.
     """
+    word, parts = col(word), F.split(col(text), ",")
+    contained = F.exists(parts, lambda p: F.contains(p, word))
 
     @F.pandas_udf(IntegerType())
-    def best(w: pd.Series, raw: pd.Series, bare: pd.Series) -> pd.Series:
-        out = []
-        for x, parts, clean in zip(w, raw, bare):
-            if x is None:
-                out.append(0)
-            elif parts is None:
-                out.append(-1)
-            else:
-                hit = any(x in p for p in parts) or any(_within(x, c, ratio) for c in clean)
-                out.append(1 if hit else -1)
-        return pd.Series(out, dtype="Int32")
-
-    parts = F.split(col(text), ",")
-    return best(col(word), parts, F.transform(parts, norm_place_scalar))
+    def similar(w: pd.Series, clean: pd.Series) -> pd.Series:
+        rows = [[] if x is None or parts is None else [(x, c) for c in parts] for x, parts in zip(w, clean)]
+        close = _close_pairs({p for row in rows for p in row}, ratio)
+        return pd.Series([1 if any(p in close for p in row) else -1 for row in rows], dtype="Int32")
+
+    open_word = F.when(~F.coalesce(contained, F.lit(False)), word)
+    score = similar(open_word, F.transform(parts, norm_place_scalar))
+    return F.when(word.isNull(), 0).when(contained, 1).otherwise(score)
 
 
 def words(c: str | Column) -> Column:

@@ -136,6 +136,7 @@ def fuzzy_lookup(
     block = list(block)
     asked = df.where(F.col(name).isNotNull()).select(*block, F.col(name).alias("__name")).distinct()
     names = dim.where(F.col(dim_name).isNotNull()).select(*block, F.col(dim_name).alias("__dim")).distinct()
+    asked, names = settle(asked), settle(names)
     exact = asked.join(names.withColumn("__name", F.col("__dim")), [*block, "__name"])
     exact = exact.select(*block, "__name", F.col("__dim").alias(out), F.lit(True).alias(f"{out}_exact"))
     rest = asked.join(exact.select(*block, "__name"), [*block, "__name"], "left_anti")
@@ -156,14 +157,15 @@ def fuzzy_lookup(
     left = keyed(rest.withColumn("__clean", F.explode(asked_as(F.col("__name")))), "__clean", True)
     right = keyed(names.withColumn("__dim_clean", dim_as(F.col("__dim"))), "__dim_clean", False)
     near = left.join(right, [*block, "__la", "__lb", "part", "piece"])
-    near = near.select(*block, "__name", "__clean", "__dim", "__dim_clean").distinct()
+    # written once: the matches below feed several branches, the comparison runs in Python
+    near = settle(near.select(*block, "__name", "__clean", "__dim", "__dim_clean").distinct())
     typo = (
         near.where(typo_match("__clean", "__dim_clean", ratio) == 1)
         .groupBy(*block, "__name")
         .agg(F.min("__dim").alias(out))
         .withColumn(f"{out}_exact", F.lit(False))
     )
-    found = exact.unionByName(typo).withColumnRenamed("__name", name)
+    found = settle(exact.unionByName(typo).withColumnRenamed("__name", name))
     return enrich(df, found, [*block, name])
 
 

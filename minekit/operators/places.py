@@ -15,6 +15,7 @@ from minekit.functions.text import (
     part_score,
 )
 from minekit.operators.joins import fuzzy_lookup
+from minekit.scale import settle
 
 # Special spellings of places.
 STATE_ALIASES = {"Hawaiʻi": "Hawaii"}
@@ -51,7 +52,7 @@ def reconcile_place(df: DataFrame, dim: DataFrame, *, state: str, county: str) -
     ``dim`` lists (state, county) names. Names of accepted rows are blanked before the dictionary lookup, so
     only rows that failed take part in the typo search.
     """
-    scored = place_scores(df)
+    scored = settle(place_scores(df))  # the Python scores feed both lookups and the result
     total = F.col("state_consistency") + F.col("county_consistency") + F.col("address_consistency")
     scored = scored.withColumn("__ok", F.col("coord_presence") & (total >= 1))
     ok = F.coalesce(F.col("__ok"), F.lit(False))

@@ -69,11 +69,18 @@ def rows_of(columns, rows):
     )
 
 
-def compare(spark_df, con, sql) -> str | None:
-    """None when equal, else a short description of the difference."""
+def compare(spark_df, con, sql) -> tuple[str | None, float]:
+    """The difference (None when equal) and the seconds the SQL form took."""
     got_cols, got = rows_of(spark_df.columns, [tuple(x) for x in spark_df.collect()])
+    start = time.time()
     rel = con.execute(sql)
     want_cols, want = rows_of([d[0] for d in rel.description], rel.fetchall())
+    took = time.time() - start
+    return difference(got_cols, got, want_cols, want), took
+
+
+def difference(got_cols, got, want_cols, want) -> str | None:
+    """None when equal, else a short description of the difference."""
     if got_cols != want_cols:
         return f"columns {got_cols} != {want_cols}"
     if len(got) != len(want):
@@ -96,7 +103,9 @@ def main(names, folder="/root/testdata/sf0.01") -> int:
         start = time.time()
         try:
             if q.sql:
-                problem = compare(q.run(spark, folder), con, q.sql)
+                problem, seconds = compare(q.run(spark, folder), con, q.sql)
+                if seconds > 5:
+                    print(f"     sql of {name} took {seconds:.1f}s")
                 state = problem or "ok"
             else:
                 state = f"rows {q.run(spark, folder).count()}"
