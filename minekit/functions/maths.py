@@ -24,6 +24,13 @@ def safe_ratio(a: str | Column, b: str | Column, zero: str = "null") -> Column:
     return F.try_divide(a, b)
 
 
+def safe_corr(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation aggregate over rows with both values; null when a side is constant."""
+    x, y = col(x).cast("double"), col(y).cast("double")
+    spread = lambda a, b: F.stddev_pop(F.when(b.isNotNull(), a))
+    return F.try_divide(F.covar_pop(x, y), spread(x, y) * spread(y, x))
+
+
 def cyclic(df: DataFrame, c: str, period: float) -> DataFrame:
     """Add ``<c>_sin`` and ``<c>_cos``."""
     angle = F.col(c) * (2 * math.pi / period)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from minekit.scale import all_present, attach, one_row
+from minekit.scale import all_present, attach, number_rows, one_row
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "sum": lambda x: F.coalesce(F.sum(x), F.lit(0)),
@@ -124,32 +124,14 @@ def impute_group_mean(
 def value_ranks(df: DataFrame, c: str, out: str, descending: bool = False, base: int = 0) -> DataFrame:
     """Dense rank of each value in the whole table.
 
-    Distinct values are range-partitioned; each partition is ranked alone and shifted by the number of
-    values in earlier partitions, so no task sorts all values.
+    Distinct values are numbered in range partitions, so no task sorts all values.
     """
     order = F.col(c).desc() if descending else F.col(c).asc()
     values = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("__rows"))
-    ranked = dense_number(values, order, out, base)
+    ranked = number_rows(values, [], [order], out=out).withColumn(out, (F.col(out) + base).cast("int"))
     return attach(df, ranked, [c], "__rows")
 
 
-def dense_number(df: DataFrame, order: Column, out: str, base: int = 0) -> DataFrame:
-    """Consecutive numbers in global order without a single-partition sort."""
-    from minekit.scale import settle
-
-    parts = settle(df.repartitionByRange(order).withColumn("__part", F.spark_partition_id()))
-    sizes = parts.groupBy("__part").agg(F.count("*").alias("__size"))
-    shifts = one_row(sizes.agg(F.collect_list(F.struct("__part", "__size")).alias("s")))["s"]
-    parts = parts.withColumn("__shifts", shifts)
-    before = F.aggregate(
-        F.filter("__shifts", lambda s: s["__part"] < F.col("__part")),
-        F.lit(0).cast("long"),
-        lambda acc, s: acc + s["__size"],
-    )
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(order))
-    return parts.withColumn(out, (inside - 1 + base + before).cast("int")).drop("__part", "__shifts")
-
-
 def dense_rank_desc(df: DataFrame, by: Sequence[str], x: str, out: str = "rank") -> DataFrame:
     """Dense rank by descending score inside each (short) list, such as the importances of one model."""
     return df.withColumn(out, F.dense_rank().over(Window.partitionBy(*by).orderBy(F.desc(x))))

@@ -4,12 +4,13 @@
 * ``quantiles``   - exact linear-interpolation quantiles, without a one-task group
 * ``positions``   - dense 0-based positions per key, without a one-task sort
 * ``tile_join``   - every-left-with-every-right computation reduced inside tiles
-* ``settle``      - cut lineage through reliable storage
+* ``settle``      - cut lineage through a written table
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -41,13 +42,29 @@ def all_present(cols: Sequence[str]) -> Column:
     return out
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder so that later steps do not replay its plan."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of the session; a temporary one only where none is named (single-machine tests)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="minekit-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder name for written tables next to the checkpoints."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` once into the checkpoint folder and continue from the written table.
+
+    Unlike ``checkpoint`` this runs the plan a single time and leaves a columnar copy with known size.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def one_row(df: DataFrame) -> Column:
@@ -193,6 +210,32 @@ def positions(
     )
 
 
+def running_total(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], weight: Column, *, out: str
+) -> DataFrame:
+    """Sum of ``weight`` over the earlier rows of the same key, for any group size.
+
+    Rows are range-partitioned by (keys, order); a partition adds up its own rows and is shifted by the
+    totals of the earlier partitions of the key. ``order`` must be unique inside a key.
+    """
+    keys = list(keys)
+    split = df.withColumn("__w", weight).repartitionByRange(*[F.col(k) for k in keys], *order)
+    parts = settle(split.withColumn("__part", F.spark_partition_id()))
+    sizes = parts.groupBy(*keys, "__part").agg(F.sum("__w").alias("__size"))
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # as many rows as there are partitions, far below the broadcast limit Spark checks for itself
+    shifts = sizes.withColumn("__base", F.coalesce(F.sum("__size").over(earlier), F.lit(0))).drop("__size")
+    inside = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = parts.withColumn("__in", F.coalesce(F.sum("__w").over(inside), F.lit(0)))
+    joined = summed.join(shifts, [*keys, "__part"])
+    return joined.withColumn(out, F.col("__in") + F.col("__base")).drop("__w", "__part", "__in", "__base")
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], *, out: str) -> DataFrame:
+    """0-based row number per key for any group size."""
+    return running_total(df, keys, order, F.lit(1).cast("long"), out=out)
+
+
 def blocks_for(rows: int, per_block: int) -> int:
     return max(1, -(-rows // per_block))
 
