@@ -37,16 +37,11 @@ def kmeans(
 
 def assign(df: DataFrame, cols: Sequence[str], centres: np.ndarray, out: str = "cluster", dist: str | None = None) -> DataFrame:
     """Nearest centre per row (ties: lowest number); the centres are k short literal vectors."""
-    x = point(cols)
-    gaps = F.array(
-        *[
-            F.struct(sq_dist(x, F.array(*[F.lit(float(v)) for v in c])).alias("d"), F.lit(i).alias("i"))
-            for i, c in enumerate(centres)
-        ]
-    )
-    best = df.withColumn("__best", F.array_min(gaps))
+    held = F.expr("array(" + ", ".join(f"array({', '.join(f'{float(v)!r}D' for v in c)})" for c in centres) + ")")
+    gaps = F.transform(held, lambda c, i: F.struct(sq_dist(F.col("__x"), c).alias("d"), i.alias("i")))
+    best = df.withColumn("__x", point(cols)).withColumn("__best", F.array_min(gaps))
     named = {out: F.col("__best.i")} | ({dist: F.col("__best.d")} if dist else {})
-    return best.withColumns(named).drop("__best")
+    return best.withColumns(named).drop("__x", "__best")
 
 
 def lloyd(
