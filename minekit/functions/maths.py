@@ -104,15 +104,14 @@ def qcut(df: DataFrame, c: str, k: int, out: str | None = None) -> DataFrame:
 
 
 def parse_int(c: str | Column, lo: float | None = None, hi: float | None = None) -> Column:
-    """Text -> integer (fraction cut off) when it is a number inside [lo, hi], else null."""
+    """Text -> integer (fraction cut off) when it is a number inside whole bounds [lo, hi], else null.
+
+    Open bounds end at the range of a long, which also leaves out NaN.
+    """
     number = col(c).cast("string").try_cast("double")
-    whole = F.when(F.isnan(number), None).otherwise(number.try_cast("long"))
-    ok = F.lit(True)
-    if lo is not None:
-        ok = ok & (whole >= lo)
-    if hi is not None:
-        ok = ok & (whole <= hi)
-    return F.when(ok, whole)
+    low = F.lit(-9.2e18) if lo is None else F.lit(float(lo) - 1)
+    high = F.lit(9.2e18) if hi is None else F.lit(float(hi) + 1)
+    return F.when((number > low) & (number < high), number.cast("long"))
 
 
 def parse_number(c: str | Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from minekit.operators.cluster_scores import calinski_harabasz, davies_bouldin, point, silhouette, sq_dist
 from minekit.operators.joins import knn_grid
-from minekit.scale import attach, enrich, settle
+from minekit.scale import HOT_ROWS, attach, enrich, settle
 
 
 def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -138,15 +138,19 @@ def connected_components(edges: DataFrame, vertices: DataFrame, vertex: str, max
         edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     )
     state = settle(vertices.select(F.col(vertex).alias("v")).distinct().withColumn("component", F.col("v")))
+    # below this size no component can be hot
+    crowded = state.count() >= HOT_ROWS
     for _ in range(max_rounds):
         heard = both.join(state, F.col("b") == F.col("v")).groupBy(F.col("a").alias("v")).agg(F.min("component").alias("m"))
         step = state.join(heard, "v", "left").withColumn("new", F.least("component", F.coalesce("m", "component")))
+        step = settle(step)
         # hang whole groups below the smallest label any member heard of
         lowest = step.groupBy("component").agg(F.min("new").alias("low"), F.count("*").alias("__rows"))
-        step = attach(step, lowest, ["component"], "__rows").select("v", "component", F.least("new", "low").alias("new"))
+        grouped = attach(step, lowest, ["component"], "__rows") if crowded else step.join(lowest, "component")
+        step = grouped.select("v", "component", F.least("new", "low").alias("new"))
         jump = step.select(F.col("v").alias("new"), F.col("new").alias("far"))
-        step = enrich(step, jump, ["new"]).select("v", "component", F.least("new", F.coalesce("far", "new")).alias("new"))
-        step = settle(step)
+        led = enrich(step, jump, ["new"]) if crowded else step.join(jump, "new", "left")
+        step = settle(led.select("v", "component", F.least("new", F.coalesce("far", "new")).alias("new")))
         if step.where("new <> component").isEmpty():
             break
         state = step.select("v", F.col("new").alias("component"))

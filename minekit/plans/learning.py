@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from minekit.functions.text import words
 from minekit.operators import cluster_fit, cluster_scores, evaluate, explain, models, prepare, stats
 from minekit.operators.joins import knn_grid
 from minekit.plans.cleaning import XY, located
 from minekit.plans.core import DOC_LABELS, doc_labels
 from minekit.plans.registry import query, r
+from minekit.scale import settle
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINE_PAIRS = [(a, b) for i, a in enumerate(LINE) for b in LINE[i + 1 :]]
@@ -121,8 +121,6 @@ LOF_K = 20
       SELECT n.i AS c_custkey, round(avg(o.lrd) / any_value(m.lrd), 6) AS lof FROM n JOIN l o ON n.j = o.i JOIN l m ON n.i = m.i GROUP BY 1""",
 )
 def location_outliers(t):
-    from minekit.scale import settle
-
     df = located(t)
     near = knn_grid(df, df.withColumnRenamed("c_custkey", "ref"), query_id="c_custkey", ref_id="ref", coords=["lat", "lon"],
                     k=LOF_K, top_cell=128.0, strict=True)
@@ -382,19 +380,16 @@ def oversampled_labels(t):
 
 def doc_features(t):
     """Numbers measured on the whole text of every labelled document."""
-    w = words("text")
-    return (
-        t.documents.join(t.labels, "doc_id")
-        .select(
-            "doc_id",
-            F.col("n_chars").cast("double").alias("chars"),
-            F.size(w).cast("double").alias("n_words"),
-            F.size(F.split("text", "\n")).cast("double").alias("n_lines"),
-            F.length(F.regexp_replace("text", "[^0-9]", "")).cast("double").alias("digits"),
-            F.length(F.regexp_replace("text", r"[\p{L}\p{N}\s]", "")).cast("double").alias("marks"),
-            "lang",
-            "quality",
-        )
+    count = lambda pattern: F.regexp_count("text", F.lit(pattern)).cast("double")
+    return t.documents.join(t.labels, "doc_id").select(
+        "doc_id",
+        F.col("n_chars").cast("double").alias("chars"),
+        count(r"[\p{L}\p{N}]+").alias("n_words"),
+        (count("\n") + 1).alias("n_lines"),
+        count("[0-9]").alias("digits"),
+        count(r"[^\p{L}\p{N}\s]").alias("marks"),
+        "lang",
+        "quality",
     )
 
 
@@ -402,8 +397,6 @@ FEATURES = ["chars", "n_words", "n_lines", "digits", "marks"]
 
 
 def doc_split(t):
-    from minekit.scale import settle
-
     return settle(prepare.stratified_split(doc_features(t), "quality", 1 / 3, "doc_id"))
 
 
@@ -423,22 +416,27 @@ def tree_shuffle_grid(t):
     return models.shuffle_search(models.tree, {"maxDepth": [2, 4]}, doc_features(t), FEATURES, "quality", "doc_id", n=2)
 
 
-def _scores(t, make, **kw):
+def _scores(t, **builders):
+    """Scores of several estimators on one prepared split."""
     split = doc_split(t)
-    train = models.with_class_weights(split.where("not is_test"), "quality")
-    _, pred = models.fit_predict(make(FEATURES, "quality", **kw), train, split.where("is_test"), FEATURES)
-    pred = pred.withColumn("prediction", F.col("prediction").cast("int"))
-    return evaluate.clf_scores(pred, "quality", "prediction", "prob")
+    train = settle(models.assemble(models.with_class_weights(split.where("not is_test"), "quality"), FEATURES))
+    test = settle(models.assemble(split.where("is_test"), FEATURES))
+    tables = {}
+    for name, est in builders.items():
+        pred = models.positive_probability(est.fit(train).transform(test))
+        pred = pred.withColumn("prediction", F.col("prediction").cast("int"))
+        tables[name] = evaluate.clf_scores(pred, "quality", "prediction", "prob")
+    return evaluate.compare_scores(tables)
 
 
 @query("ML6")
 def tree_models(t):
-    kinds = {
-        "tree": _scores(t, models.tree, weight="weight", maxDepth=5),
-        "forest": _scores(t, models.forest, weight="weight", numTrees=20, seed=42),
-        "boosted": _scores(t, models.boosted, weight="weight", maxIter=10, seed=42),
-    }
-    return evaluate.compare_scores(kinds)
+    return _scores(
+        t,
+        tree=models.tree(FEATURES, "quality", "weight", maxDepth=5),
+        forest=models.forest(FEATURES, "quality", "weight", numTrees=20, seed=42),
+        boosted=models.boosted(FEATURES, "quality", "weight", maxIter=10, seed=42),
+    )
 
 
 @query("ML7")
@@ -514,8 +512,11 @@ def bayes_quality(t):
 
 @query("ML11")
 def linear_models(t):
-    kinds = {"svm": _scores(t, models.linear_svm, weight="weight", maxIter=20), "mlp": _scores(t, models.mlp, hidden=(8,), maxIter=30, seed=42)}
-    return evaluate.compare_scores(kinds)
+    return _scores(
+        t,
+        svm=models.linear_svm(FEATURES, "quality", "weight", maxIter=20),
+        mlp=models.mlp(FEATURES, "quality", hidden=(8,), maxIter=30, seed=42),
+    )
 
 
 @query("ML12")
@@ -650,8 +651,6 @@ def local_weights(t):
 
 @query("EX3")
 def explanation_quality(t):
-    from minekit.scale import settle
-
     model, train, test, weights = _explained(t)
     weights = settle(weights)
     defaults = train.agg(*[F.avg(f).alias(f) for f in FEATURES]).first().asDict()

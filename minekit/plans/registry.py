@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minekit.scale import col, table
+from minekit.scale import col, table, tune
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,7 @@ def query(covers: str, sql: str | None = None):
 
     def add(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            tune(spark)
             return fn(Tables(spark, folder))
 
         QUERIES[fn.__name__] = Query(fn.__name__, covers, run, sql)

@@ -42,6 +42,11 @@ def all_present(cols: Sequence[str]) -> Column:
     return out
 
 
+def tune(spark: SparkSession) -> None:
+    """Stages whose generated method is too large for the JIT run as split projections instead."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder of the session; a temporary one only where none is named (single-machine tests)."""
     sc = spark.sparkContext
@@ -83,29 +88,29 @@ def attach(
 ) -> DataFrame:
     """Left join per-group ``stats`` (one row per key, ``rows`` = group size) onto ``df``.
 
-    Small ``stats`` are broadcast by Spark itself after measuring them. Beyond that the rows of hot
-    groups and the rows without a key are spread over ``salts`` tasks, and only the statistics of
-    hot groups are repeated. The salt depends on the task alone, so a re-run task writes the same rows.
+    The statistics are written once, so Spark knows their size and broadcasts them below its own limit; the
+    rows then stay where they are. Beyond that limit the rows of hot groups and the rows without a key are
+    spread over ``salts`` tasks, and only the statistics of hot groups are repeated. The salt depends on the
+    task alone, so a re-run task writes the same rows.
     """
     keys = list(keys)
-    total = stats.agg(F.sum(rows)).scalar()
-    hot = F.broadcast(
-        stats.where((F.col(rows) >= hot_rows) & (F.col(rows) >= total * HOT_SHARE)).select(
-            *keys, F.lit(True).alias("__hot")
-        )
-    )
+    stats = settle(stats)
+    size = stats.agg(F.sum(rows).alias("total"), F.max(rows).alias("largest")).first()
+    least_hot = max(hot_rows, HOT_SHARE * (size["total"] or 0))
     spread = F.pmod(F.spark_partition_id(), F.lit(salts))
+    if (size["largest"] or 0) < least_hot:
+        left = df.withColumn("__salt", F.when(all_present(keys), 0).otherwise(spread))
+        right = stats.drop(rows).withColumn("__salt", F.lit(0))
+        return left.join(right, [*keys, "__salt"], "left").drop("__salt")
+    hot = F.broadcast(stats.where(F.col(rows) >= least_hot).select(*keys, F.lit(True).alias("__hot")))
     left = (
         df.join(hot, keys, "left")
         .withColumn("__salt", F.when(F.col("__hot") | ~all_present(keys), spread).otherwise(0))
         .drop("__hot")
     )
     every = F.sequence(F.lit(0), F.lit(salts - 1))
-    right = (
-        stats.join(hot, keys, "left")
-        .withColumn("__salt", F.explode(F.when(F.col("__hot"), every).otherwise(F.array(F.lit(0)))))
-        .drop("__hot", rows)
-    )
+    copies = F.when(F.col(rows) >= least_hot, every).otherwise(F.array(F.lit(0)))
+    right = stats.withColumn("__salt", F.explode(copies)).drop(rows)
     return left.join(right, [*keys, "__salt"], "left").drop("__salt")
 
 

@@ -60,7 +60,8 @@ def stream_profile(stream: DataFrame, key: str, m: int, *, order: str, value: st
                 x, mp, idx, offset = x[1:], mp[1:], idx[1:], offset + 1
         state.update((int(offset), x.tolist(), mp.tolist(), idx.tolist()))
         rows = [(name[0], p, *vals) for p, vals in sorted(changed.items())]
-        yield pd.DataFrame(rows, columns=[key, "pos", "mp", "mp_idx"])
+        if rows:
+            yield pd.DataFrame(rows, columns=[key, "pos", "mp", "mp_idx"])
 
     return stream.groupBy(key).applyInPandasWithState(
         update,
