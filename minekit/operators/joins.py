@@ -221,8 +221,9 @@ def knn_grid(
       1. For every query cell, the finest level whose 3^d neighbourhood holds k reference points is
          found from cell counts; the k nearest points in it bound the true distance by r.
       2. Everything within r lies in the 3^d neighbourhood at the level with cells just above r.
-    Reference points that share a location are reduced to their k smallest ids first, so piles of copies
-    never multiply. Ties go to the smaller id. ``strict`` leaves out the query's own id.
+    Reference points that share a location are reduced to their k smallest ids, and queries are answered
+    once per location, so piles of copies never multiply. Ties go to the smaller id. ``strict`` leaves out
+    the query's own id.
     """
     block, coords, dims = list(block), list(coords), len(coords)
     keep = k + 1 if strict else k
@@ -237,7 +238,8 @@ def knn_grid(
         .where(F.col("__rn") <= keep)
         .drop("__rn")
     )
-    asked = queries.where(valid).select(*block, *coords, F.col(query_id).alias("__qid"))
+    location = F.struct(*block, *coords).alias("__qid")
+    asked = queries.where(valid).select(location, *block, *coords).distinct()
 
     def cell(level: Column, c: Column) -> Column:
         return F.floor(c * F.pow(F.lit(2.0), level) / top_cell).cast("long")
@@ -277,22 +279,25 @@ def knn_grid(
     def nearest(df: DataFrame) -> DataFrame:
         cut = df.withColumns({a: cell(F.col("__level"), F.col(c)) for a, c in zip(axes, coords)})
         pairs = neighbours(cut).join(right, cell_keys).withColumn("dist", dist)
-        if strict:
-            pairs = pairs.where(F.col("__qid") != F.col("__ref"))
         ranked = pairs.withColumn("rank", F.row_number().over(best))
-        return ranked.where(F.col("rank") <= k)
+        return ranked.where(F.col("rank") <= keep)
 
     bound = nearest(first).groupBy("__qid").agg(F.max("dist").alias("__r"), F.count("*").alias("__got"))
     # cells of size >= r: level <= log2(top / r), one step of slack for rounding
     fit = F.when(
-        F.col("__got") >= k,
+        F.col("__got") >= keep,
         F.least(F.lit(levels), F.floor(F.log2(top_cell / F.greatest("__r", F.lit(top_cell * 2.0**-60)))) - 1),
     )
     second = asked.join(bound, "__qid", "left").withColumn(
         "__level", F.greatest(F.lit(0), F.coalesce(fit, F.lit(0))).cast("int")
     )
-    return nearest(second).select(
-        F.col("__qid").alias(query_id), F.col("__ref").alias(f"nn_{ref_id}"), "dist", "rank"
+    found = F.array_sort(F.collect_list(F.struct("dist", F.col("__ref").alias("ref")))).alias("__near")
+    lists = nearest(second).groupBy("__qid").agg(found)  # at most ``keep`` entries each
+    rows = enrich(queries.where(valid).select(F.col(query_id).alias("__id"), location), lists, ["__qid"])
+    others = F.filter("__near", lambda x: x["ref"] != F.col("__id")) if strict else F.col("__near")
+    ranked = rows.select(F.col("__id").alias(query_id), F.posexplode(F.slice(others, 1, k)).alias("__i", "__n"))
+    return ranked.select(
+        query_id, F.col("__n.ref").alias(f"nn_{ref_id}"), F.col("__n.dist").alias("dist"), (F.col("__i") + 1).alias("rank")
     )
 
 

@@ -9,7 +9,7 @@ from minekit.operators.joins import knn_grid
 from minekit.plans.cleaning import XY, located
 from minekit.plans.core import DOC_LABELS, doc_labels
 from minekit.plans.registry import query, r
-from minekit.scale import settle
+from minekit.scale import one_row, settle
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINE_PAIRS = [(a, b) for i, a in enumerate(LINE) for b in LINE[i + 1 :]]
@@ -242,9 +242,9 @@ def silhouette_exact(t):
 )
 def separation_scores(t):
     df = vectors(t)
-    db = cluster_scores.davies_bouldin(df, E_COLS, "label").withColumn("one", F.lit(1))
-    ch = cluster_scores.calinski_harabasz(df, E_COLS, "label").withColumn("one", F.lit(1))
-    return db.join(ch, "one").select(r("davies_bouldin"), r("calinski_harabasz"))
+    ch = one_row(cluster_scores.calinski_harabasz(df, E_COLS, "label"))["calinski_harabasz"]
+    db = cluster_scores.davies_bouldin(df, E_COLS, "label")
+    return db.select(r("davies_bouldin"), r(ch, 6, "calinski_harabasz"))
 
 
 @query(
