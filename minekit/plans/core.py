@@ -277,8 +277,8 @@ def length_histogram_log(t):
     """WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS m,
           quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY 1),
        f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lf, q3 + 1.5 * (q3 - q1) AS uf FROM q)
-       SELECT f.l_returnflag, round(any_value(q1), 4) AS q1, round(any_value(m), 4) AS median, round(any_value(q3), 4) AS q3,
-         round(any_value(lf), 4) AS lower_fence, round(any_value(uf), 4) AS upper_fence,
+       SELECT f.l_returnflag, round(any_value(q1), 6) AS q1, round(any_value(m), 6) AS median, round(any_value(q3), 6) AS q3,
+         round(any_value(lf), 6) AS lower_fence, round(any_value(uf), 6) AS upper_fence,
          min(l_extendedprice) FILTER (l_extendedprice BETWEEN lf AND uf) AS whisker_low,
          max(l_extendedprice) FILTER (l_extendedprice BETWEEN lf AND uf) AS whisker_high,
          count(*) FILTER (NOT l_extendedprice BETWEEN lf AND uf)::BIGINT AS outliers
@@ -287,7 +287,7 @@ def length_histogram_log(t):
 def price_box(t):
     out = profile.box_stats(t.lineitem, "l_extendedprice", ["l_returnflag"])
     names = ["q1", "median", "q3", "lower_fence", "upper_fence"]
-    return out.select("l_returnflag", *[r(n, 4) for n in names], "whisker_low", "whisker_high", "outliers")
+    return out.select("l_returnflag", *[r(n, 6) for n in names], "whisker_low", "whisker_high", "outliers")
 
 
 @query(
@@ -665,11 +665,11 @@ def suppressed_imputation(t):
 
 @query(
     "W8",
-    """WITH s AS (SELECT p_type, p_brand, round(avg(p_retailprice), 1) AS score FROM part GROUP BY 1, 2)
+    """WITH s AS (SELECT p_type, p_brand, round(avg(p_retailprice), 6) AS score FROM part GROUP BY 1, 2)
        SELECT *, dense_rank() OVER (PARTITION BY p_type ORDER BY score DESC)::INT AS rank FROM s""",
 )
 def brand_ranks(t):
-    s = t.part.groupBy("p_type", "p_brand").agg(r(F.avg("p_retailprice"), 1, "score"))
+    s = t.part.groupBy("p_type", "p_brand").agg(r(F.avg("p_retailprice"), 6, "score"))
     return indicators.dense_rank_desc(s, ["p_type"], "score")
 
 
