@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from minekit.llm import bpe, language
+from minekit.llm import decontaminate as bench
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +39,41 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     prototypes = language.train(docs.where(~language.held_out("doc_id")))
     named = language.predict(docs.select("doc_id", "text"), prototypes, keep=["doc_id"])
     return named.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    marked = bench.find_items(docs, spark.read.parquet(f"{folder}/benchmark.parquet"), keep=["doc_id"])
+    return marked.select(
+        "doc_id",
+        "n_words",
+        bench.hit_words().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+        (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORDS = rf"regexp_extract_all(translate(text, '{_LETTERS}', '{_LETTERS.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL["op5_decontamination"] = f"""
+with d as (select doc_id, coalesce({_WORDS}, []) w from documents),
+b as (select item_id::varchar item, {_WORDS} w from benchmark where text is not null and item_id is not null),
+bw as (
+    select distinct item, least(10, len(w)) n, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') g
+    from (select item, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) i from b where len(w) > 0)
+),
+sizes as (select distinct n from bw),
+dp as (select doc_id, w, unnest(range(1, len(w) + 1)) i from d),
+dw as (select doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') g from dp, sizes where i + n - 1 <= len(w)),
+hit as (select doc_id, i, bw.n n, item from dw join bw on dw.n = bw.n and dw.g = bw.g),
+words as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + n)) p from hit) group by 1),
+items as (
+    select doc_id, count(*) n_items, string_agg(item, ',' order by item) s
+    from (select distinct doc_id, item from hit) group by 1
+)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+    sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from d left join words using (doc_id) left join items using (doc_id)
+"""
