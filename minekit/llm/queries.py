@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minekit.llm import bpe, language
+from minekit.llm import bpe, language, secrets
 from minekit.llm import decontaminate as bench
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -77,3 +77,20 @@ select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesc
     sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join words using (doc_id) left join items using (doc_id)
 """
+
+
+@register
+def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(documents(spark, folder).select("doc_id", "text"))
+
+    def count(kind: int):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secrets.listed("secrets", base_only=True).cast("binary"), 256).alias("base_sha256"),
+        secrets.listed("secrets").alias("spans"),
+    )
