@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minekit.llm import bpe, language, secrets
+from minekit.llm import bpe, language, secrets, urls
 from minekit.llm import decontaminate as bench
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -94,3 +94,61 @@ def op7_secrets(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(secrets.listed("secrets", base_only=True).cast("binary"), 256).alias("base_sha256"),
         secrets.listed("secrets").alias("spans"),
     )
+
+
+@register
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url")
+    return urls.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _url_sql() -> str:
+    fits = [
+        f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then {{'rule': '{h}{p}', 'verdict': '{v}'}}"
+        for v, h, p in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+    ]
+    n, keys = urls.LEVELS, ["host"]
+    levels, source = [], "shapes"
+    for i in range(1, n + 1):
+        k = ", ".join(keys)
+        levels.append(
+            f"""
+b{i} as (select {k}, s{i}, sum(urls) u, sum(blocked) b, sum(blocked + allowed) j from {source} group by all),
+w{i} as (
+    select *, sum(b) over p ab, sum(j) over p aj from b{i} window p as (partition by {k})
+),
+n{i} as (
+    select {k}, s{i}, case when s{i} = '' or (u >= {urls.SUPPORT} and coalesce(
+        abs(b / nullif(j, 0) - (ab - b) / nullif(aj - j, 0))
+        > {urls.Z} * sqrt((ab / nullif(aj, 0)) * (1 - ab / nullif(aj, 0)) * (1.0::double / nullif(j, 0) + 1.0::double / nullif(aj - j, 0))), false))
+        then s{i} else '*' end t{i} from w{i}
+),
+a{i} as (select * from {source} join n{i} using ({k}, s{i})),"""
+        )
+        source, keys = f"a{i}", [*keys, f"t{i}"]
+    k, s = ", ".join(keys), ", ".join(f"s{i}" for i in range(1, n + 1))
+    part = "coalesce(string_split(path, '/')[{}], '')"
+    shape = ", ".join(f"case when regexp_matches({part.format(i + 1)}, '[0-9]') then '*' else {part.format(i + 1)} end s{i}" for i in range(1, n + 1))
+    return f"""
+with u as (
+    select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_LETTERS}', '{_LETTERS.lower()}') host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) path from pages
+),
+r as (select *, case {" ".join(fits)} else null end r, {shape} from u),
+shapes as (
+    select host, {s}, count(*) urls, count(*) filter (r.verdict = 'block') blocked, count(*) filter (r.verdict = 'allow') allowed
+    from r group by all
+),{"".join(levels)}
+leaf as (select {k}, sum(blocked)::double b, sum(allowed)::double a from {source} group by all),
+h as (select host, sum(b) hb, sum(a) ha from leaf group by 1),
+g as (select coalesce(sum(hb) / nullif(sum(hb) + sum(ha), 0), 0) share from h),
+p as (
+    select {k}, (b + {urls.WEIGHT} * (hb + {urls.WEIGHT} * share) / (hb + ha + {urls.WEIGHT})) / (b + a + {urls.WEIGHT}) purity
+    from leaf join h using (host), g
+),
+v as (select host, {s}, case when round(purity, 9) > {urls.PURITY} then 'block' else 'allow' end verdict from {source} join p using ({k}))
+select page_id, host, path, r.r.rule "rule", coalesce(r.r.verdict, v.verdict) verdict from r left join v using (host, {s})
+"""
+
+
+SQL["op8_url_filter"] = _url_sql()
