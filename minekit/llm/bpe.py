@@ -12,6 +12,7 @@ import base64
 import hashlib
 import heapq
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,8 @@ from pyspark.sql import types as T
 
 from minekit.llm.arrays import add_columns
 
-CACHED = 400_000
+CACHED = 800_000
+BLOCK = 4_000  # pieces replayed together
 # Fixed value: the code points of white space.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 # Ranges of letters and numbers newer than Unicode 16, which the tiktoken library does not count as such.
@@ -57,87 +59,82 @@ class MergeReplay:
         self.pattern = regex.compile(pattern)
         old = pattern.replace(r"\p{L}", rf"[\p{{L}}--[{NEW_LETTERS}]]").replace(r"\p{N}", rf"[\p{{N}}--[{NEW_NUMBERS}]]")
         self.careful = regex.compile(old, regex.V1)
-        self.pairs: dict[int, int] = {}
+        # what two tokens merge to, for every cut of a token into two
+        self.merges: list[dict[int, int]] = [{} for _ in tokens]
+        for i, t in enumerate(tokens):
+            for k in range(1, len(t)):
+                a, b = self.rank.get(t[:k]), self.rank.get(t[k:])
+                if a is not None and b is not None:
+                    self.merges[a][b] = i
+        self.first = np.array([[self.merges[a].get(b, -1) for b in self.byte] for a in self.byte])  # of two bytes
         self.runs: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
 
-    def pair(self, a: int, b: int) -> int:
-        """Rank of the merge of two tokens, -1 if there is none."""
-        key = a << 32 | b
-        found = self.pairs.get(key)
-        if found is None:
-            found = self.pairs[key] = self.rank.get(self.tokens[a] + self.tokens[b], -1)
-        return found
-
     def replay(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """The ids of each non-empty word: always the lowest rank, leftmost first, as long as a pair has one."""
         joined = b"".join(words)
         ends = np.cumsum([len(w) for w in words])
         n = len(joined)
-        ids = np.array(self.byte, np.int64)[np.frombuffer(joined, np.uint8)]
+        data = np.frombuffer(joined, np.uint8)
         after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
         after[ends - 1] = -1
         before[np.concatenate([[0], ends[:-1]])] = -1
+        ranks = np.full(n, -1)  # rank of the pair that starts here
         starts = np.flatnonzero(after >= 0)
-        codes, which = np.unique(ids[starts] << 32 | ids[starts + 1], return_inverse=True)
-        ranks = np.array([self.pair(int(c) >> 32, int(c) & 0xFFFFFFFF) for c in codes], np.int64)[which] if len(codes) else np.zeros(0, np.int64)
+        ranks[starts] = self.first[data[starts], data[starts + 1]]
         order = np.argsort(ranks, kind="stable")
         order = order[np.searchsorted(ranks[order], 0) :]
-        known, first = np.unique(ranks[order], return_index=True)
-        index = {int(r): s.tolist() for r, s in zip(known, np.split(starts[order], first[1:]))} if len(order) else {}
-        waiting = list(index)  # ascending, so a heap
-        token, after, before = ids.tolist(), after.tolist(), before.tolist()
-        best = np.full(n, -1)  # rank of the pair that starts here
-        best[starts] = ranks
-        best = best.tolist()
-        pairs, pair = self.pairs, self.pair
+        known, cut = np.unique(ranks[order], return_index=True)
+        waiting = known.tolist()  # ascending, so a heap
+        index: list[list[int] | None] = [None] * len(self.tokens)
+        for r, spots in zip(waiting, np.split(order, cut[1:])):
+            index[r] = spots.tolist()
+        token, after, before, best = np.array(self.byte)[data].tolist(), after.tolist(), before.tolist(), ranks.tolist()
+        merges, push = self.merges, heapq.heappush
         while waiting:
             r = heapq.heappop(waiting)
-            spots = index.pop(r)
+            spots, index[r] = index[r], None
             spots.sort()
+            follow, low = merges[r], r
             for k, i in enumerate(spots):
                 if best[i] != r:
                     continue
                 j = after[i]
-                token[i], token[j], best[j] = r, -1, -1
                 right, left = after[j], before[i]
+                token[i], token[j] = r, -1
+                best[i] = best[j] = -1
                 after[i] = right
-                low = r
                 if right >= 0:
                     before[right] = i
-                    t = token[right]
-                    q = pairs.get(r << 32 | t)
-                    if q is None:
-                        q = pair(r, t)
-                    best[i] = q
-                    if q >= 0:
-                        low = min(low, q)
-                        if q in index:
-                            index[q].append(i)
-                        else:
+                    q = follow.get(token[right])
+                    if q is not None:
+                        best[i] = q
+                        if index[q] is None:
                             index[q] = [i]
-                            heapq.heappush(waiting, q)
-                else:
-                    best[i] = -1
+                            push(waiting, q)
+                        else:
+                            index[q].append(i)
+                        if q < r:
+                            low = q
                 if left >= 0:
-                    t = token[left]
-                    q = pairs.get(t << 32 | r)
+                    q = merges[token[left]].get(r)
                     if q is None:
-                        q = pair(t, r)
-                    best[left] = q
-                    if q >= 0:
-                        low = min(low, q)
-                        if q in index:
-                            index[q].append(left)
-                        else:
+                        best[left] = -1
+                    else:
+                        best[left] = q
+                        if index[q] is None:
                             index[q] = [left]
-                            heapq.heappush(waiting, q)
+                            push(waiting, q)
+                        else:
+                            index[q].append(left)
+                        if q < r:
+                            low = q
                 if low < r:  # a lower rank has appeared and goes first
-                    if k + 1 < len(spots):
-                        rest = index.pop(r, None)
-                        index[r] = spots[k + 1 :] + (rest or [])
-                        if rest is None:
-                            heapq.heappush(waiting, r)
+                    rest = spots[k + 1 :]
+                    if rest and index[r] is None:
+                        push(waiting, r)
+                    if rest:
+                        index[r] = rest + (index[r] or [])
                     break
         out, a = [], 0
         for b in ends.tolist():
@@ -148,7 +145,7 @@ class MergeReplay:
     def learn(self, runs: set[str]) -> None:
         """Encode the new runs of a block together."""
         if len(self.runs) + len(runs) > CACHED:
-            self.runs, self.pieces, self.pairs = {}, {}, {}
+            self.runs, self.pieces = {}, {}
         split = {run: (self.careful if HAS_NEW.search(run) else self.pattern).findall(run) for run in runs}
         new, ask = [], []
         for piece in {p for ps in split.values() for p in ps}.difference(self.pieces):
@@ -159,8 +156,8 @@ class MergeReplay:
             else:
                 new.append(piece)
                 ask.append(data)
-        if new:
-            self.pieces.update(zip(new, self.replay(ask)))
+        for a in range(0, len(new), BLOCK):
+            self.pieces.update(zip(new[a : a + BLOCK], self.replay(ask[a : a + BLOCK])))
         pieces = self.pieces
         for run, ps in split.items():
             self.runs[run] = pieces[ps[0]] if len(ps) == 1 else tuple([i for p in ps for i in pieces[p]])
@@ -173,24 +170,26 @@ class MergeReplay:
         if fresh:
             self.learn(fresh)
         runs = self.runs
-        return [[i for run in s for i in runs[run]] for s in split]
+        return [list(chain.from_iterable(map(runs.__getitem__, s))) for s in split]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def encode_decode(docs: DataFrame, tokens: list[bytes], pattern: str, *, text: str = "text", prefix: str = "", decoded: str | None = None) -> DataFrame:
+def encode_decode(
+    docs: DataFrame, tokens: list[bytes], pattern: str, *, text: str = "text", prefix: str = "", decoded: str | None = None, with_ids: bool = True
+) -> DataFrame:
     """Every row with its token ids (``ids``), their number and digest, and the digest of the bytes decoded from the ids.
 
     Columns ``{prefix}n_tokens, {prefix}ids array<int>, {prefix}ids_sha256, {prefix}decoded_sha256``; with ``decoded``
-    that column also holds the decoded text. A null text counts as empty: no ids, digests of nothing; its decoded text
+    that column also holds the decoded text, without ``with_ids`` the ids are left out. A null text counts as empty: no ids, digests of nothing; its decoded text
     is empty. Columns of the same names are replaced, all other columns pass through, repeated rows each get their own.
     The token list (under 1 MB) is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tokens)
     fields = [
         T.StructField(f"{prefix}n_tokens", T.LongType()),
-        T.StructField(f"{prefix}ids", T.ArrayType(T.IntegerType())),
+        *([T.StructField(f"{prefix}ids", T.ArrayType(T.IntegerType()))] if with_ids else []),
         T.StructField(f"{prefix}ids_sha256", T.StringType()),
         T.StructField(f"{prefix}decoded_sha256", T.StringType()),
     ]
@@ -205,10 +204,12 @@ def encode_decode(docs: DataFrame, tokens: list[bytes], pattern: str, *, text: s
             ids = codec.encode([t or "" for t in rows.column(text).to_pylist()])
             back = [codec.decode(x) for x in ids]
             counts = np.array([len(x) for x in ids], np.int64)
-            flat = np.fromiter((i for x in ids for i in x), np.int32, int(counts.sum()))
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), flat)
             digests = [hashlib.sha256(",".join([decimal[i] for i in x]).encode()).hexdigest() for x in ids]
-            out = [counts, lists, digests, [hashlib.sha256(b).hexdigest() for b in back]]
+            lists = []
+            if with_ids:
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum()))
+                lists = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), flat)]
+            out = [counts, *lists, digests, [hashlib.sha256(b).hexdigest() for b in back]]
             return [*out, [b.decode() for b in back]] if decoded else out
 
         return work

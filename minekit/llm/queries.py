@@ -29,7 +29,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
     tokens = bpe.read_ranks(public_tokenizers.path(RANKS))
-    coded = bpe.encode_decode(docs, tokens, public_tokenizers.PATTERN)
+    coded = bpe.encode_decode(docs, tokens, public_tokenizers.PATTERN, with_ids=False)
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
