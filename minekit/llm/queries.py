@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minekit.llm import bpe, language, secrets, urls
+from minekit.llm import bpe, language, near_dedup, secrets, urls
 from minekit.llm import decontaminate as bench
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +25,11 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+@register
+def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, folder))
+
+
 @register
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
