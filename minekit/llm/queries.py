@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minekit.llm import bpe, language, near_dedup, secrets, urls
+from minekit.llm import bpe, language, licences, near_dedup, secrets, urls
 from minekit.llm import decontaminate as bench
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -157,3 +157,41 @@ select page_id, host, path, r.r.rule "rule", coalesce(r.r.verdict, v.verdict) ve
 
 
 SQL["op8_url_filter"] = _url_sql()
+
+
+@register
+def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
+    found = licences.find_licences(documents(spark, folder).select("doc_id", "text"))
+    place = F.transform(
+        "licences", lambda m: F.concat_ws(":", m["licence"], m["first_line"].cast("string"), m["last_line"].cast("string"), F.format_string("%.6f", m["dice"]))
+    )
+    return found.select("doc_id", F.size("licences").cast("long").alias("n_passages"), F.concat_ws(",", place).alias("passages"))
+
+
+def _licence_sql() -> str:
+    known, _ = licences.prepared(licences.TEMPLATES, licences.LIMIT)
+    t, rows = licences.LIMIT, ", ".join("({}, '{}', [{}])".format(-i, n, ", ".join(f"'{g}'" for g in b)) for i, (n, b) in enumerate(known))
+    telling = ", ".join(f"'{w}'" for w in licences.prepared(licences.TEMPLATES, licences.LIMIT)[1])
+    return f"""
+with templates(o, licence, grams) as (values {rows}),
+l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) s, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 i from documents),
+w as (select doc_id, i, regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}]+') w from l),
+m as (select *, i - row_number() over (partition by doc_id order by i) run from w where list_has_any(w, [{telling}])),
+p as (
+    select doc_id, i a, i z, w from m
+    union all
+    select doc_id, min(i), max(i), flatten(list(w order by i)) from m group by doc_id, run having count(*) > 1
+),
+g as (select doc_id, a, z, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) g, len(w) n, w from p),
+h as (select doc_id, a, z, case when n = 1 then w else g end g from g),
+d as (
+    select doc_id, a, z, licence, o, round(2.0 * len(list_intersect(h.g, grams)) / (len(h.g) + len(grams)), 9) dice from h, templates
+    where len(h.g) between len(grams) * {t / (2 - t)} - 1e-9 and len(grams) * {(2 - t) / t} + 1e-9
+),
+b as (select * from d where dice >= {t} qualify row_number() over (partition by doc_id, a, z order by dice desc, o desc) = 1),
+s as (select doc_id, count(*) n, string_agg(licence || ':' || a || ':' || z || ':' || printf('%.6f', dice), ',' order by a, z) p from b group by 1)
+select doc_id, coalesce(n, 0)::bigint n_passages, coalesce(p, '') passages from documents left join s using (doc_id)
+"""
+
+
+SQL["op10_licences"] = _licence_sql()
