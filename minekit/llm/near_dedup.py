@@ -3,12 +3,8 @@
 A text is the multiset of its runs of five words, weighted by frequency in the text times inverse document frequency in
 the table. Document frequencies are counted in ``2**DF_BITS`` hashed cells, so that the table of weights has one size
 for any corpus; a cell's share of documents hardly depends on the size of the corpus either. ``BANDS`` bands of ``ROWS``
-samples make the candidates, and the weighted Jaccard similarity of the texts themselves decides.
-
-Inside a bucket of candidates a few leaders are compared with all members, instead of all pairs. The distance one minus
-similarity is a metric: members within half the limit of a leader are linked to each other anyway, and one of them is
-set aside when no other member of the bucket could be linked to it without being linked to the leader. What remains goes
-to the next round with more leaders, so no link between the classes of a bucket is lost.
+samples make the candidates, and the weighted Jaccard similarity of the texts themselves decides; one minus it is a
+metric, as ``bucket_links`` needs.
 """
 
 from __future__ import annotations
@@ -22,13 +18,12 @@ from pyspark.sql import types as T
 
 from minekit.llm.arrays import add_columns, gram_hashes, mix, slices
 from minekit.llm.decontaminate import words_of
-from minekit.llm.graph import components
+from minekit.llm.graph import bucket_links, components
 from minekit.scale import settle
 
 SHINGLE, LIMIT = 5, 0.8
 BANDS, ROWS = 8, 3
 DF_BITS = 18
-SMALL = 16  # buckets up to this size are compared pair by pair
 _LOW = np.uint64((1 << 48) - 1)
 _CELL = np.uint64(48 - DF_BITS)
 _TABLE = 1 << 16
@@ -171,40 +166,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, log_idf: np.ndarray) -> DataFr
     return add_columns(both.select("a", "b", "text_a", "text_b"), "text_b", [T.StructField("distance", T.DoubleType())], task, keep=["a", "b"])
 
 
-def _links(members: DataFrame, texts: DataFrame, log_idf: np.ndarray, limit: float) -> DataFrame:
-    """Links between members ``band, key, doc_id`` of the same bucket that connect all its similar texts."""
-    far = 1.0 - limit
-    found, leaders = None, 1
-    members = settle(members)
-    while True:
-        sizes = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("first")).where("n > 1")
-        sized = settle(members.join(sizes, ["band", "key"]).select("band", "key", "doc_id", "n", F.col("first.doc_id").alias("first")))
-        if sized.isEmpty():
-            break
-        # the bucket's first member leads, with others by chance of their hash; in small buckets everyone does
-        chosen = (F.col("doc_id") == F.col("first")) | (F.pmod(F.xxhash64("doc_id"), F.col("n")) < leaders - 1)
-        led = sized.withColumn("leads", (F.col("n") <= SMALL) | chosen)
-        heads = led.where("leads").select("band", "key", F.col("doc_id").alias("leader"))
-        other = F.col("leader") != F.col("doc_id")
-        met = led.join(heads, ["band", "key"]).where(other & (~F.col("leads") | (F.col("leader") < F.col("doc_id"))))
-        met = settle(met.select("band", "key", "n", "leader", "doc_id", "leads"))
-        pairs = met.select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
-        tested = settle(_verified(pairs, texts, log_idf))
-        links = tested.where(F.col("distance") <= far + 1e-9).select("a", "b")
-        found = links if found is None else found.unionByName(links)
-        large = met.where((F.col("n") > SMALL) & ~F.col("leads"))
-        if large.isEmpty():
-            break
-        keyed = large.withColumns({"a": F.least("leader", "doc_id"), "b": F.greatest("leader", "doc_id")}).join(tested, ["a", "b"])
-        keyed = keyed.select("band", "key", "leader", "doc_id", "distance")
-        misses = keyed.where(F.col("distance") > far + 1e-9).groupBy("band", "key", "leader").agg(F.min("distance").alias("miss"))
-        judged = keyed.join(misses, ["band", "key", "leader"], "left")
-        aside = (F.col("distance") <= far / 2) & (F.col("distance") < F.coalesce(F.col("miss"), F.lit(2.0)) - far - 1e-9)
-        rest = judged.groupBy("band", "key", "doc_id").agg(F.max(aside.cast("int")).alias("aside")).where("aside = 0")
-        members, leaders = settle(rest.select("band", "key", "doc_id")), leaders * 4
-    return found
-
-
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", limit: float = LIMIT) -> DataFrame:
     """``doc_id, class_id, n_class`` for every row: the smallest id of its class of near copies, and the rows in it.
 
@@ -221,7 +182,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     members = settle(members.join(shared.select("band", "key"), ["band", "key"]))
     wanted = members.select("doc_id").distinct()
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id", "left_semi")
-    links = _links(members, settle(texts), log_idf, limit)
+    texts = settle(texts)
+    links = bucket_links(members, lambda pairs: _verified(pairs, texts, log_idf), 1.0 - limit)
     named = heads.select("content", F.col("head").alias("node"))
     if links is not None:
         named = named.join(components(links), "node", "left").select("content", F.coalesce("component", "node").alias("class"))

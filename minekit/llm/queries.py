@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minekit.llm import bpe, language, licences, near_dedup, secrets, urls
+from minekit.llm import bpe, language, licences, near_dedup, secrets, simhash, urls
 from minekit.llm import decontaminate as bench
+from minekit.scale import settle
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,6 +160,22 @@ select page_id, host, path, r.r.rule "rule", coalesce(r.r.verdict, v.verdict) ve
 SQL["op8_url_filter"] = _url_sql()
 
 
+@register
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    prints = settle(simhash.fingerprint_edits(documents(spark, folder)))
+    classes = simhash.fingerprint_classes(prints)
+    return prints.join(classes, "fingerprint").select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"),
+        simhash.hexadecimal(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        simhash.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        simhash.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        simhash.hexadecimal(F.col("class")).alias("near_class"),
+    )
+
+
 @register
 def op10_licences(spark: SparkSession, folder: str) -> DataFrame:
     found = licences.find_licences(documents(spark, folder).select("doc_id", "text"))
