@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minekit.llm import bpe, language, licences, near_dedup, secrets, simhash, urls
+from minekit.llm import bpe, language, licences, lm, near_dedup, secrets, simhash, urls
 from minekit.llm import decontaminate as bench
 from minekit.scale import settle
 
@@ -47,6 +47,11 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     return named.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+@register
+def op4_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_texts(documents(spark, folder), language.held_out("doc_id", 7, 2))
+
+
 @register
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
