@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from minekit.scale import settle
+
 LEVELS, SUPPORT, Z, WEIGHT, PURITY = 3, 20, 1.96, 4.0, 0.5
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Verdict, host and path of a rule; ``net/`` is the host ``net`` with the path ``/``.
@@ -52,7 +54,7 @@ def _blocked_share(blocked: Column, judged: Column) -> Column:
 
 def template_verdicts(shapes: DataFrame) -> DataFrame:
     """``shapes``: host, s1..sN, urls, blocked, allowed. Adds the template t1..tN, ``purity`` and ``verdict``."""
-    at = shapes
+    at = settle(shapes)
     parent = ["host"]
     for level in range(1, LEVELS + 1):
         s, t = f"s{level}", f"t{level}"
@@ -67,7 +69,7 @@ def template_verdicts(shapes: DataFrame) -> DataFrame:
         apart = F.coalesce(F.abs(gap) > Z * error, F.lit(False))
         keeps = (F.col(s) == "") | ((F.col("urls") >= SUPPORT) & apart)
         named = branches.join(whole, parent).select(*parent, s, F.when(keeps, F.col(s)).otherwise("*").alias(t))
-        at = at.join(named, [*parent, s])
+        at = settle(at.join(named, [*parent, s]))  # as few rows as there are shapes, read several times below
         parent = [*parent, t]
     sums = [F.sum(c).cast("double").alias(c) for c in ("blocked", "allowed")]
     leaves = at.groupBy(*parent).agg(*sums)
