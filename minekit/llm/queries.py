@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minekit.llm import bpe, language, licences, lm, near_dedup, secrets, simhash, urls
+from minekit.llm import bpe, language, licences, lm, near_dedup, secrets, simhash, substrings, urls
 from minekit.llm import decontaminate as bench
 from minekit.scale import settle
 
@@ -31,6 +31,11 @@ def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, folder))
 
 
+@register
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, folder)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @register
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
