@@ -41,38 +41,39 @@ def components(links: DataFrame) -> DataFrame:
 def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], far: float) -> DataFrame | None:
     """Links ``a, b`` that connect all members of a bucket with a distance of at most ``far``, without meeting all pairs.
 
-    ``members``: ``band, key, doc_id``; ``verify`` adds ``distance`` to pairs ``a, b`` of ids. A few leaders of each bucket
-    are compared with all its members. The distance must be a metric: members within half of ``far`` of a leader are
-    linked to each other anyway, and one of them is set aside when nothing in the bucket could be linked to it without
-    being linked to the leader. What remains goes to the next round with four times as many leaders, so no link
-    between the classes of a bucket is lost. None if no two members share a bucket.
+    ``members``: ``band, key, doc_id``; ``verify`` adds ``distance`` to pairs ``a, b`` of ids. At first one leader of each
+    bucket is compared with its members. After every round the components of the links so far are found: members of one
+    component need not meet, and a bucket within one component is done. The others go on with four times as many leaders;
+    in those of at most ``SMALL`` members all lead. The distance must be a metric: a member within half of ``far`` of a
+    leader leaves its bucket when nothing of another component could be linked to it without being linked to the leader.
+    So no link between classes is lost. None if no two members share a bucket.
     """
     found, leaders = None, 1
-    members = settle(members)
+    members = settle(members.withColumn("part", F.col("doc_id")))
     while True:
-        sizes = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("first")).where("n > 1")
-        sized = settle(members.join(sizes, ["band", "key"]).select("band", "key", "doc_id", "n", F.col("first.doc_id").alias("first")))
+        sizes = members.groupBy("band", "key").agg(
+            F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.xxhash64("doc_id")).alias("first")
+        )
+        sized = settle(members.join(sizes.where("low < high"), ["band", "key"]).drop("low", "high"))
         if sized.isEmpty():
             break
-        # the bucket's first member leads, with others by chance of their hash; in small buckets everyone does
-        chosen = (F.col("doc_id") == F.col("first")) | (F.pmod(F.xxhash64("doc_id"), F.col("n")) < leaders - 1)
-        led = sized.withColumn("leads", (F.col("n") <= SMALL) | chosen)
-        heads = led.where("leads").select("band", "key", F.col("doc_id").alias("leader"))
-        other = F.col("leader") != F.col("doc_id")
-        met = led.join(heads, ["band", "key"]).where(other & (~F.col("leads") | (F.col("leader") < F.col("doc_id"))))
-        met = settle(met.select("band", "key", "n", "leader", "doc_id", "leads"))
+        # the bucket's first member leads, with others by chance of their hash
+        chosen = (F.xxhash64("doc_id") == F.col("first")) | (F.pmod(F.xxhash64("doc_id"), F.col("n")) < leaders - 1)
+        led = sized.withColumn("leads", chosen | ((F.col("n") <= SMALL) & F.lit(leaders > 1)))
+        heads = led.where("leads").select("band", "key", F.col("doc_id").alias("leader"), F.col("part").alias("leader_part"))
+        apart = (F.col("leader_part") != F.col("part")) & (~F.col("leads") | (F.col("leader") < F.col("doc_id")))
+        met = settle(led.join(heads, ["band", "key"]).where(apart).select("band", "key", "leader", "doc_id", "leads"))
         pairs = met.select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
         tested = settle(verify(pairs))
         links = tested.where(F.col("distance") <= far + 1e-9).select("a", "b")
         found = links if found is None else found.unionByName(links)
-        large = met.where((F.col("n") > SMALL) & ~F.col("leads"))
-        if large.isEmpty():
-            break
-        keyed = large.withColumns({"a": F.least("leader", "doc_id"), "b": F.greatest("leader", "doc_id")}).join(tested, ["a", "b"])
-        keyed = keyed.select("band", "key", "leader", "doc_id", "distance")
-        misses = keyed.where(F.col("distance") > far + 1e-9).groupBy("band", "key", "leader").agg(F.min("distance").alias("miss"))
-        judged = keyed.join(misses, ["band", "key", "leader"], "left")
-        aside = (F.col("distance") <= far / 2) & (F.col("distance") < F.coalesce(F.col("miss"), F.lit(2.0)) - far - 1e-9)
-        rest = judged.groupBy("band", "key", "doc_id").agg(F.max(aside.cast("int")).alias("aside")).where("aside = 0")
-        members, leaders = settle(rest.select("band", "key", "doc_id")), leaders * 4
+        judged = met.where(~F.col("leads")).withColumns({"a": F.least("leader", "doc_id"), "b": F.greatest("leader", "doc_id")}).join(tested, ["a", "b"])
+        judged = judged.select("band", "key", "leader", "doc_id", "distance")
+        misses = judged.where(F.col("distance") > far + 1e-9).groupBy("band", "key", "leader").agg(F.min("distance").alias("miss"))
+        near = judged.where(F.col("distance") <= far / 2).join(misses, ["band", "key", "leader"], "left")
+        safe = near.where(F.col("distance") < F.coalesce("miss", F.lit(float("inf"))) - far - 1e-9).select("band", "key", "doc_id").distinct()
+        rest = led.where(~F.col("leads")).select("band", "key", "doc_id").join(safe, ["band", "key", "doc_id"], "left_anti")
+        named = components(found).select(F.col("node").alias("doc_id"), "component")
+        members = settle(rest.join(named, "doc_id", "left").select("band", "key", "doc_id", F.coalesce("component", "doc_id").alias("part")))
+        leaders *= 4
     return found

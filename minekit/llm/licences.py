@@ -97,10 +97,10 @@ def find_licences(
     def words(line: Column) -> Column:
         return F.regexp_extract_all(F.lower(line), F.lit(f"({WORD})"), F.lit(1))
 
-    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda s, i: F.struct(i.alias("line"), words(s).alias("words")))
+    lines = F.transform(F.split(F.coalesce(F.col("__text"), F.lit("")), "\n"), lambda s, i: F.struct(i.alias("line"), words(s).alias("words")))
     marked = F.filter(lines, lambda s: F.exists(s["words"], lambda w: w.isin(*telling)))
-    kept = [c for c in docs.columns if c.lower() != out.lower()]
-    rows = docs.withColumn("__marked", marked)
+    kept = [F.col("__row")[c].alias(c) for c in docs.columns if c.lower() != out.lower()]
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__text")).withColumn("__marked", marked)
 
     none = F.array().cast("array<struct<first_line:int,last_line:int,words:array<string>>>")
 
@@ -140,4 +140,4 @@ def find_licences(
         return F.struct(p["first_line"].alias("first_line"), p["last_line"].alias("last_line"), top["licence"].alias("licence"), top["dice"].alias("dice"))
 
     scored = F.array_sort(F.filter(F.transform("__grams", best), lambda s: s["dice"] >= limit))
-    return rows.withColumn(out, scored).select(*kept, out)
+    return rows.withColumn("__scored", scored).select(*kept, F.col("__scored").alias(out))

@@ -2,8 +2,9 @@
 
 A token's encoding follows from its characters. Three statistics are taken over its symbols: chi-squared against a
 uniform alphabet, runs above and below the middle of the alphabet, and serial correlation. A random token must pass all
-three together (Fisher's sum against ``RANDOM``); its p-value is the chance that ordinary text, whose symbols coincide
-``COINCIDENCE`` times as often as uniform ones, looks as even as the token does. Over the whole table these p-values
+three together (Fisher's sum against ``RANDOM``); its p-value is the chance that ordinary text looks as
+even as the token does; two symbols of ordinary text are alike with the chance ``ALIKE``, or ``COINCIDENCE`` times that of
+uniform symbols if this is more. Over the whole table these p-values
 are held to the false-discovery rate ``FDR`` separately per encoding and length class (Benjamini and Hochberg, on counts
 per p-value bin, so that no class has to be sorted).
 """
@@ -20,7 +21,7 @@ ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 TOKEN = "[A-Za-z0-9+/_=-]{20,}"
 KINDS = ["assign", "access", "hex", "random"]
-COINCIDENCE = 1.73
+COINCIDENCE, ALIKE = 1.73, 0.065
 RANDOM = 0.001
 FDR = 0.01
 _BINS, _PER_DECADE = 400, 20
@@ -120,6 +121,8 @@ def battery(tokens: Column) -> Column:
         out,
         chi=lambda e: e["k"] / e["n"] * e["squares"] - e["n"],
         deviation=lambda e: F.sqrt(2 * (e["k"] - 1) * (e["n"] - 1) / e["n"]),
+        # of chi-squared in ordinary text over that of random symbols
+        excess=lambda e: (e["n"] - 1) * (F.greatest(F.lit(COINCIDENCE), ALIKE * e["k"]) - 1),
         # a sequence without variation is as far from random as can be
         runs_z=lambda e: F.when(e["runs"] > 2, (e["turns"] - e["runs"]) / F.sqrt((e["runs"] - 1) * (e["runs"] - 2) / (e["n"] - 1))).otherwise(12.0),
         serial_z=lambda e: F.when(e["spread"] > 1e-9, (F.try_divide(e["lagged"], e["spread"]) + 1 / e["n"]) * F.sqrt(e["n"])).otherwise(12.0),
@@ -130,7 +133,7 @@ def battery(tokens: Column) -> Column:
         half=lambda e: -F.log(F.greatest(1 - normal_below((e["chi"] - (e["k"] - 1)) / e["deviation"]), F.lit(1e-300)))
         - F.log(F.greatest(2 - 2 * normal_below(F.abs(e["runs_z"])), F.lit(1e-300)))
         - F.log(F.greatest(2 - 2 * normal_below(F.abs(e["serial_z"])), F.lit(1e-300))),
-        p_text=lambda e: normal_below((e["chi"] - (e["k"] - 1 + (e["n"] - 1) * (COINCIDENCE - 1))) / (COINCIDENCE * e["deviation"])),
+        p_text=lambda e: normal_below((e["chi"] - (e["k"] - 1 + e["excess"])) / F.sqrt(2 * (e["k"] - 1) + 4 * e["excess"])),
     )
     known = ["encoding", "n", "p_text"]
     # Fisher's sum is twice ``half``; tail of chi-squared with six degrees of freedom
@@ -162,13 +165,14 @@ def find_secrets(docs: DataFrame, *, text: str = "text", out: str = "secrets") -
     A null text has no spans. A column named ``out`` is replaced, all others pass through, repeated rows each get
     their own spans; repeated tokens count each time in the false-discovery control.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
+    whole = F.coalesce(F.col("__text"), F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__text"))
     tokens = F.regexp_extract_all(whole, F.lit(f"({TOKEN})"), F.lit(1))
-    tests = docs.select(tokens.alias("tokens")).where(F.size("tokens") > 0).select(F.explode(battery(F.col("tokens"))).alias("test"))
+    tests = rows.select(tokens.alias("tokens")).where(F.size("tokens") > 0).select(F.explode(battery(F.col("tokens"))).alias("test"))
     bins = discovery_bins(tests.where(F.col("test.p_random") >= RANDOM), "test")
     limits = bins.agg(F.map_from_entries(F.collect_list(F.struct("class", "least"))).alias("limits"))
 
-    based = base_spans(docs, text, "__base").withColumns({"__tokens": tokens, "__limits": limits.scalar()})
+    based = base_spans(rows, "__text", "__base").withColumns({"__tokens": tokens, "__limits": limits.scalar()})
     tested = based.withColumns({"__spans": _located(whole, F.col("__tokens"), TOKEN, 3), "__tests": battery(F.col("__tokens"))})
     passed = F.transform(
         "__tests",
@@ -179,8 +183,8 @@ def find_secrets(docs: DataFrame, *, text: str = "text", out: str = "secrets") -
         "__spans",
         lambda s, i: F.element_at("__passed", i + 1) & ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
     )
-    done = judged.withColumn(out, F.array_sort(F.concat("__base", random)))
-    return done.select(*[c for c in docs.columns if c.lower() != out.lower()], out)
+    done = judged.withColumn("__found", F.array_sort(F.concat("__base", random)))
+    return done.select(*[F.col("__row")[c].alias(c) for c in docs.columns if c.lower() != out.lower()], F.col("__found").alias(out))
 
 
 def listed(spans: str | Column, base_only: bool = False) -> Column:

@@ -28,8 +28,8 @@ def words(text: Column) -> Column:
 
 def fingerprints(rows: DataFrame, keys: list[str], terms: str) -> DataFrame:
     """``keys, fingerprint`` of each group of rows with a word in ``terms``; null words do not vote, no votes give 0."""
-    weight = F.least(F.length(terms), F.lit(HEAVY)).cast("long")
-    votes = rows.select(*keys, F.xxhash64(terms).alias("__h"), F.coalesce(weight, F.lit(0)).alias("__w"))
+    weight = F.when(F.col(terms).isNull(), 0).otherwise(F.least(F.length(terms), F.lit(HEAVY))).cast("long")
+    votes = rows.select(*keys, F.xxhash64(terms).alias("__h"), weight.alias("__w"))
     sums = [F.sum(F.shiftrightunsigned("__h", i).bitwiseAND(F.lit(_PAIR)) * F.col("__w")).alias(f"__s{i}") for i in range(32)]
     counted = votes.groupBy(*keys).agg(F.sum("__w").alias("__all"), *sums)
     bits = F.lit(0).cast("long")

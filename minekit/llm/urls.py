@@ -90,9 +90,9 @@ def judge_urls(pages: DataFrame, *, url: str = "url", rules: Sequence[tuple[str,
     A null url or one without ``://`` has an empty host and path and forms a host of its own. With no judged url at
     all everything is allowed. Columns of these names are replaced, others pass through, repeated rows each count.
     """
-    own = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    own = [F.col("__row")[c].alias(c) for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     address = F.col(url)
-    split = pages.select(*own, host_of(address).alias("__host"), path_of(address).alias("__path"))
+    split = pages.select(F.struct(*pages.columns).alias("__row"), host_of(address).alias("__host"), path_of(address).alias("__path"))
     ruled = split.withColumn("__rule", rule_for(F.col("__host"), F.col("__path"), rules))
     shaped = ruled.withColumns({f"__s{i}": _segment(F.col("__path"), i) for i in range(1, LEVELS + 1)})
     shape = [F.col("__host").alias("host"), *[F.col(f"__s{i}").alias(f"s{i}") for i in range(1, LEVELS + 1)]]
