@@ -82,9 +82,12 @@ def _coded(token: Column) -> Column:
     """Encoding, alphabet size and symbol numbers of a token; null if its characters fit no encoding."""
     chars = F.split(F.regexp_replace(token, "=+$", ""), "")
     chosen = F.lit(None)
+
+    def numbers(alphabet: str) -> Column:
+        return F.transform(chars, lambda c: F.instr(F.lit(alphabet), c).cast("double"))
+
     for name, fits, alphabet in reversed(ENCODINGS):
-        numbers = F.transform(chars, lambda c, alphabet=alphabet: F.instr(F.lit(alphabet), c).cast("double"))
-        fitted = F.struct(F.lit(name).alias("encoding"), F.lit(float(len(alphabet))).alias("k"), numbers.alias("v"))
+        fitted = F.struct(F.lit(name).alias("encoding"), F.lit(float(len(alphabet))).alias("k"), numbers(alphabet).alias("v"))
         chosen = F.when(token.rlike(fits), fitted).otherwise(chosen)
     return chosen
 
