@@ -69,7 +69,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def _power(base: np.uint64, n: int) -> np.ndarray:
     key = str(base)
     if key not in _powers or len(_powers[key]) < n:
-        size = max(n, SLICE_BYTES + (1 << 16))
+        size = 1 << max(1 << 16, n - 1).bit_length()
         _powers[key] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, base))])
     return _powers[key][:n]
 

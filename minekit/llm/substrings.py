@@ -29,7 +29,7 @@ KEY = 96
 LARGE = 4096
 #: Every difference modulo 31 occurs once among these.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
-_SLICE_BYTES = 2 << 20
+_SLICE_BYTES = 1 << 20
 _PLACE_BITS = np.uint64(28)
 _VALUES = byte_values(fold_case=False)
 
@@ -113,16 +113,17 @@ def repeated_starts(data: np.ndarray, bucket: np.ndarray, at: np.ndarray, length
     order = np.lexsort(head.T[::-1])
     ranked, depth = head[order], 32
     new = np.concatenate([[False], (ranked[1:] != ranked[:-1]).any(1)])
+    del head, ranked
     ranks: dict[int, np.ndarray] = {}
-    rank = np.zeros(n + 1024, np.int64)
+    rank = np.zeros(n + 1024, np.int32)
     rank[sample[order]] = np.cumsum(new) + 1
     ranks[depth] = rank
     step = PERIOD
     while depth + step <= max(32, length // 2 + PERIOD + 64) and depth < length - 2 * PERIOD:
-        pair = rank[sample] << 32 | rank[sample + step]
+        pair = rank[sample].astype(np.int64) << 32 | rank[sample + step]
         order = np.argsort(pair, kind="stable")
         new = np.concatenate([[False], pair[order][1:] != pair[order][:-1]])
-        rank = np.zeros(n + 1024, np.int64)
+        rank = np.zeros(n + 1024, np.int32)
         rank[sample[order]] = np.cumsum(new) + 1
         depth, step = depth + step, step * 2
         ranks[depth] = rank
