@@ -180,13 +180,10 @@ def daily_grid(df: DataFrame, date: str) -> DataFrame:
 
 
 def tag_shares(df: DataFrame, tags: Mapping[str, Column]) -> DataFrame:
-    """Count and percent of rows per (overlapping) predicate."""
+    """Count and percent of rows per (overlapping) predicate; the percent of an empty table is null."""
     wide = df.agg(F.count("*").alias("__rows"), *[F.count_if(p).alias(t) for t, p in tags.items()])
     long = wide.unpivot(["__rows"], list(tags), "tag", "n")
-    return long.select("tag", "n", (F.col("n") * 100 / F.col("__rows")).alias("percent"))
-
-
-category_counts = tag_shares
+    return long.select("tag", "n", F.try_divide(F.col("n") * 100, F.col("__rows")).alias("percent"))
 
 
 def fold_small(df: DataFrame, c: str, pct: float, other: str = "Other") -> DataFrame:

@@ -120,10 +120,10 @@ def xmeans(df: DataFrame, cols: Sequence[str], kmax: int, seed: int = 42) -> tup
     return assign(df, cols, np.array(centres)), np.array(centres)
 
 
-def kth_distance(df: DataFrame, cols: Sequence[str], row_id: str, k: int, top_cell: float) -> DataFrame:
+def kth_distance(df: DataFrame, cols: Sequence[str], row_id: str, k: int) -> DataFrame:
     """Distance to the k-th other row, for choosing the DBSCAN radius."""
     near = knn_grid(
-        df, df.withColumnRenamed(row_id, "ref"), query_id=row_id, ref_id="ref", coords=list(cols), k=k, top_cell=top_cell, strict=True
+        df, df.withColumnRenamed(row_id, "ref"), query_id=row_id, ref_id="ref", coords=list(cols), k=k, strict=True
     )
     return near.where(F.col("rank") == k).select(row_id, F.col("dist").alias("kth_distance"))
 

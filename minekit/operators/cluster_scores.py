@@ -75,7 +75,7 @@ def silhouette(df: DataFrame, cols: Sequence[str], cluster: str) -> DataFrame:
     marked = marked.withColumn("__mean", mean)
     a = F.array_max(F.transform(F.filter("__mean", lambda m: m["own"]), lambda m: m["d"]))
     b = F.array_min(F.transform(F.filter("__mean", lambda m: ~m["own"]), lambda m: m["d"]))
-    score = F.when(F.col("__own") == 1, 0.0).otherwise(F.try_divide(b - a, F.greatest(a, b)))
+    score = F.when(F.col("__own") == 1, 0.0).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.when(b.isNotNull(), 0.0)))
     return marked.withColumn("silhouette", score).drop("__all", "__x", "__len", "__own", "__mean")
 
 
@@ -112,12 +112,12 @@ def silhouette_euclidean(
         F.max(F.when(mine, F.col("n"))).alias("own_n"),
         F.min(F.when(~mine, F.col("t") / F.col("n"))).alias("b"),
     )
-    score = F.when(F.col("own_n") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    score = F.when(F.col("own_n") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
     return per.select(F.col("id").alias(row_id), score.alias("silhouette"))
 
 
 def davies_bouldin(df: DataFrame, cols: Sequence[str], cluster: str) -> DataFrame:
-    """Mean over clusters of the worst (spread + spread) / centroid distance."""
+    """Mean over clusters of the worst (spread + spread) / centroid distance; pairs with one centroid are left out."""
     centres = df.groupBy(cluster).agg(F.count("*").alias("__rows"), F.array(*[F.avg(c) for c in cols]).alias("__centre"))
     spread = attach(df, centres, [cluster], "__rows").groupBy(cluster).agg(
         F.avg(F.sqrt(sq_dist(point(cols), F.col("__centre")))).alias("s"), F.first("__centre").alias("v")
@@ -125,7 +125,7 @@ def davies_bouldin(df: DataFrame, cols: Sequence[str], cluster: str) -> DataFram
     everyone = spread.agg(F.collect_list(F.struct(F.col(cluster).alias("label"), "s", "v")).alias("c"))
     marked = spread.withColumn("__all", one_row(everyone)["c"])
     others = F.filter("__all", lambda o: o["label"] != F.col(cluster))
-    worst = F.array_max(F.transform(others, lambda o: (F.col("s") + o["s"]) / F.sqrt(sq_dist(F.col("v"), o["v"]))))
+    worst = F.array_max(F.transform(others, lambda o: F.try_divide(F.col("s") + o["s"], F.sqrt(sq_dist(F.col("v"), o["v"])))))
     return marked.select(worst.alias("w")).agg(F.avg("w").alias("davies_bouldin"))
 
 
@@ -135,7 +135,8 @@ def calinski_harabasz(df: DataFrame, cols: Sequence[str], cluster: str) -> DataF
     total = one_row(df.agg(within.alias("t")))["t"]
     k, n, w = F.count("*"), F.sum("n"), F.sum("w")
     sums = per.agg(k.alias("k"), n.alias("n"), w.alias("w"))
-    ratio = ((total - F.col("w")) / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))
+    # null with one cluster, as many clusters as rows, or no spread inside clusters
+    ratio = F.try_divide(F.try_divide(total - F.col("w"), F.col("k") - 1), F.try_divide(F.col("w"), F.col("n") - F.col("k")))
     return sums.select(ratio.alias("calinski_harabasz"))
 
 

@@ -20,20 +20,20 @@ def _score_steps(df: DataFrame, label: str, prob: str) -> DataFrame:
 
 
 def auroc(df: DataFrame, label: str, prob: str) -> DataFrame:
-    """Area under the ROC curve; tied scores count half."""
+    """Area under the ROC curve; tied scores count half. Null if there is one class only."""
     steps = _score_steps(df, label, prob)
     wins = F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2))
-    return steps.agg((wins / (F.sum("pos") * F.sum("neg"))).alias("auroc"))
+    return steps.agg(F.try_divide(wins, F.sum("pos") * F.sum("neg")).alias("auroc"))
 
 
 def roc(df: DataFrame, label: str, prob: str) -> DataFrame:
-    """ROC points, one per distinct score: ``threshold, fpr, tpr``."""
+    """ROC points, one per distinct score: ``threshold, fpr, tpr``; the rate of a class without rows is null."""
     steps = _score_steps(df, label, prob)
     total = one_row(steps.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")))
     return steps.select(
         F.col("score").alias("threshold"),
-        ((F.col("neg_above") + F.col("neg")) / total["n"]).alias("fpr"),
-        ((F.col("pos_above") + F.col("pos")) / total["p"]).alias("tpr"),
+        F.try_divide(F.col("neg_above") + F.col("neg"), total["n"]).alias("fpr"),
+        F.try_divide(F.col("pos_above") + F.col("pos"), total["p"]).alias("tpr"),
     )
 
 

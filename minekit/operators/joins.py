@@ -18,9 +18,11 @@ from minekit.scale import enrich, settle, tile_join
 
 def lookup_join(df: DataFrame, dim: DataFrame, on: Sequence[str], validate: str | None = "m:1") -> DataFrame:
     """Left equi-join; with ``m:1`` a repeated dimension key fails the job instead of adding rows."""
-    joined = df.join(dim, list(on), "left")
     if validate != "m:1":
-        return joined
+        return df.join(dim, list(on), "left")
+    first = dim.groupBy(*on).agg(F.min(F.struct(*[c for c in dim.columns if c not in on])).alias("__dim"))
+    rest = [c for c in dim.columns if c not in on]
+    joined = enrich(df, first, on).select(*df.columns, *[F.col("__dim")[c].alias(c) for c in rest])
     repeated = dim.groupBy(*on).count().where("count > 1").agg(F.count("*")).scalar()
     message = F.lit(f"lookup key {', '.join(on)} is not unique")
     return joined.where(F.when(repeated > 0, F.raise_error(message).cast("boolean")).otherwise(True))
@@ -202,6 +204,9 @@ def _neighbour_cells(dims: int) -> list[tuple[int, ...]]:
     return cells
 
 
+_DEEPEST = 48  # halvings of the extent; below that coordinates of doubles are the same
+
+
 def knn_grid(
     queries: DataFrame,
     refs: DataFrame,
@@ -211,13 +216,12 @@ def knn_grid(
     coords: Sequence[str],
     k: int,
     block: Sequence[str] = (),
-    top_cell: float,
-    levels: int = 12,
+    per_cell: int = 4096,
     strict: bool = False,
 ) -> DataFrame:
     """Exact k nearest neighbours in 1 to 3 dimensions: ``query_id, ref_id, dist, rank``.
 
-    Cells halve in size from ``top_cell`` (at least the extent of the data) over ``levels`` steps.
+    Cells halve in size from the extent of all points until no cell holds more than ``per_cell`` reference locations.
       1. For every query cell, the finest level whose 3^d neighbourhood holds k reference points is
          found from cell counts; the k nearest points in it bound the true distance by r.
       2. Everything within r lies in the 3^d neighbourhood at the level with cells just above r.
@@ -241,15 +245,13 @@ def knn_grid(
     location = F.struct(*block, *coords).alias("__qid")
     asked = queries.where(valid).select(location, *block, *coords).distinct()
 
-    def cell(level: Column, c: Column) -> Column:
-        return F.floor(c * F.pow(F.lit(2.0), level) / top_cell).cast("long")
+    def cell(level: Column, c: str) -> Column:
+        return F.floor((F.col(c) - low[c]) * F.pow(F.lit(2.0), level) / top_cell).cast("long")
 
     axes = [f"__c{i}" for i in range(dims)]
-    every = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("__level")
-
     def at_levels(df: DataFrame) -> DataFrame:
         spread = df.select("*", every)
-        return spread.withColumns({a: cell(F.col("__level"), F.col(c)) for a, c in zip(axes, coords)})
+        return spread.withColumns({a: cell(F.col("__level"), c) for a, c in zip(axes, coords)})
 
     around = F.array(
         *[F.struct(*[F.lit(o).alias(f"o{i}") for i, o in enumerate(off)]) for off in _neighbour_cells(dims)]
@@ -259,6 +261,19 @@ def knn_grid(
         near = df.withColumn("__o", F.explode(around))
         return near.withColumns({a: F.col(a) + F.col(f"__o.o{i}") for i, a in enumerate(axes)}).drop("__o")
 
+    spots = settle(spots)
+    ends = [f(c) for c in coords for f in (F.min, F.max)]
+    box = spots.select(*coords).unionByName(asked.select(*coords)).agg(F.count("*"), *ends).first()
+    n, low = box[0], {c: float(box[2 * i + 1] or 0.0) for i, c in enumerate(coords)}
+    # the first level is one cell with a margin, so every point is in the neighbourhood of every other
+    top_cell = max(float(box[2 * i + 2] or 0.0) - low[c] for i, c in enumerate(coords)) or 1.0
+    levels = max(1, math.ceil(math.log2(n / 64 + 1) / dims))
+    while levels < _DEEPEST:
+        finest = spots.groupBy(*block, *[cell(F.lit(levels), c) for c in coords]).count()
+        if (finest.agg(F.max("count")).first()[0] or 0) <= per_cell:
+            break
+        levels = min(_DEEPEST, levels + 3)
+    every = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("__level")
     ref_cells = settle(at_levels(spots))
     cell_keys = [*block, "__level", *axes]
     counts = ref_cells.groupBy(*cell_keys).agg(F.count("*").alias("__n"))
@@ -277,7 +292,7 @@ def knn_grid(
     best = Window.partitionBy("__qid").orderBy("dist", "__ref")
 
     def nearest(df: DataFrame) -> DataFrame:
-        cut = df.withColumns({a: cell(F.col("__level"), F.col(c)) for a, c in zip(axes, coords)})
+        cut = df.withColumns({a: cell(F.col("__level"), c) for a, c in zip(axes, coords)})
         pairs = neighbours(cut).join(right, cell_keys).withColumn("dist", dist)
         ranked = pairs.withColumn("rank", F.row_number().over(best))
         return ranked.where(F.col("rank") <= keep)
@@ -327,8 +342,6 @@ def knn_geo(
         coords=["__x", "__y", "__z"],
         k=k,
         block=block,
-        top_cell=4.0,
-        levels=14,
         strict=strict,
     )
     return chord.withColumn("dist", 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.col("dist") / 2)))
@@ -395,28 +408,6 @@ def knn_vectors(
     return ranked.select(F.col("q").alias(query_id), F.col("r").alias(f"nn_{ref_id}"), "dist", "rank")
 
 
-def eps_join(
-    df: DataFrame, *, row_id: str, coords: Sequence[str], eps: float
-) -> DataFrame:
-    """Pairs ``(a, b, dist)`` of points at most ``eps`` apart (a != b), by eps-sized grid cells."""
-    axes = [f"__c{i}" for i in range(len(coords))]
-    cut = df.select(F.col(row_id).alias("a"), *coords).withColumns(
-        {x: F.floor(F.col(c) / eps).cast("long") for x, c in zip(axes, coords)}
-    )
-    around = F.array(
-        *[
-            F.struct(*[F.lit(o).alias(f"o{i}") for i, o in enumerate(off)])
-            for off in _neighbour_cells(len(coords))
-        ]
-    )
-    near = cut.withColumn("__o", F.explode(around))
-    near = near.withColumns({x: F.col(x) + F.col(f"__o.o{i}") for i, x in enumerate(axes)}).drop("__o")
-    other = cut.select(F.col("a").alias("b"), *axes, *[F.col(c).alias(f"__r_{c}") for c in coords])
-    dist = F.sqrt(sum((F.pow(F.col(c) - F.col(f"__r_{c}"), 2) for c in coords), F.lit(0.0)))
-    pairs = near.join(other, axes).where(F.col("a") != F.col("b")).withColumn("dist", dist)
-    return pairs.where(F.col("dist") <= eps).select("a", "b", "dist")
-
-
 def column_pairs(cols: Sequence[str]) -> list[tuple[str, str]]:
     """Unordered pairs of a (short) list of columns."""
     cols = list(cols)

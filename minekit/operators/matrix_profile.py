@@ -216,7 +216,7 @@ def motifs(
     m: int,
     *,
     max_motifs: int = 3,
-    radius: float = 3.0,
+    radius: float = 2.0,
     n_neighbors: int | None = None,
     ex_zone: float | None = None,
 ) -> DataFrame:

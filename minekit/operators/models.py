@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Callable, Mapping, Sequence
@@ -86,6 +87,9 @@ def knn_classify(
     return test.join(best.select(row_id, F.col("b.v").alias(out)), row_id, "left")
 
 
+VAR_SMOOTHING = 1e-9
+
+
 def mixed_nb(
     train: DataFrame,
     test: DataFrame,
@@ -100,10 +104,13 @@ def mixed_nb(
     Categories unseen in training count as zero occurrences. Class statistics come from one aggregate;
     category counts are small tables joined on the value.
     """
+    # a class without spread is narrow, not impossible: a small share of the largest variance is added to all
+    spread = train.agg(F.coalesce(F.greatest(*[F.var_pop(c) for c in [*num, *num]]), F.lit(0.0)).alias("v")) if num else None
+    floor = F.greatest(one_row(spread)["v"] * VAR_SMOOTHING, F.lit(1e-300)) if num else F.lit(0.0)
     stats = train.groupBy(label).agg(
         F.count("*").cast("double").alias("n"),
         F.array(*[F.avg(c) for c in num]).alias("mean") if num else F.array().cast("array<double>").alias("mean"),
-        F.array(*[F.var_pop(c) for c in num]).alias("var") if num else F.array().cast("array<double>").alias("var"),
+        F.array(*[F.var_pop(c) + floor for c in num]).alias("var") if num else F.array().cast("array<double>").alias("var"),
     )
     everyone = stats.agg(
         F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "n", "mean", "var"))).alias("c"),
@@ -318,7 +325,12 @@ def permutation_importance(
         )
     wide = both.select(row_id, label, F.inline(F.array(*variants)))
     scored = model.transform(assemble(wide, features))
-    hits = scored.groupBy("feature").agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("score"))
+    if metric == "accuracy":
+        hits = scored.groupBy("feature").agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("score"))
+    else:  # one small score table per feature
+        scored = settle(scored.select("feature", label, F.col("prediction").cast("int").alias("prediction")))
+        named = [clf_scores(scored.where(F.col("feature") == f), label, "prediction").select(F.lit(f).alias("feature"), F.col(metric).alias("score")) for f in ["none", *features]]
+        hits = functools.reduce(DataFrame.unionByName, named)
     base = one_row(hits.where("feature = 'none'"))["score"]
     return hits.where("feature <> 'none'").select("feature", (base - F.col("score")).alias("importance"))
 

@@ -239,13 +239,35 @@ def box_stats(df: DataFrame, c: str, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-# Multiplier and modulus of the integer row hash used for sampling and splitting.
-HASH_A, HASH_M = 1103515245, 2147483647
+# Multipliers and modulus of the integer row hash used for sampling and splitting.
+HASH_A, HASH_B, HASH_M = 1103515245, 48271, 2147483647
+
+
+def _hash_steps(seed: int) -> tuple[int, int, int]:
+    """Multiplier and offsets of a seed."""
+    return HASH_A * (2 * seed + 1) % HASH_M or 1, (seed * 69621 + 12345) % HASH_M, (seed * 40692 + 7) % HASH_M
 
 
 def row_hash(row_id: str | Column, seed: int) -> Column:
-    """Deterministic integer hash of a row id, expressible in any SQL engine."""
-    return F.pmod(col(row_id).cast("long") * HASH_A + seed * 12345, F.lit(HASH_M).cast("long"))
+    """Deterministic integer hash below ``HASH_M`` of a row id, expressible in any SQL engine (``row_hash_sql``).
+
+    The id is reduced first, so that no product overflows; the middle step multiplies the value by a part of itself, so
+    different seeds give unrelated orders. Ids that are not integers enter by the CRC of their text.
+    """
+    c, m = col(row_id), F.lit(HASH_M).cast("long")
+    a, b, d = (F.lit(x).cast("long") for x in _hash_steps(seed))
+    x = F.pmod(F.coalesce(c.try_cast("long"), F.crc32(c.cast("string").cast("binary"))), m)
+    x = (x * a + b) % m
+    x = (x * (x % 65536 + 40503)) % m
+    return (x * HASH_B + d) % m
+
+
+def row_hash_sql(row_id: str, seed: int) -> str:
+    """``row_hash`` of a non-negative integer id as SQL text."""
+    a, b, d = _hash_steps(seed)
+    x = f"((({row_id})::BIGINT % {HASH_M}) * {a} + {b}) % {HASH_M}"
+    x = f"(({x}) * (({x}) % 65536 + 40503)) % {HASH_M}"
+    return f"((({x}) * {HASH_B} + {d}) % {HASH_M})"
 
 
 def sample(df: DataFrame, row_id: str, n: int, by: Sequence[str] = (), seed: int = 42) -> DataFrame:

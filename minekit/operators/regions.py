@@ -32,7 +32,6 @@ def infer_label_knn(
     k: int = 1,
     block: Sequence[str] = (),
     geodesic: bool = True,
-    top_cell: float = 1024.0,
 ) -> DataFrame:
     """Fill a missing label by vote of the ``k`` nearest labelled points (inside ``block`` if given).
 
@@ -44,7 +43,7 @@ def infer_label_knn(
         near = knn_geo(asked, refs, query_id=row_id, ref_id="ref", lat=lat, lon=lon, k=k, block=block)
     else:
         near = knn_grid(
-            asked, refs, query_id=row_id, ref_id="ref", coords=[lat, lon], k=k, block=block, top_cell=top_cell
+            asked, refs, query_id=row_id, ref_id="ref", coords=[lat, lon], k=k, block=block
         )
     voted = near.join(known.select(F.col(row_id).alias("nn_ref"), label), "nn_ref")
     winner = mode_by(voted, [row_id], label).select(row_id, F.col(label).alias("__vote"))

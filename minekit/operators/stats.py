@@ -25,7 +25,7 @@ def average_ranks(df: DataFrame, c: str, out: str) -> DataFrame:
 
 
 def _kendall(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Tau-b from the distinct (a, b) combinations and their counts."""
+    """Tau-b from the distinct (a, b) combinations and their counts; null if a column is constant."""
     cells = df.where(all_present([a, b])).groupBy(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
     cells = cells.agg(F.count("*").alias("n")).withColumn("id", F.concat_ws("|", "x", "y"))
 
@@ -41,7 +41,7 @@ def _kendall(df: DataFrame, a: str, b: str) -> DataFrame:
         cells.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).scalar()
     )
     sizes = cells.agg(F.sum("n").alias("n")).select((F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
-    tau = one_row(signed)["s"] / F.sqrt((F.col("pairs") - ties("x")) * (F.col("pairs") - ties("y")))
+    tau = F.try_divide(one_row(signed)["s"], F.sqrt((F.col("pairs") - ties("x")) * (F.col("pairs") - ties("y"))))
     return sizes.select(F.lit(a).alias("a"), F.lit(b).alias("b"), tau.alias("corr"))
 
 

@@ -23,13 +23,14 @@ def order_customer(t):
 
 @query(
     "J2",
-    """WITH d AS (SELECT p_type, p_brand, p_size, count(*)::BIGINT AS n, round(avg(p_retailprice), 6) AS price FROM part
-         WHERE p_size % 2 = 0 GROUP BY 1, 2, 3)
+    """WITH d AS (SELECT p_type, p_brand, CASE WHEN p_size % 2 = 0 THEN p_size ELSE p_size + 1000 END AS p_size, count(*)::BIGINT AS n,
+         round(avg(p_retailprice), 6) AS price FROM part GROUP BY 1, 2, 3)
        SELECT p_partkey, d.n, d.price FROM part LEFT JOIN d USING (p_type, p_brand, p_size)""",
 )
 def part_three_keys(t):
     keys = ["p_type", "p_brand", "p_size"]
-    d = t.part.where("p_size % 2 = 0").groupBy(*keys).agg(F.count("*").alias("n"), r(F.avg("p_retailprice"), 6, "price"))
+    listed = t.part.withColumn("p_size", F.when(F.col("p_size") % 2 == 0, F.col("p_size")).otherwise(F.col("p_size") + 1000).cast("int"))
+    d = listed.groupBy(*keys).agg(F.count("*").alias("n"), r(F.avg("p_retailprice"), 6, "price"))
     return joins.lookup_join(t.part, d, keys).select("p_partkey", "n", "price")
 
 
@@ -187,7 +188,7 @@ def nearest_in_nation(t):
 def nearest_three(t):
     df = located(t)
     out = joins.knn_grid(df, df.withColumnRenamed("c_custkey", "ref"), query_id="c_custkey", ref_id="ref",
-                         coords=["lat", "lon"], k=3, top_cell=128.0, strict=True)
+                         coords=["lat", "lon"], k=3, strict=True)
     return out.select("c_custkey", "nn_ref", r("dist"), "rank")
 
 
@@ -538,7 +539,8 @@ PLACE_SCORES = f"""ps AS (SELECT p_partkey, unnest(string_split(geocoded, ','))
   ad AS (SELECT p_partkey, CASE WHEN count(*) FILTER (damerau_levenshtein(x, y) <= floor(greatest(length(x), length(y)) / 4)) >= 2 THEN 1 ELSE -1 END AS ads FROM ap GROUP BY 1),
   al AS (SELECT gc.*, CASE WHEN present THEN ss ELSE -1 END AS ss, CASE WHEN present THEN cs ELSE -1 END AS cs, CASE WHEN present THEN ads ELSE -1 END AS ads
     FROM gc JOIN sc USING (p_partkey) JOIN ad USING (p_partkey)),
-  dic AS (SELECT DISTINCT p_type AS st, p_brand || ' ' || split_part(p_name, ' ', 1) AS co, 'North ' || p_type AS stname FROM part WHERE p_partkey % 3 = 0)"""
+  dic AS (SELECT DISTINCT p_brand || ' ' || split_part(p_name, ' ', 1) AS co,
+      CASE WHEN p_partkey % 3 = 0 THEN 'North ' ELSE 'Upper Middle ' END || p_type AS stname FROM part)"""
 
 
 @query(
@@ -561,8 +563,8 @@ PLACE_SCORES = f"""ps AS (SELECT p_partkey, unnest(string_split(geocoded, ','))
 def reconciled_places(t):
     from minekit.operators.places import reconcile_place
 
-    dim = t.part.where("p_partkey % 3 = 0").select(
-        F.concat(F.lit("North "), "p_type").alias("st"),
+    dim = t.part.select(
+        F.concat(F.when(F.col("p_partkey") % 3 == 0, "North ").otherwise("Upper Middle "), "p_type").alias("st"),
         F.concat("p_brand", F.lit(" "), F.substring_index("p_name", " ", 1)).alias("co"),
     )
     out = reconcile_place(geocoded(t), dim.distinct(), state="st", county="co")

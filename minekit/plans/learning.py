@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from minekit.operators import cluster_fit, cluster_scores, evaluate, explain, models, prepare, stats
 from minekit.operators.joins import knn_grid
+from minekit.operators.profile import row_hash_sql
 from minekit.plans.cleaning import XY, located
 from minekit.plans.core import DOC_LABELS, doc_labels
 from minekit.plans.registry import query, r
@@ -38,11 +39,11 @@ _RANK = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2
     " UNION ALL ".join(
         f"""SELECT '{a}' AS a, '{b}' AS b, round(corr(ra, rb), 6) AS corr FROM (SELECT {_RANK.format(c=a)} AS ra,
         {_RANK.format(c=b)} AS rb FROM lineitem)"""
-        for a, b in [("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount")]
+        for a, b in LINE_PAIRS
     ),
 )
 def spearman(t):
-    return stats.corr_matrix(t.lineitem, LINE[:3], "spearman").withColumn("corr", F.round("corr", 6))
+    return stats.corr_matrix(t.lineitem, LINE, "spearman").withColumn("corr", F.round("corr", 6))
 
 
 @query(
@@ -123,7 +124,7 @@ LOF_K = 20
 def location_outliers(t):
     df = located(t)
     near = knn_grid(df, df.withColumnRenamed("c_custkey", "ref"), query_id="c_custkey", ref_id="ref", coords=["lat", "lon"],
-                    k=LOF_K, top_cell=128.0, strict=True)
+                    k=LOF_K, strict=True)
     return stats.lof(settle(near), "c_custkey", "nn_ref").withColumn("lof", F.round("lof", 6))
 
 
@@ -178,7 +179,7 @@ def location_dbscan(t):
       SELECT c_custkey, round(d, 6) AS kth_distance FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY d) AS rn FROM p) WHERE rn = 4""",
 )
 def location_kth_distance(t):
-    return cluster_fit.kth_distance(located(t), ["lat", "lon"], "c_custkey", 4, 128.0).select("c_custkey", r("kth_distance"))
+    return cluster_fit.kth_distance(located(t), ["lat", "lon"], "c_custkey", 4).select("c_custkey", r("kth_distance"))
 
 
 @query("CL7")
@@ -321,7 +322,7 @@ def random_labels(t):
 
 @query(
     "CL17",
-    """WITH s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY (vec_id * 1103515245 + 518490) % 2147483647, vec_id) AS rn
+    f"""WITH s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {row_hash_sql('vec_id', 42)}, vec_id) AS rn
          FROM embeddings) WHERE rn <= 20)
        SELECT round(corr(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), (a.label = b.label)::INT), 6) AS corr, count(*)::BIGINT AS pairs
        FROM s a JOIN s b ON a.vec_id < b.vec_id""",
@@ -358,8 +359,8 @@ def priority_mode(t):
 
 @query(
     "ML1",
-    """WITH s AS (SELECT label, floor(count(*) * (1.0::DOUBLE / 3) + 0.5) AS want FROM embeddings GROUP BY 1),
-       k AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY (vec_id * 1103515245 + 518490) % 2147483647, vec_id) AS rn FROM embeddings)
+    f"""WITH s AS (SELECT label, floor(count(*) * (1.0::DOUBLE / 3) + 0.5) AS want FROM embeddings GROUP BY 1),
+       k AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {row_hash_sql('vec_id', 42)}, vec_id) AS rn FROM embeddings)
        SELECT vec_id, label, (rn <= want)::INT AS is_test FROM k JOIN s USING (label)""",
 )
 def split_rows(t):
@@ -369,8 +370,8 @@ def split_rows(t):
 
 @query(
     "ML2",
-    """WITH s AS (SELECT count(*) FILTER (quality = 0) AS few, floor(count(*) FILTER (quality <> 0) * (0.4::DOUBLE / 0.6)) AS want FROM labels),
-       k AS (SELECT doc_id, row_number() OVER (ORDER BY (doc_id * 1103515245 + 518490) % 2147483647, doc_id) - 1 AS rn FROM labels WHERE quality = 0)
+    f"""WITH s AS (SELECT count(*) FILTER (quality = 0) AS few, floor(count(*) FILTER (quality <> 0) * (0.4::DOUBLE / 0.6)) AS want FROM labels),
+       k AS (SELECT doc_id, row_number() OVER (ORDER BY {row_hash_sql('doc_id', 42)}, doc_id) - 1 AS rn FROM labels WHERE quality = 0)
        SELECT doc_id, 0 AS quality, unnest(range((floor(want / few) + CASE WHEN rn < want % few THEN 1 ELSE 0 END)::BIGINT))::INT AS copy FROM k, s
        UNION ALL SELECT doc_id, quality, 0 FROM labels WHERE quality <> 0""",
 )

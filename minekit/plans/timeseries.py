@@ -105,13 +105,6 @@ def dtw_clusters(t):
     return ser.dtw_kmeans(ser.to_arrays(daily(t), ["user_id"]), "user_id", 3, max_iter=2)[0]
 
 
-@query("TS9")
-def compression_neighbours(t):
-    arrays = settle(ser.to_arrays(daily(t), ["user_id"]))
-    pairs = arrays.select(F.col("user_id").alias("a"), (F.col("user_id") + 1).alias("b"))
-    return ser.compression_distance(arrays, pairs, "user_id")
-
-
 ACF = f"""{DAILY}, m AS (SELECT user_id, avg(value) AS mu FROM s GROUP BY 1), x AS (SELECT s.user_id, t, value - mu AS x FROM s JOIN m USING (user_id)),
    v AS (SELECT user_id, sum(x * x) AS den FROM x GROUP BY 1),
    acf AS (SELECT a.user_id, b.t - a.t AS lag, sum(a.x * b.x) / any_value(den) AS acf FROM x a JOIN x b ON a.user_id = b.user_id AND b.t - a.t BETWEEN 1 AND 10
@@ -174,7 +167,7 @@ def event_profile_join(t):
     k = F.get_json_object("props", "$.k").cast("double")
     from minekit.scale import positions
 
-    other = positions(t.events.select("user_id", "event_id", "ts", k.alias("value")), ["user_id"], ["ts", "event_id"], F.to_date("ts"))
+    other = positions(t.events.select("user_id", "event_id", "ts", k.alias("value")), ["user_id"], ["ts", "event_id"])
     return profile(t, other=other.select("user_id", "pos", "value")).select("user_id", "pos", r("mp"), "mp_idx")
 
 

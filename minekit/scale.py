@@ -18,11 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# A group counts as hot when it holds this share of all rows and at least this many rows, so there
-# are never more than 1 / HOT_SHARE hot groups and the table naming them is safe to broadcast.
-HOT_SHARE = 0.001
+# Rows of one key that a single task of a join may hold; larger groups are salted.
 HOT_ROWS = 1_000_000
-SALTS = 64
 GROUP_LIMIT = 1_000_000  # rows of one group that a single task may hold
 
 
@@ -48,10 +45,12 @@ def tune(spark: SparkSession) -> None:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is named (single-machine tests)."""
+    """The shared folder of the session; a temporary one only where none is named and everything runs on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="minekit-checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -83,34 +82,31 @@ def attach(
     keys: Sequence[str],
     rows: str,
     *,
-    salts: int = SALTS,
+    salts: int | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Left join per-group ``stats`` (one row per key, ``rows`` = group size) onto ``df``.
 
     The statistics are written once, so Spark knows their size and broadcasts them below its own limit; the
-    rows then stay where they are. Beyond that limit the rows of hot groups and the rows without a key are
-    spread over ``salts`` tasks, and only the statistics of hot groups are repeated. The salt depends on the
-    task alone, so a re-run task writes the same rows.
+    rows then stay where they are. Beyond that limit a group of more than ``hot_rows`` rows gets one salt per
+    ``hot_rows`` (``salts`` fixes their number), and only its statistics are repeated; rows without a key are
+    spread by task. The salt depends on the task alone, so a re-run task writes the same rows.
     """
     keys = list(keys)
     stats = settle(stats)
-    size = stats.agg(F.sum(rows).alias("total"), F.max(rows).alias("largest")).first()
-    least_hot = max(hot_rows, HOT_SHARE * (size["total"] or 0))
-    spread = F.pmod(F.spark_partition_id(), F.lit(salts))
-    if (size["largest"] or 0) < least_hot:
-        left = df.withColumn("__salt", F.when(all_present(keys), 0).otherwise(spread))
+    if not salts and stats.where(F.col(rows) >= hot_rows).isEmpty():
+        left = df.withColumn("__salt", F.when(all_present(keys), 0).otherwise(F.spark_partition_id()))
         right = stats.drop(rows).withColumn("__salt", F.lit(0))
         return left.join(right, [*keys, "__salt"], "left").drop("__salt")
-    hot = F.broadcast(stats.where(F.col(rows) >= least_hot).select(*keys, F.lit(True).alias("__hot")))
-    left = (
-        df.join(hot, keys, "left")
-        .withColumn("__salt", F.when(F.col("__hot") | ~all_present(keys), spread).otherwise(0))
-        .drop("__hot")
-    )
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    copies = F.when(F.col(rows) >= least_hot, every).otherwise(F.array(F.lit(0)))
-    right = stats.withColumn("__salt", F.explode(copies)).drop(rows)
+    parts = F.lit(salts) if salts else F.ceil(F.col(rows) / hot_rows).cast("int")
+    sized = stats.withColumn("__parts", F.when(F.col(rows) >= hot_rows, parts).otherwise(1))
+    # at most one row for every ``hot_rows`` rows of the table; Spark broadcasts it if its written size allows
+    hot = sized.where("__parts > 1").select(*keys, "__parts")
+    spread = F.when(~all_present(keys), F.spark_partition_id())
+    spread = spread.when(F.col("__parts").isNotNull(), F.pmod(F.spark_partition_id(), F.col("__parts"))).otherwise(0)
+    left = df.join(hot, keys, "left").withColumn("__salt", spread).drop("__parts")
+    copies = F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))
+    right = sized.withColumn("__salt", copies).drop(rows, "__parts")
     return left.join(right, [*keys, "__salt"], "left").drop("__salt")
 
 
@@ -132,8 +128,8 @@ def quantiles(
     """Exact linear-interpolation quantiles of ``value`` per group: ``keys, n, out array<double>``.
 
     Groups of at most ``limit`` values use the built-in exact aggregate. When a larger group exists,
-    values are first counted, split at approximate quantiles into chunks, and only the chunk that
-    holds a wanted rank is ordered, so no task sees a whole group.
+    values are counted and the counts summed up in order over range partitions; the values that cover a
+    wanted rank are picked, so no task sees a whole group.
     """
     keys = list(keys)
     present = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
@@ -146,73 +142,31 @@ def quantiles(
         grouped = present.groupBy(*keys) if keys else present
         return grouped.agg(F.count("__v").alias("n"), exact.alias(out))
 
-    pieces = min(10_000, 1 + 2 * largest // limit)
-    marks = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
-    keyed = present.withColumn("__g", F.struct(*keys) if keys else F.lit(0))
-    counts = keyed.groupBy("__g", "__v").agg(F.count("*").alias("__n"))
-    edges = keyed.groupBy("__g").agg(
-        F.array_distinct(F.percentile_approx("__v", marks, 10 * pieces)).alias("__edges"),
-        F.count("*").alias("__rows"),
-    )
-    chunked = counts.join(edges, "__g").withColumn(
-        "__c", F.size(F.filter("__edges", lambda e: e < F.col("__v")))
-    )
-    chunked = settle(chunked.select("__g", "__c", "__v", "__n", "__rows"))
-    sizes = chunked.groupBy("__g", "__c").agg(F.sum("__n").alias("__size"), F.max("__rows").alias("__rows"))
-    before = Window.partitionBy("__g").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0)))
-    wanted = F.array(
-        *[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]
-    )
-    rank = F.col("__w.p") * (F.col("__rows") - 1)
-    targets = sizes.withColumn("__w", F.explode(wanted)).withColumn("__rank", rank)
-    ends = F.array(F.floor("__rank"), F.ceil("__rank"))
-    targets = targets.withColumn("__end", F.explode(F.array_distinct(ends))).where(
-        (F.col("__end") >= F.col("__before")) & (F.col("__end") < F.col("__before") + F.col("__size"))
-    )
-    inside = Window.partitionBy("__g", "__c").orderBy("__v")
-    picked = (
-        chunked.drop("__rows")
-        .join(targets.select("__g", "__c").distinct(), ["__g", "__c"], "left_semi")
-        .withColumn("__to", F.sum("__n").over(inside))
-        .join(targets, ["__g", "__c"])
-        .where(
-            (F.col("__end") - F.col("__before") < F.col("__to"))
-            & (F.col("__end") - F.col("__before") >= F.col("__to") - F.col("__n"))
-        )
-    )
+    counts = present.groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
+    placed = running_total(counts, keys, [F.col("__v")], F.col("__n"), out="__before")
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    rank = lambda w: w["p"] * (F.col("__rows") - 1)
+    ends = F.transform(wanted, lambda w: F.struct(w["i"].alias("i"), rank(w).alias("rank"), F.floor(rank(w)).alias("lo"), F.ceil(rank(w)).alias("hi")))
+    sizes = counts.groupBy(*keys).agg(F.sum("__n").alias("__rows"), F.count("*").alias("__values")).withColumn("__ends", ends)
+    if keys:
+        sized = attach(placed, sizes, keys, "__values")
+    else:
+        sized = placed.withColumn("__one", one_row(sizes)).select(*placed.columns, "__one.__rows", "__one.__ends")
+    within = lambda x: (x >= F.col("__before")) & (x < F.col("__before") + F.col("__n"))
+    hits = F.filter("__ends", lambda e: within(e["lo"]) | within(e["hi"]))
+    picked = sized.select(*keys, "__rows", "__v", F.explode(hits).alias("__w"))
     low, high = F.min("__v"), F.max("__v")
-    share = F.first("__rank") - F.floor(F.first("__rank"))
-    per_prob = picked.groupBy("__g", F.col("__w.i").alias("__i")).agg(
-        F.max("__rows").alias("n"), (low + (high - low) * share).alias("__q")
-    )
-    per_group = per_prob.groupBy("__g").agg(
-        F.max("n").alias("n"),
-        F.transform(F.array_sort(F.collect_list(F.struct("__i", "__q"))), lambda s: s["__q"]).alias(out),
-    )
-    return per_group.select(*[F.col(f"__g.{k}").alias(k) for k in keys], "n", out)
+    share = F.first("__w.rank") - F.floor(F.first("__w.rank"))
+    per_prob = picked.groupBy(*keys, F.col("__w.i").alias("__i")).agg(F.max("__rows").alias("n"), (low + (high - low) * share).alias("__q"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("__i", "__q"))), lambda s: s["__q"])
+    grouped = per_prob.groupBy(*keys) if keys else per_prob
+    return grouped.agg(F.max("n").alias("n"), listed.alias(out))
 
 
-def positions(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, *, out: str = "pos"
-) -> DataFrame:
-    """Dense 0-based position of each row inside its key, ordered by ``order``.
-
-    ``chunk`` is a coarse monotone function of the order (for example the day of a timestamp): rows are
-    numbered inside (key, chunk) and shifted by the row counts of earlier chunks.
-    """
-    keys = list(keys)
-    chunked = df.withColumn("__chunk", chunk)
-    sizes = chunked.groupBy(*keys, "__chunk").agg(F.count("*").alias("__size"))
-    earlier = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("__base", F.coalesce(F.sum("__size").over(earlier), F.lit(0))).drop("__size")
-    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order)
-    numbered = chunked.withColumn("__rn", F.row_number().over(inside) - 1)
-    return (
-        numbered.join(sizes, [*keys, "__chunk"])
-        .withColumn(out, (F.col("__rn") + F.col("__base")).cast("int"))
-        .drop("__chunk", "__rn", "__base")
-    )
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, out: str = "pos") -> DataFrame:
+    """Dense 0-based position of each row inside its key; ``order`` is unique inside a key."""
+    numbered = number_rows(df, keys, [F.col(o) for o in order], out=out)
+    return numbered.withColumn(out, F.col(out).cast("int"))
 
 
 def running_total(

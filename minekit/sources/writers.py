@@ -31,8 +31,3 @@ def write_table(
         writer.csv(path, header=True)
     else:
         writer.format(fmt).save(path)
-
-
-def write_scores(df: DataFrame, path: str) -> None:
-    """Scores, labels or feature names as JSON lines."""
-    df.write.mode("overwrite").json(path)

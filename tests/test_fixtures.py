@@ -138,7 +138,7 @@ def test_radius_join_and_knn(spark):
     rng = np.random.default_rng(0)
     pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.vstack([rng.normal(size=(60, 2)), np.zeros((20, 2)), [[50.0, 50.0]]]))]
     df = spark.createDataFrame(pts, "id long, x double, y double")
-    near = joins.knn_grid(df, df.withColumnRenamed("id", "ref"), query_id="id", ref_id="ref", coords=["x", "y"], k=4, top_cell=128.0, strict=True)
+    near = joins.knn_grid(df, df.withColumnRenamed("id", "ref"), query_id="id", ref_id="ref", coords=["x", "y"], k=4, strict=True)
     got = {}
     for r in near.collect():
         got.setdefault(r.id, {})[r.rank] = r.nn_ref
@@ -261,7 +261,7 @@ def test_models_learn(spark):
 def test_lof_flags_the_stray_point(spark):
     pts = [(i, float(i % 5), float(i // 5)) for i in range(25)] + [(25, 30.0, 30.0)]
     df = spark.createDataFrame(pts, "id int, x double, y double")
-    near = joins.knn_grid(df, df.withColumnRenamed("id", "ref"), query_id="id", ref_id="ref", coords=["x", "y"], k=4, top_cell=64.0, strict=True)
+    near = joins.knn_grid(df, df.withColumnRenamed("id", "ref"), query_id="id", ref_id="ref", coords=["x", "y"], k=4, strict=True)
     got = {r.id: r.lof for r in stats.lof(near, "id", "nn_ref").collect()}
     assert max(got, key=got.get) == 25 and got[12] == pytest.approx(1, abs=0.2)
 

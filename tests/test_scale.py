@@ -60,7 +60,7 @@ def test_running_total_and_numbers(skewed):
 
 def test_positions_and_moving_stats(spark):
     df = spark.range(500).select((F.col("id") % 2).alias("k"), (F.col("id") * 37 % 500).alias("t"), F.col("id").cast("double").alias("x"))
-    placed = scale.positions(df, ["k"], ["t"], F.floor(F.col("t") / 60))
+    placed = scale.positions(df, ["k"], ["t"])
     w = Window.partitionBy("k").orderBy("t")
     want = df.select("k", "t", (F.row_number().over(w) - 1).alias("pos"))
     assert rows(want) == rows(placed.select("k", "t", "pos"))
