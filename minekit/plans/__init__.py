@@ -6,7 +6,7 @@ from importlib import import_module
 
 from minekit.plans.registry import QUERIES, Query
 
-CATALOGS = ["core", "cleaning", "learning", "timeseries"]
+CATALOGS = ["core", "cleaning", "learning", "timeseries", "inout"]
 
 
 def all_queries() -> dict[str, Query]:

@@ -59,7 +59,7 @@ def coerce_types(t):
     return out.withColumn("d", F.date_format("d", "yyyy-MM-dd"))
 
 
-@query("PF2 IO9", "SELECT o_orderkey AS row_id, o_custkey AS customer, o_orderstatus AS status FROM orders")
+@query("PF2", "SELECT o_orderkey AS row_id, o_custkey AS customer, o_orderstatus AS status FROM orders")
 def project_rename(t):
     return profile.project(
         t.orders,
@@ -1034,7 +1034,7 @@ def balance_buckets(t):
 
 
 @query(
-    "MA9 IO3",
+    "MA9",
     """SELECT event_id, CASE WHEN TRY_CAST(trunc(TRY_CAST(s AS DOUBLE)) AS BIGINT) BETWEEN 0 AND 101 THEN TRY_CAST(trunc(TRY_CAST(s AS DOUBLE)) AS BIGINT) END AS age,
        TRY_CAST(trunc(TRY_CAST(s AS DOUBLE)) AS BIGINT) AS whole FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE CAST(value - 50 AS VARCHAR) END AS s FROM events)""",
 )
@@ -1045,14 +1045,14 @@ def parsed_ages(t):
     )
 
 
-@query("IO6 JS1", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("JS1", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def flattened_props(t):
     from minekit.sources.readers import flatten_json
 
     return flatten_json(t.events.select("event_id", "props"), "props", "k bigint")
 
 
-@query("IO4", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders")
+@query("DT1", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders")
 def parsed_dates(t):
     return t.orders.select("o_orderkey", day("o_orderdate").alias("d"))
 

@@ -25,21 +25,26 @@ def stream_series(
     return grouped.select(*keys, F.col("w.start").alias("start"), "value", "n")
 
 
-def stream_profile(stream: DataFrame, key: str, m: int, *, order: str, value: str, history: int = 100_000) -> DataFrame:
+def stream_profile(stream: DataFrame, key: str, m: int, *, order: str, value: str) -> DataFrame:
     """Matrix profile kept up to date while points arrive: changed rows ``key, pos, mp, mp_idx`` (update mode).
 
-    The state of a key is its last ``history`` values with their profile. A new point adds one distance
-    profile; windows that leave the history keep the values last emitted.
+    The state of a key is its series with the profile so far; nothing is forgotten, so the profile equals that of the
+    whole series however it was cut into batches. A new point adds one distance profile. Points come in ascending
+    ``order`` from batch to batch; an earlier one would change positions already emitted and fails the stream.
     """
-    key_type = stream.schema[key].dataType.simpleString()
+    types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    key_type = types[key]
 
     def update(name, batches, state):
         if state.exists:
-            offset, values, mp, idx = state.get
+            last, values, mp, idx = state.get
             x, mp, idx = np.asarray(values, float), np.asarray(mp, float), np.asarray(idx, np.int64)
         else:
-            offset, x, mp, idx = 0, np.empty(0), np.empty(0), np.empty(0, np.int64)
-        fresh = pd.concat(list(batches)).sort_values(order)[value].to_numpy(float)
+            last, x, mp, idx = None, np.empty(0), np.empty(0), np.empty(0, np.int64)
+        rows = pd.concat(list(batches)).sort_values(order)
+        if last is not None and rows[order].iloc[0] < type(rows[order].iloc[0])(last):
+            raise ValueError(f"{key} {name[0]}: a point at {rows[order].iloc[0]} came after {last}")
+        fresh = rows[value].to_numpy(float)
         fresh = np.where(np.isfinite(fresh), fresh, 0.0)
         changed: dict[int, tuple[float, int]] = {}
         for v in fresh:
@@ -51,22 +56,21 @@ def stream_profile(stream: DataFrame, key: str, m: int, *, order: str, value: st
             d = window_distances(x, x[-m:], m)[:, 0]
             d[excluded(np.array([new]), np.arange(len(d)), m)[0]] = np.inf
             better = np.flatnonzero(d < mp)
-            mp[better], idx[better] = d[better], offset + new
-            mp[new], idx[new] = d.min(), offset + int(d.argmin()) if np.isfinite(d.min()) else -1
+            mp[better], idx[better] = d[better], new
+            mp[new], idx[new] = d.min(), int(d.argmin()) if np.isfinite(d.min()) else -1
             for p in [*better.tolist(), new]:
                 if np.isfinite(mp[p]):
-                    changed[offset + p] = (float(mp[p]), int(idx[p]))
-            if len(x) > history:
-                x, mp, idx, offset = x[1:], mp[1:], idx[1:], offset + 1
-        state.update((int(offset), x.tolist(), mp.tolist(), idx.tolist()))
-        rows = [(name[0], p, *vals) for p, vals in sorted(changed.items())]
-        if rows:
-            yield pd.DataFrame(rows, columns=[key, "pos", "mp", "mp_idx"])
+                    changed[p] = (float(mp[p]), int(idx[p]))
+        newest = rows[order].iloc[-1]
+        state.update((newest.to_pydatetime() if isinstance(newest, pd.Timestamp) else newest.item(), x.tolist(), mp.tolist(), idx.tolist()))
+        out = [(name[0], p, *vals) for p, vals in sorted(changed.items())]
+        if out:
+            yield pd.DataFrame(out, columns=[key, "pos", "mp", "mp_idx"])
 
     return stream.groupBy(key).applyInPandasWithState(
         update,
         f"{key} {key_type}, pos int, mp double, mp_idx int",
-        "start long, x array<double>, mp array<double>, idx array<long>",
+        f"last {types[order]}, x array<double>, mp array<double>, idx array<long>",
         "update",
         GroupStateTimeout.NoTimeout,
     )
