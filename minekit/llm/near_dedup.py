@@ -3,8 +3,12 @@
 A text is the multiset of its runs of five words, weighted by frequency in the text times inverse document frequency in
 the table. Document frequencies are counted in ``2**DF_BITS`` hashed cells, so that the table of weights has one size
 for any corpus; a cell's share of documents hardly depends on the size of the corpus either. ``BANDS`` bands of ``ROWS``
-samples make the candidates, and the weighted Jaccard similarity of the texts themselves decides; one minus it is a
-metric, as ``bucket_links`` needs.
+samples make the candidates, and the weighted Jaccard similarity of the texts themselves decides.
+
+In a bucket of candidates the text with the most copies is first compared with all others. Texts that are in one component
+by then need not meet. What remains of a small bucket is compared pair by pair; a large one is cut into tiles of
+``TILE`` by ``TILE`` texts, where all similarities come from one matrix product and only links are put out, so that neither
+the pairs nor the bucket are ever rows or one task.
 """
 
 from __future__ import annotations
@@ -18,12 +22,15 @@ from pyspark.sql import types as T
 
 from minekit.llm.arrays import add_columns, gram_hashes, mix, slices
 from minekit.llm.decontaminate import words_of
-from minekit.llm.graph import bucket_links, components
+from minekit.llm.graph import components
 from minekit.scale import settle
 
 SHINGLE, LIMIT = 5, 0.8
 BANDS, ROWS = 8, 3
 DF_BITS = 18
+SMALL = 16  # buckets up to this size are compared pair by pair
+TILE = 1024  # texts of a larger bucket that meet in one task
+LOOKUP = 2_000_000  # ids that may be broadcast (16 MB); beyond that texts are shuffled to find them
 _LOW = np.uint64((1 << 48) - 1)
 _CELL = np.uint64(48 - DF_BITS)
 _TABLE = 1 << 16
@@ -73,8 +80,9 @@ def cell_weights(docs: DataFrame, text: str) -> np.ndarray:
     total = np.zeros((1 << DF_BITS) + 1, np.int64)
     total[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
     texts = max(1, int(total[-1]))
-    # log(1 + N / df) is positive for every cell, also for cells that hold more shingles than there are texts
-    return np.log(np.log1p(texts / np.maximum(1, total[:-1])))
+    # 1 + log(1 + N / df) is positive also for cells that hold more shingles than there are texts; its root keeps an edit
+    # inside a passage with thousands of copies from outweighing the passage
+    return np.log(1 + np.log1p(texts / np.maximum(1, total[:-1]))) / 2
 
 
 class Sampler:
@@ -166,6 +174,78 @@ def _verified(pairs: DataFrame, texts: DataFrame, log_idf: np.ndarray) -> DataFr
     return add_columns(both.select("a", "b", "text_a", "text_b"), "text_b", [T.StructField("distance", T.DoubleType())], task, keep=["a", "b"])
 
 
+def _tile_links(members: DataFrame, texts: DataFrame, log_idf: np.ndarray, limit: float) -> DataFrame:
+    """Links ``a, b`` between members ``band, key, doc_id, part, n`` of large buckets whose parts differ, tile by tile."""
+    shared = members.sparkSession.sparkContext.broadcast(log_idf)
+    chunks = F.ceil(F.col("n") / TILE).cast("int")
+    cut = members.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = met.select("band", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "doc_id", "part")
+    rows = met.join(texts, "doc_id")
+
+    def compare(table: pa.Table) -> pa.Table:
+        doc, grams, count, _, _ = shingles(table.column("text").combine_chunks())
+        n = table.num_rows
+        # a shingle that occurs k times is k features, so the shared weight of two texts is a product of their rows
+        weight = np.repeat(np.exp(shared.value[(grams >> _CELL).astype(np.int64)]), count)
+        turn = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        doc, feature = np.repeat(doc, count), mix(np.repeat(grams, count) + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        total = np.bincount(doc, weight, n)
+        _, column, uses = np.unique(feature, return_inverse=True, return_counts=True)
+        common = uses[column] > 1
+        doc, weight, column = doc[common], weight[common], np.unique(column[common], return_inverse=True)[1]
+        chunk = table.column("chunk").to_numpy()
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        both = np.zeros((len(left), len(right)))
+        order = np.argsort(column, kind="stable")
+        for a in range(0, int(column.max(initial=-1)) + 1, 4096):
+            at = order[np.searchsorted(column[order], a) : np.searchsorted(column[order], a + 4096)]
+            block = np.zeros((n, 4096), np.float32)
+            block[doc[at], column[at] - a] = np.sqrt(weight[at])
+            both += block[left] @ block[right].T
+        share = both / np.maximum(total[left][:, None] + total[right][None, :] - both, 1e-300)
+        part = table.column("part").to_numpy()
+        near = (share >= limit - 1e-4) & (part[left][:, None] != part[right][None, :])
+        ids, up, out = table.column("doc_id").to_numpy(), np.arange(n).tolist(), []
+
+        def root(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        for x, y in zip(*(side[k].tolist() for side, k in zip((left, right), np.nonzero(near)))):
+            if root(x) != root(y):  # links of one component of the tile lead to each other
+                up[root(x)] = root(y)
+                out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return pa.table({"a": pa.array([a for a, _ in out], table.schema.field("doc_id").type), "b": pa.array([b for _, b in out], table.schema.field("doc_id").type)})
+
+    kind = members.schema["doc_id"].dataType.simpleString()
+    return rows.groupBy("band", "key", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}").distinct()
+
+
+def _links(members: DataFrame, texts: DataFrame, log_idf: np.ndarray, limit: float) -> DataFrame:
+    """Links ``a, b`` that connect the similar members ``band, key, doc_id, copies`` of each bucket."""
+
+    def links(pairs: DataFrame) -> DataFrame:
+        tested = _verified(pairs.distinct(), texts, log_idf)
+        return settle(tested.where(F.col("distance") <= 1 - limit + 1e-9).select("a", "b"))
+
+    first = members.groupBy("band", "key").agg(F.max(F.struct("copies", "doc_id")).alias("first")).select("band", "key", F.col("first.doc_id").alias("leader"))
+    led = settle(members.join(first, ["band", "key"]).where("doc_id <> leader"))
+    stars = links(led.select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")))
+    parts = components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("part"))
+    named = settle(led.join(parts, "doc_id", "left").select("band", "key", "doc_id", F.coalesce("part", "doc_id").alias("part")))
+    sizes = named.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
+    rest = settle(named.join(sizes.where("low < high").drop("low", "high"), ["band", "key"]))
+    small = rest.where(F.col("n") <= SMALL)
+    other = small.select("band", "key", F.col("doc_id").alias("b"), F.col("part").alias("other_part"))
+    pairs = small.join(other, ["band", "key"]).where("doc_id < b and part <> other_part").select(F.col("doc_id").alias("a"), "b")
+    tiled = _tile_links(rest.where(F.col("n") > SMALL), texts, log_idf, limit)
+    return stars.unionByName(links(pairs)).unionByName(settle(tiled))
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", limit: float = LIMIT) -> DataFrame:
     """``doc_id, class_id, n_class`` for every row: the smallest id of its class of near copies, and the rows in it.
 
@@ -175,20 +255,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """
     log_idf = cell_weights(docs, text)
     marks = settle(signatures(docs, log_idf, doc_id=doc_id, text=text))
-    heads = marks.where("content is not null and doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("head"), F.first("bands").alias("bands"))
-    heads = settle(heads)
-    members = heads.select(F.col("head").alias("doc_id"), F.posexplode("bands").alias("band", "key"))
+    heads = marks.where("content is not null and doc_id is not null").groupBy("content")
+    heads = settle(heads.agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
+    members = heads.select(F.col("head").alias("doc_id"), "copies", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = settle(members.join(shared.select("band", "key"), ["band", "key"]))
-    wanted = members.select("doc_id").distinct()
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id", "left_semi")
-    texts = settle(texts)
-    links = bucket_links(members, lambda pairs: _verified(pairs, texts, log_idf), 1.0 - limit)
-    named = heads.select("content", F.col("head").alias("node"))
-    if links is not None:
-        named = named.join(components(links), "node", "left").select("content", F.coalesce("component", "node").alias("class"))
-    else:
-        named = named.select("content", F.col("node").alias("class"))
+    wanted = settle(members.select("doc_id").distinct())
+    if wanted.count() <= LOOKUP:
+        wanted = F.broadcast(wanted)
+    texts = settle(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id", "left_semi"))
+    linked = components(_links(members, texts, log_idf, limit))
+    named = heads.select("content", F.col("head").alias("node")).join(linked, "node", "left")
+    named = named.select("content", F.coalesce("component", "node").alias("class"))
     classed = marks.select("doc_id", "content").join(named, "content", "left")
     classed = settle(classed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class_id")))
     sizes = classed.groupBy("class_id").agg(F.count("*").alias("n_class"))
