@@ -82,10 +82,17 @@ def byte_values(fold_case: bool) -> np.ndarray:
     return out
 
 
+def prefix_sums(data: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of the values of all bytes before a place, each times a power of its place."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.take(values, data, out=total[1:])
+    total[1:] *= _power(_BASE, len(data))
+    return np.cumsum(total, out=total)
+
+
 def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
     """64-bit hash of each span ``[begin, end)``, equal for equal bytes wherever they stand."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * _power(_BASE, len(data)), out=total[1:])
+    total = prefix_sums(data, values)
     return mix((total[ends] - total[begins]) * _power(_INVERSE, len(data) + 1)[begins])
 
 

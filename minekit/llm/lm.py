@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from minekit.llm.arrays import byte_values, mix, slices, span_hashes, utf8, word_bounds
 from minekit.scale import fresh_path
 
-CHUNK_BYTES = 8 << 20
-SHARD_TOKENS = 2_000_000
+CHUNK_BYTES = 3 << 20
+SHARD_TOKENS = 1_500_000
 HOT = 1000
 MASS = 8.0  # M above
 WORD_BITS = 40  # of a successor's hash, inside its context

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from minekit.llm.arrays import _BASE, _INVERSE, _power, add_columns, byte_values, mix, slices, utf8
+from minekit.llm.arrays import _INVERSE, _power, add_columns, byte_values, mix, prefix_sums, slices, utf8
 from minekit.scale import settle
 
 LENGTH = 400
@@ -38,10 +38,8 @@ class Hashes:
     """Hashes of any spans of a byte array in constant time."""
 
     def __init__(self, data: np.ndarray):
-        n = len(data)
-        self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUES[data] * _power(_BASE, n), out=self.total[1:])
-        self.inverse = _power(_INVERSE, n + 1)
+        self.total = prefix_sums(data, _VALUES)
+        self.inverse = _power(_INVERSE, len(data) + 1)
 
     def of(self, begin: np.ndarray, size: int | np.ndarray) -> np.ndarray:
         return mix((self.total[begin + size] - self.total[begin]) * self.inverse[begin])
