@@ -2,8 +2,8 @@
 
 Each word votes on 64 signed bits with the bits of its hash, weighted by its length up to ``HEAVY`` letters; a word that
 occurs twice votes twice. Two votes are counted in one long, so a text gives 32 sums. Fingerprints within
-``RADIUS`` bits agree in at least three of six blocks, so twenty tables, each keyed by three of the blocks, hold every such
-pair in a common bucket.
+``RADIUS`` bits agree in at least five of eight blocks, so 56 tables, each keyed by five of the blocks, hold every such pair
+in a common bucket.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from minekit.llm.graph import bucket_links, components
+from minekit.llm.graph import components
 from minekit.scale import settle
 
-HEAVY, RADIUS, BLOCKS = 8, 3, 6
+HEAVY, RADIUS, BLOCKS = 8, 3, 8
 WORD = r"[\p{L}\p{N}]+"
 _PAIR = 0x100000001
 
@@ -116,17 +116,28 @@ def fingerprint_classes(prints: DataFrame, *, radius: int = RADIUS, blocks: int
     they lead to, share a class, named by its smallest fingerprint.
 
     The bits are cut into ``blocks`` blocks; a table for each choice of ``blocks - radius`` of them holds the fingerprints by
-    the bits of these blocks. Null fingerprints have no row.
+    the bits of these blocks. In a bucket the fingerprint of most rows is first compared with all others; those that one
+    component joins by then need not meet, the rest do. Null fingerprints have no row.
     """
-    values = settle(prints.select("fingerprint").where("fingerprint is not null").distinct())
+    values = settle(prints.where("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias("rows")))
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = []
     for chosen in combinations(range(blocks), blocks - radius):
         mask = sum(((1 << (cuts[c + 1] - cuts[c])) - 1) << cuts[c] for c in chosen)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    tables = values.select(F.posexplode(F.array(*[F.col("fingerprint").bitwiseAND(F.lit(m)) for m in masks])).alias("band", "key"), F.col("fingerprint").alias("doc_id"))
-    links = bucket_links(tables, lambda pairs: pairs.withColumn("distance", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).cast("double")), float(radius))
-    if links is None:
-        return values.withColumn("class", F.col("fingerprint"))
+    keys = F.array(*[F.col("fingerprint").bitwiseAND(F.lit(m)) for m in masks])
+    tables = values.select(F.posexplode(keys).alias("band", "key"), "fingerprint", "rows")
+    first = tables.groupBy("band", "key").agg(F.count("*").alias("n"), F.max(F.struct("rows", "fingerprint")).alias("first")).where("n > 1")
+    buckets = settle(tables.join(first.select("band", "key", F.col("first.fingerprint").alias("leader")), ["band", "key"]).drop("rows"))
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
+    stars = settle(buckets.where((F.col("fingerprint") != F.col("leader")) & near("fingerprint", "leader")).select(F.col("leader").alias("a"), F.col("fingerprint").alias("b")).distinct())
+    parts = components(stars).select(F.col("node").alias("fingerprint"), F.col("component").alias("part"))
+    others = buckets.where("fingerprint <> leader").drop("leader").join(parts, "fingerprint", "left")
+    others = settle(others.withColumn("part", F.coalesce("part", "fingerprint")))
+    sizes = others.groupBy("band", "key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    rest = settle(others.join(sizes.select("band", "key"), ["band", "key"]))
+    right = rest.select("band", "key", F.col("fingerprint").alias("b"), F.col("part").alias("other"))
+    met = rest.join(right, ["band", "key"]).where((F.col("fingerprint") < F.col("b")) & (F.col("part") != F.col("other")) & near("fingerprint", "b"))
+    links = stars.unionByName(met.select(F.col("fingerprint").alias("a"), "b").distinct())
     named = values.join(components(links).withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     return named.select("fingerprint", F.coalesce("component", "fingerprint").alias("class"))

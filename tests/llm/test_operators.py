@@ -143,30 +143,6 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
 
 
-def test_bucket_links_connect_what_all_pairs_connect(spark):
-    rng = random.Random(8)
-    points = {i: rng.randrange(0, 400) for i in range(150)}
-    table = spark.createDataFrame([(i, p) for i, p in points.items()], "id long, x long")
-    members = spark.createDataFrame([(0, 1, i) for i in points], "band int, key long, doc_id long")
-
-    def verify(pairs):
-        a, b = (table.select(F.col("id").alias(c), F.col("x").alias(f"x{c}")) for c in "ab")
-        return pairs.join(a, "a").join(b, "b").select("a", "b", F.abs(F.col("xa") - F.col("xb")).cast("double").alias("distance"))
-
-    links = graph.bucket_links(members, verify, 4.0)
-    got = {r["node"]: r["component"] for r in graph.components(links).collect()}
-    order = sorted(points, key=lambda i: points[i])
-    groups, run = [], [order[0]]
-    for a, b in zip(order, order[1:]):
-        if points[b] - points[a] <= 4:
-            run.append(b)
-        else:
-            groups.append(run)
-            run = [b]
-    want = {i: min(g) for g in [*groups, run] for i in g if len(g) > 1}
-    assert got == want
-
-
 # 2 repeated passages
 
 
