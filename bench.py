@@ -39,6 +39,10 @@ HEADLINES = [
     "event_moving_stats",
     "event_profile",
     "streamed_profile",
+    "spearman",
+    "k_sweep_scores",
+    "event_motifs",
+    "reconciled_places",
 ]
 
 

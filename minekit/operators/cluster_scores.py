@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -203,6 +203,18 @@ def pairwise_agreement(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataF
     )
 
 
+def score_by(df: DataFrame, pairs: Sequence[tuple[str, str]], score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Any score of pairs of labelings: ``score`` turns the counts ``a, b, n`` of a pair into one row.
+
+    Returns the rows with the names ``first, second`` of the pair in front.
+    """
+    out = None
+    for a, b in pairs:
+        one = score(contingency(df, a, b)).select(F.lit(a).alias("first"), F.lit(b).alias("second"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return pairwise_agreement(df, [(a, b)])
 

@@ -316,6 +316,17 @@ def knn_grid(
     )
 
 
+def pair_metric(df: DataFrame, pairs: DataFrame, key: str, value: str, metric: Callable[[Column, Column], Column], out: str = "distance") -> DataFrame:
+    """``metric`` of the values of each pair ``a, b`` of keys: any function of two columns, for points or whole series.
+
+    Pairs with an unknown key have no row.
+    """
+    left = df.select(F.col(key).alias("a"), F.col(value).alias("__va"))
+    right = df.select(F.col(key).alias("b"), F.col(value).alias("__vb"))
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    return both.select("a", "b", metric(F.col("__va"), F.col("__vb")).alias(out))
+
+
 def knn_geo(
     queries: DataFrame,
     refs: DataFrame,

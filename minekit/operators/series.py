@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -264,6 +264,18 @@ def kernel_features(arrays: DataFrame, key: str, n: int = 100, seed: int = 42, c
     return arrays.select(key, column).mapInPandas(respond, f"{key} {id_type}, features array<double>")
 
 
+def apply_kernel(series: DataFrame, keys: Sequence[str], kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str, order: str = "t") -> DataFrame:
+    """Any function of one series: ``kernel`` gets its rows in order and returns rows of ``schema``.
+
+    A series is one task's group, so this is for series that fit a task; rows with a null key form a series too.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return kernel(rows.sort_values(order, ignore_index=True))
+
+    return series.groupBy(*keys).applyInPandas(run, schema)
+
+
 def motif_report(found: DataFrame, series: DataFrame, keys: Sequence[str], m: int, origin: str) -> DataFrame:
     """Where motifs or discords start and end (period number and date) with value statistics inside.
 

@@ -275,7 +275,7 @@ def _agree_sql(a: str, b: str, src: str) -> str:
 _AGREE = ["adjusted_rand", "nmi", "homogeneity", "completeness"]
 
 
-@query("CL12 U4", _agree_sql("l_returnflag", "l_linestatus", "lineitem"))
+@query("CL12", _agree_sql("l_returnflag", "l_linestatus", "lineitem"))
 def flag_agreement(t):
     out = cluster_scores.agreement(t.lineitem, "l_returnflag", "l_linestatus")
     return out.select("a", "b", *[r(c) for c in _AGREE])
@@ -354,6 +354,23 @@ def priority_mode(t):
     return cluster_scores.agg_by(t.orders, "o_orderpriority", "o_orderstatus", "mode")
 
 
+@query(
+    "U4",
+    " UNION ALL ".join(
+        f"""SELECT '{a}' AS first, '{b}' AS second, round(sum(best) / sum(n), 6) AS purity FROM (SELECT max(n) AS best, sum(n) AS n
+        FROM (SELECT {a}, {b}, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY {a})"""
+        for a, b in [("l_returnflag", "l_linestatus"), ("l_linenumber", "l_returnflag")]
+    ),
+)
+def label_purity(t):
+    def purity(counts):
+        best = counts.groupBy("a").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
+        return best.agg(F.round(F.sum("best") / F.sum("n"), 6).alias("purity"))
+
+    pairs = [("l_returnflag", "l_linestatus"), ("l_linenumber", "l_returnflag")]
+    return cluster_scores.score_by(t.lineitem, pairs, purity)
+
+
 # ---- classification
 
 
@@ -594,6 +611,23 @@ def model_scores(t):
     return _rounded(evaluate.compare_scores(tables))
 
 
+@query(
+    "EV3",
+    f"""WITH {PRED}, x AS (SELECT doc_id % 2 AS part, avg((quality = pred)::INT) AS a, avg((quality = pred2)::INT) AS b FROM pr GROUP BY 1),
+      y AS (SELECT 'a' AS model, part, a AS s FROM x UNION ALL SELECT 'b', part, b FROM x)
+      SELECT model, round(max(s) FILTER (part = 0), 6) AS accuracy_train, round(max(s) FILTER (part = 1), 6) AS accuracy_test FROM y GROUP BY 1""",
+)
+def scores_side_by_side(t):
+    df = predictions(t)
+
+    def scores(part):
+        own = df.where(F.col("doc_id") % 2 == part)
+        tables = {m: evaluate.clf_scores(own, "quality", p).select("accuracy") for m, p in (("a", "pred"), ("b", "pred2"))}
+        return evaluate.compare_scores(tables)
+
+    return evaluate.train_test_scores(scores(0), scores(1)).select("model", r("accuracy_train"), r("accuracy_test"))
+
+
 @query(
     "EV4",
     f"""WITH {PRED}, j AS (SELECT lang, (quality <> pred)::INT AS e FROM pr JOIN documents USING (doc_id)), t AS (SELECT count(*) AS n, sum(e) AS e FROM j)
@@ -621,6 +655,18 @@ def score_slice(t):
     return evaluate.slice_results(results, "p_size", {"p_type": "PROMO"})
 
 
+PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
+@query(
+    "EV6",
+    "SELECT p_size, " + ", ".join(f"round(avg(p_retailprice) FILTER (p_type = '{k}'), 4) AS \"{k}\"" for k in PART_TYPES) + " FROM part GROUP BY 1",
+)
+def score_grid(t):
+    results = t.part.groupBy("p_type", "p_size").agg(r(F.avg("p_retailprice"), 4, "score"))
+    return evaluate.pivot_results(results, "p_size", "p_type", PART_TYPES)
+
+
 @query("EV7")
 def shuffled_importance(t):
     split = doc_split(t)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from minekit.operators import matrix_profile as mpf
 from minekit.operators import series as ser
 from minekit.plans.core import EVENT_POS, event_series
+from minekit.operators.joins import pair_metric
 from minekit.plans.registry import query, r
 from minekit.scale import fresh_path, settle
 from minekit.streaming.ingest import drain, ingest, stream_source
@@ -280,7 +282,7 @@ def daily_shapelets(t):
     return out.select("user_id", "shapelet", r("distance"), "pos")
 
 
-@query("TS21 U3")
+@query("TS21")
 def daily_kernels(t):
     return ser.kernel_features(ser.to_arrays(daily(t), ["user_id"]), "user_id", 10)
 
@@ -299,6 +301,36 @@ def peak_in_and_out(t):
     return out.select("user_id", "inside", "n", r("mean"), r("min"), r("max"))
 
 
+@query(
+    "U3",
+    f"""WITH {DAILY} SELECT user_id, count(*)::BIGINT AS n, round(max(value) - min(value), 6) AS span, round(arg_max(value, t) - arg_min(value, t), 6) AS rise
+      FROM s GROUP BY 1""",
+)
+def daily_kernel(t):
+    def kernel(rows):
+        v = rows["value"]
+        record = {"user_id": [rows["user_id"][0]], "n": [len(v)], "span": [v.max() - v.min()], "rise": [v.iloc[-1] - v.iloc[0]]}
+        return pd.DataFrame(record)
+
+    out = ser.apply_kernel(daily(t), ["user_id"], kernel, "user_id long, n long, span double, rise double")
+    return out.select("user_id", "n", r("span"), r("rise"))
+
+
+@query(
+    "U2",
+    f"""WITH {DAILY}, p AS (SELECT a.user_id AS a, b.user_id AS b, max(abs(a.value - b.value)) AS d FROM s a JOIN s b ON a.t = b.t AND b.user_id = a.user_id + 1
+        GROUP BY 1, 2) SELECT a, b, round(d, 6) AS distance FROM p""",
+)
+def widest_gaps(t):
+    arrays = ser.to_arrays(daily(t), ["user_id"])
+    pairs = arrays.select(F.col("user_id").alias("a"), (F.col("user_id") + 1).alias("b"))
+
+    def widest(a, b):
+        return F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
+
+    return pair_metric(arrays, pairs, "user_id", "series", widest).select("a", "b", r("distance"))
+
+
 # ---- streams
 
 
