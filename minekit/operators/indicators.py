@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from minekit.scale import all_present, attach, number_rows, one_row
+from minekit.scale import all_present, attach, number_rows, one_row, settle
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "sum": lambda x: F.coalesce(F.sum(x), F.lit(0)),
@@ -74,6 +74,28 @@ def surprisal(df: DataFrame, keys: Sequence[str], values: Sequence[str], out: st
     return attach(df, scored, [*keys, *values], "__n")
 
 
+def surprisals(df: DataFrame, keys: Sequence[str], features: Mapping[str, Sequence[str]]) -> DataFrame:
+    """``surprisal`` of many value sets over the same keys: one count of all of them, one written table.
+
+    ``features``: output name -> value columns. Null where a key or a value of the set is null.
+    """
+    keys = list(keys)
+    known = all_present(keys)
+    present = {o: all_present(list(values)) for o, values in features.items()}
+    value = {o: F.to_json(F.array(*[F.col(v).cast("string") for v in values])) for o, values in features.items()}
+    cells = F.array(*[F.struct(F.lit(o).alias("__feature"), F.when(present[o], value[o]).alias("__value")) for o in features])
+    fine = df.where(known).select(*keys, F.inline(cells)).groupBy(*keys, "__feature", "__value").agg(F.count("*").alias("__n"))
+    fine = settle(fine)
+    coarse = fine.groupBy(*keys, "__feature").agg(F.sum("__n").alias("__all"))
+    scored = fine.where("__value is not null").join(coarse, [*keys, "__feature"])
+    scored = settle(scored.withColumn("__bits", -F.log2(F.col("__n") / F.col("__all"))).drop("__all"))
+    out = df.withColumns({f"__v_{o}": F.when(present[o], value[o]) for o in features})
+    for o in features:
+        one = scored.where(F.col("__feature") == o).select(*keys, F.col("__value").alias(f"__v_{o}"), "__n", F.col("__bits").alias(o))
+        out = attach(out, one, [*keys, f"__v_{o}"], "__n", written=True)
+    return out.drop(*[f"__v_{o}" for o in features])
+
+
 def window_sq_dev(
     df: DataFrame, keys: Sequence[str], x: str, y: str, agg: Agg, out: str = "sq_dev"
 ) -> DataFrame:

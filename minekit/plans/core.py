@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from minekit.functions import dates, maths, text
 from minekit.operators import aggregate, indicators, profile
 from minekit.plans.registry import day, query, r
-from minekit.scale import positions
+from minekit.scale import positions, settle
 
 ORDER_LINES = """
 j AS (SELECT l.*, year(o_orderdate) AS y, month(o_orderdate) // 7 + 1 AS h
@@ -34,7 +34,7 @@ def order_lines(t):
       ORDER BY ratio DESC, l_orderkey, l_partkey, l_suppkey, l_linenumber) AS rank FROM s) WHERE rank <= 10""",
 )
 def relative_price_top(t):
-    j = order_lines(t)
+    j = settle(order_lines(t))  # read for two statistics and the result
     j = indicators.window_ratio(j, ["y", "h", "l_returnflag"], "l_extendedprice", "mean", out="ratio")
     j = indicators.surprisal(j, ["y", "l_returnflag"], ["l_linestatus", "l_linenumber"])
     ids = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -600,7 +600,7 @@ def _ratio_sql() -> str:
 
 @query("W1 U1", _ratio_sql())
 def window_ratio_table(t):
-    out = indicators.window_ratios(order_lines(t), ["y", "h", "l_returnflag", "l_suppkey"], _FEATURES)
+    out = indicators.window_ratios(settle(order_lines(t)), ["y", "h", "l_returnflag", "l_suppkey"], _FEATURES)
     return out.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *[r(o, 9) for o in _FEATURES]
     )
@@ -623,6 +623,24 @@ def order_surprisal(t):
     return df.select("o_orderkey", r("day_surprisal"), r("priority_surprisal"))
 
 
+_SURPRISING = ["l_linestatus", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_suppkey"]
+_SURPRISE_SETS = {**{c: [c] for c in _SURPRISING}, "status_line": ["l_linestatus", "l_linenumber"], "terms": ["l_discount", "l_tax"]}
+
+
+@query(
+    "W2",
+    "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, "
+    + ", ".join(
+        f"""round(-log2(count(*) OVER (PARTITION BY l_returnflag, {", ".join(v)})::DOUBLE / count(*) OVER (PARTITION BY l_returnflag)), 6) AS s_{o}"""
+        for o, v in _SURPRISE_SETS.items()
+    )
+    + " FROM lineitem",
+)
+def line_surprisals(t):
+    out = indicators.surprisals(t.lineitem, ["l_returnflag"], {f"s_{o}": v for o, v in _SURPRISE_SETS.items()})
+    return out.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *[r(f"s_{o}") for o in _SURPRISE_SETS])
+
+
 @query(
     "W3",
     """SELECT c_custkey, round(pow(c_acctbal - avg(c_acctbal) OVER w, 2) + pow(c_nationkey - avg(c_nationkey) OVER w, 2), 2) AS sq_dev

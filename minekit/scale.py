@@ -84,16 +84,18 @@ def attach(
     *,
     salts: int | None = None,
     hot_rows: int = HOT_ROWS,
+    written: bool = False,
 ) -> DataFrame:
     """Left join per-group ``stats`` (one row per key, ``rows`` = group size) onto ``df``.
 
     The statistics are written once, so Spark knows their size and broadcasts them below its own limit; the
     rows then stay where they are. Beyond that limit a group of more than ``hot_rows`` rows gets one salt per
     ``hot_rows`` (``salts`` fixes their number), and only its statistics are repeated; rows without a key are
-    spread by task. The salt depends on the task alone, so a re-run task writes the same rows.
+    spread by task. The salt depends on the task alone, so a re-run task writes the same rows. ``written`` says that the
+    statistics come from a written table already.
     """
     keys = list(keys)
-    stats = settle(stats)
+    stats = stats if written else settle(stats)
     if not salts and stats.where(F.col(rows) >= hot_rows).isEmpty():
         left = df.withColumn("__salt", F.when(all_present(keys), 0).otherwise(F.spark_partition_id()))
         right = stats.drop(rows).withColumn("__salt", F.lit(0))
