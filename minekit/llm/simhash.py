@@ -125,19 +125,22 @@ def fingerprint_classes(prints: DataFrame, *, radius: int = RADIUS, blocks: int
     for chosen in combinations(range(blocks), blocks - radius):
         mask = sum(((1 << (cuts[c + 1] - cuts[c])) - 1) << cuts[c] for c in chosen)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    keys = F.array(*[F.col("fingerprint").bitwiseAND(F.lit(m)) for m in masks])
-    tables = values.select(F.posexplode(keys).alias("band", "key"), "fingerprint", "rows")
-    first = tables.groupBy("band", "key").agg(F.count("*").alias("n"), F.max(F.struct("rows", "fingerprint")).alias("first")).where("n > 1")
-    buckets = settle(tables.join(first.select("band", "key", F.col("first.fingerprint").alias("leader")), ["band", "key"]).drop("rows"))
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fingerprint").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
+    tables = values.select(F.explode(keys).alias("bucket"), "fingerprint", "rows")
+    # nearly all buckets hold one fingerprint and end here
+    crowded = tables.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    shared = settle(tables.join(crowded, "bucket"))
+    first = shared.groupBy("bucket").agg(F.max(F.struct("rows", "fingerprint")).alias("first"))
+    buckets = settle(shared.join(first.select("bucket", F.col("first.fingerprint").alias("leader")), "bucket").drop("rows"))
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
     stars = settle(buckets.where((F.col("fingerprint") != F.col("leader")) & near("fingerprint", "leader")).select(F.col("leader").alias("a"), F.col("fingerprint").alias("b")).distinct())
     parts = components(stars).select(F.col("node").alias("fingerprint"), F.col("component").alias("part"))
     others = buckets.where("fingerprint <> leader").drop("leader").join(parts, "fingerprint", "left")
     others = settle(others.withColumn("part", F.coalesce("part", "fingerprint")))
-    sizes = others.groupBy("band", "key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    rest = settle(others.join(sizes.select("band", "key"), ["band", "key"]))
-    right = rest.select("band", "key", F.col("fingerprint").alias("b"), F.col("part").alias("other"))
-    met = rest.join(right, ["band", "key"]).where((F.col("fingerprint") < F.col("b")) & (F.col("part") != F.col("other")) & near("fingerprint", "b"))
+    sizes = others.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    rest = settle(others.join(sizes.select("bucket"), "bucket"))
+    right = rest.select("bucket", F.col("fingerprint").alias("b"), F.col("part").alias("other"))
+    met = rest.join(right, "bucket").where((F.col("fingerprint") < F.col("b")) & (F.col("part") != F.col("other")) & near("fingerprint", "b"))
     links = stars.unionByName(met.select(F.col("fingerprint").alias("a"), "b").distinct())
     named = values.join(components(links).withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     return named.select("fingerprint", F.coalesce("component", "fingerprint").alias("class"))
