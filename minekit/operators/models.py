@@ -104,13 +104,13 @@ def mixed_nb(
     Categories unseen in training count as zero occurrences. Class statistics come from one aggregate;
     category counts are small tables joined on the value.
     """
-    # a class without spread is narrow, not impossible: a small share of the largest variance is added to all
+    # a class without spread is narrow, not impossible: no variance is below a small share of the largest
     spread = train.agg(F.coalesce(F.greatest(*[F.var_pop(c) for c in [*num, *num]]), F.lit(0.0)).alias("v")) if num else None
     floor = F.greatest(one_row(spread)["v"] * VAR_SMOOTHING, F.lit(1e-300)) if num else F.lit(0.0)
     stats = train.groupBy(label).agg(
         F.count("*").cast("double").alias("n"),
         F.array(*[F.avg(c) for c in num]).alias("mean") if num else F.array().cast("array<double>").alias("mean"),
-        F.array(*[F.var_pop(c) + floor for c in num]).alias("var") if num else F.array().cast("array<double>").alias("var"),
+        F.array(*[F.greatest(F.var_pop(c), floor) for c in num]).alias("var") if num else F.array().cast("array<double>").alias("var"),
     )
     everyone = stats.agg(
         F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "n", "mean", "var"))).alias("c"),
