@@ -281,7 +281,9 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lim
     Of rows that repeat an id one stays.
     """
     classes = settle(near_duplicates(docs, doc_id=doc_id, text=text, limit=limit))
-    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    gone = settle(classes.where("doc_id <> class_id").select(F.col("doc_id").alias(doc_id)).distinct())
+    if gone.count() <= LOOKUP:
+        gone = F.broadcast(gone)
     left = docs.join(gone, doc_id, "left_anti").select(*docs.columns)
     again = classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1")
     if again.isEmpty():
