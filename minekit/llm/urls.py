@@ -1,9 +1,10 @@
 """URL filters: fixed rules, and a tree of path templates per host that carries their verdicts to other urls.
 
-The first ``LEVELS`` path segments of a url are a branch of its host's tree; what follows is one wildcard. Segments with
+The path segments of a url are a branch of its host's tree. Segments with
 a digit are variable. Going down level by level, a literal segment keeps its own branch if it has at least
 ``SUPPORT`` urls and its share of blocked urls differs from that of its siblings by a two-proportion test; all others
-become the wildcard of their parent. A template is rejected if the smoothed share of blocked urls among those that a
+become the wildcard of their parent. The first ``LEVELS`` levels are always cut; below them a branch goes on as long as a
+literal further down can still be kept, however deep that is, and what follows is one wildcard. A template is rejected if the smoothed share of blocked urls among those that a
 rule has judged exceeds ``PURITY``; it is smoothed towards its host, and the host towards all hosts.
 """
 
@@ -42,10 +43,9 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return out
 
 
-def _segment(path: Column, level: int) -> Column:
-    """The shape of a path segment: literal, ``*`` where it holds a digit, empty where the path has ended."""
-    part = F.coalesce(F.get(F.split(path, "/"), F.lit(level)), F.lit(""))
-    return F.when(part.rlike("[0-9]"), F.lit("*")).otherwise(part)
+def _shape(path: Column) -> Column:
+    """The path with ``*`` for each segment that holds a digit."""
+    return F.regexp_replace(path, r"(?<=/)[^/0-9]*+[0-9][^/]*", "*")
 
 
 def _blocked_share(blocked: Column, judged: Column) -> Column:
@@ -53,24 +53,37 @@ def _blocked_share(blocked: Column, judged: Column) -> Column:
 
 
 def template_verdicts(shapes: DataFrame) -> DataFrame:
-    """``shapes``: host, s1..sN, urls, blocked, allowed. Adds the template t1..tN, ``purity`` and ``verdict``."""
-    at = settle(shapes)
-    parent = ["host"]
-    for level in range(1, LEVELS + 1):
-        s, t = f"s{level}", f"t{level}"
-        sums = [F.sum(c).alias(c) for c in ("urls", "blocked", "allowed")]
-        branches = at.groupBy(*parent, s).agg(*sums)
-        whole = branches.groupBy(*parent).agg(*[F.sum(c).alias(f"all_{c}") for c in ("urls", "blocked", "allowed")])
+    """``shapes``: host, shape, urls, blocked, allowed. Adds the ``template``, its ``purity`` and ``verdict``."""
+    parent, counted = ["host", "template"], ("urls", "blocked", "allowed", "deeper")
+    at, closed, level = settle(shapes.withColumn("template", F.lit(""))), [], 0
+    while True:
+        level += 1
+        parts = F.split("shape", "/")
+        s = F.coalesce(F.get(parts, F.lit(level)), F.lit(""))
+        deeper = F.when(F.size(parts) > level, F.col("urls")).otherwise(0)
+        branches = at.select(*parent, s.alias("s"), "urls", "blocked", "allowed", deeper.alias("deeper")).groupBy(*parent, "s")
+        branches = branches.agg(*[F.sum(c).alias(c) for c in counted])
+        whole = branches.groupBy(*parent).agg(*[F.sum(c).alias(f"all_{c}") for c in counted])
+        if level > LEVELS:
+            # no literal below a branch can be kept if it has too few urls there, or no two verdicts to differ
+            opened = settle(whole.where((F.col("all_deeper") >= SUPPORT) & (F.col("all_blocked") > 0) & (F.col("all_allowed") > 0)).select(*parent))
+            if opened.isEmpty():
+                break
+            closed.append(settle(at.join(opened, parent, "left_anti").select(*at.columns)))
+            at = settle(at.join(opened, parent, "left_semi").select(*at.columns))
+            branches, whole = branches.join(opened, parent, "left_semi"), whole.join(opened, parent, "left_semi")
         judged, all_judged = F.col("blocked") + F.col("allowed"), F.col("all_blocked") + F.col("all_allowed")
         rest = all_judged - judged
         pooled = _blocked_share(F.col("all_blocked"), all_judged)
         gap = _blocked_share(F.col("blocked"), judged) - _blocked_share(F.col("all_blocked") - F.col("blocked"), rest)
         error = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), judged) + F.try_divide(F.lit(1.0), rest)))
         apart = F.coalesce(F.abs(gap) > Z * error, F.lit(False))
-        keeps = (F.col(s) == "") | ((F.col("urls") >= SUPPORT) & apart)
-        named = branches.join(whole, parent).select(*parent, s, F.when(keeps, F.col(s)).otherwise("*").alias(t))
-        at = settle(at.join(named, [*parent, s]))  # as few rows as there are shapes, read several times below
-        parent = [*parent, t]
+        keeps = (F.col("s") == "") | ((F.col("urls") >= SUPPORT) & apart)
+        named = branches.join(whole, parent).select(*parent, "s", F.concat("template", F.lit("/"), F.when(keeps, F.col("s")).otherwise("*")).alias("longer"))
+        # as few rows as there are shapes, read several times below
+        at = settle(at.withColumn("s", s).join(named, [*parent, "s"]).select(*shapes.columns, F.col("longer").alias("template")))
+    for done in closed:
+        at = at.unionByName(done)
     sums = [F.sum(c).cast("double").alias(c) for c in ("blocked", "allowed")]
     leaves = at.groupBy(*parent).agg(*sums)
     hosts = leaves.groupBy("host").agg(F.sum("blocked").alias("host_blocked"), F.sum("allowed").alias("host_allowed"))
@@ -81,7 +94,7 @@ def template_verdicts(shapes: DataFrame) -> DataFrame:
     purity = (F.col("blocked") + WEIGHT * F.col("host_share")) / (F.col("blocked") + F.col("allowed") + WEIGHT)
     judged = leaves.select(*parent, purity.alias("purity"))
     verdict = F.when(F.round("purity", 9) > PURITY, "block").otherwise("allow")
-    return at.join(judged, parent).select(*shapes.columns, *parent[1:], "purity", verdict.alias("verdict"))
+    return at.join(judged, parent).select(*shapes.columns, "template", "purity", verdict.alias("verdict"))
 
 
 def judge_urls(pages: DataFrame, *, url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -94,16 +107,15 @@ def judge_urls(pages: DataFrame, *, url: str = "url", rules: Sequence[tuple[str,
     address = F.col(url)
     split = pages.select(F.struct(*pages.columns).alias("__row"), host_of(address).alias("__host"), path_of(address).alias("__path"))
     ruled = split.withColumn("__rule", rule_for(F.col("__host"), F.col("__path"), rules))
-    shaped = ruled.withColumns({f"__s{i}": _segment(F.col("__path"), i) for i in range(1, LEVELS + 1)})
-    shape = [F.col("__host").alias("host"), *[F.col(f"__s{i}").alias(f"s{i}") for i in range(1, LEVELS + 1)]]
-    counts = shaped.groupBy(*shape).agg(
+    shaped = ruled.withColumn("__shape", _shape(F.col("__path")))
+    counts = shaped.groupBy(F.col("__host").alias("host"), F.col("__shape").alias("shape")).agg(
         F.count("*").alias("urls"),
         F.count_if(F.col("__rule.verdict") == "block").alias("blocked"),
         F.count_if(F.col("__rule.verdict") == "allow").alias("allowed"),
     )
     verdicts = template_verdicts(counts)
-    found = verdicts.select(F.col("host").alias("__host"), *[F.col(f"s{i}").alias(f"__s{i}") for i in range(1, LEVELS + 1)], F.col("verdict").alias("__verdict"))
-    done = shaped.join(found, ["__host", *[f"__s{i}" for i in range(1, LEVELS + 1)]], "left")
+    found = verdicts.select(F.col("host").alias("__host"), F.col("shape").alias("__shape"), F.col("verdict").alias("__verdict"))
+    done = shaped.join(found, ["__host", "__shape"], "left")
     return done.select(
         *own,
         F.col("__host").alias("host"),

@@ -432,6 +432,14 @@ def test_templates_spread_verdicts(spark):
     assert {(r["s"], r["verdict"]) for r in judged.collect()} == {("shop", "block"), ("news", "allow")}
 
 
+def test_templates_at_any_depth(spark):
+    folders = {5: "/a/b/c/d", 7: "/a/2024/c/x/y9/z"}
+    rows = [(f"http://a{n}.example.net{f}/{s}/{i}", s) for n, f in folders.items() for i in range(60) for s in ("shop", "news")]
+    rules = [(v, f"a{n}.example.net", f"{f}/{s}/{i}") for n, f in folders.items() for v, s in (("block", "shop"), ("allow", "news")) for i in range(1, 6)]
+    judged = urls.judge_urls(spark.createDataFrame(rows, "url string, s string"), rules=rules).where("rule is null")
+    assert {(r["host"], r["s"], r["verdict"]) for r in judged.collect()} == {(f"a{n}.example.net", s, v) for n in folders for s, v in (("shop", "block"), ("news", "allow"))}
+
+
 # 9 fingerprints
 
 
