@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns, and a battery of randomness tests over long tokens.
 
-A token's encoding follows from its characters. Three statistics are taken over its symbols: chi-squared against a
+A token's encoding follows from its characters. One that fits none is cut after each run of ``=``, and at the signs outside
+of base64 and of base64url; each part of ``LEAST`` characters or more is a token of its own. Three statistics are taken over its symbols: chi-squared against a
 uniform alphabet, runs above and below the middle of the alphabet, and serial correlation. A random token must pass all
 three together (Fisher's sum against ``RANDOM``); its p-value is the chance that ordinary text looks as
 even as the token does; two symbols of ordinary text are alike with the chance ``ALIKE``, or ``COINCIDENCE`` times that of
@@ -20,6 +21,9 @@ ASSIGN = rf"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["'
 ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 TOKEN = "[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+CODED = "^([0-9A-Za-z+/]+|[0-9A-Za-z_-]+)=*$"
+PARTS = ["[0-9A-Za-z+/]+=*", "[0-9A-Za-z_-]+=*"]
 KINDS = ["assign", "access", "hex", "random"]
 COINCIDENCE, ALIKE = 1.73, 0.065
 RANDOM = 0.001
@@ -92,6 +96,31 @@ def _coded(token: Column) -> Column:
     return chosen
 
 
+def _span(s: Column) -> Column:
+    return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
+
+
+def _tokens(text: Column) -> Column:
+    """``start, kind, end, token`` of all tokens that the battery can judge, in order and each once."""
+    raw = F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1))
+
+    def cut(found: Column) -> Column:
+        """Spans within a token."""
+        parts = [F.regexp_extract_all(found, F.lit(f"({p})"), F.lit(1)) for p in PARTS]
+        spans = F.array_distinct(F.concat(*[_located(found, hits, p, 3) for hits, p in zip(parts, PARTS)]))
+        whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(3).alias("kind"), F.length(found).alias("end"))).cast(_SPANS)
+        return F.when(found.rlike(CODED), whole).otherwise(F.array_sort(F.filter(spans, lambda s: s["end"] - s["start"] >= LEAST)))
+
+    def pieces(found: Column, at: Column) -> Column:
+        def one(span: Column) -> Column:
+            token = F.substr(found, span["start"] + 1, span["end"] - span["start"])
+            return F.struct((at["start"] + span["start"]).alias("start"), F.lit(3).alias("kind"), (at["start"] + span["end"]).alias("end"), token.alias("token"))
+
+        return F.transform(cut(found), one)
+
+    return F.flatten(F.zip_with(raw, _located(text, raw, TOKEN, 3), pieces))
+
+
 def battery(tokens: Column) -> Column:
     """``encoding, n, p_random, p_text`` for each token of an array; null where no encoding fits."""
 
@@ -166,17 +195,18 @@ def find_secrets(docs: DataFrame, *, text: str = "text", out: str = "secrets") -
     ordered by start and kind. Random tokens that touch a pattern span are not listed again.
 
     A null text has no spans. A column named ``out`` is replaced, all others pass through, repeated rows each get
-    their own spans; repeated tokens count each time in the false-discovery control.
+    their own spans; repeated tokens count each time in the false-discovery control. Of random parts of a token that lie
+    in each other only the longest is listed.
     """
     whole = F.coalesce(F.col("__text"), F.lit(""))
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__text"))
-    tokens = F.regexp_extract_all(whole, F.lit(f"({TOKEN})"), F.lit(1))
-    tests = rows.select(tokens.alias("tokens")).where(F.size("tokens") > 0).select(F.explode(battery(F.col("tokens"))).alias("test"))
+    tokens = _tokens(whole)
+    tests = rows.select(tokens["token"].alias("tokens")).where(F.size("tokens") > 0).select(F.explode(battery(F.col("tokens"))).alias("test"))
     bins = discovery_bins(tests.where(F.col("test.p_random") >= RANDOM), "test")
     limits = bins.agg(F.map_from_entries(F.collect_list(F.struct("class", "least"))).alias("limits"))
 
     based = base_spans(rows, "__text", "__base").withColumns({"__tokens": tokens, "__limits": limits.scalar()})
-    tested = based.withColumns({"__spans": _located(whole, F.col("__tokens"), TOKEN, 3), "__tests": battery(F.col("__tokens"))})
+    tested = based.withColumns({"__spans": F.transform("__tokens", _span), "__tests": battery(F.col("__tokens.token"))})
     passed = F.transform(
         "__tests",
         lambda t: F.coalesce((t["p_random"] >= RANDOM) & (_bin(t["p_text"]) >= F.element_at("__limits", _class(t))), F.lit(False)),
@@ -186,7 +216,10 @@ def find_secrets(docs: DataFrame, *, text: str = "text", out: str = "secrets") -
         "__spans",
         lambda s, i: F.element_at("__passed", i + 1) & ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
     )
-    done = judged.withColumn("__found", F.array_sort(F.concat("__base", random)))
+    judged = judged.withColumn("__random", random)
+    inside = lambda s, o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
+    longest = F.filter("__random", lambda s: ~F.exists("__random", lambda o: inside(s, o)))
+    done = judged.withColumn("__found", F.array_sort(F.concat("__base", longest)))
     return done.select(*[F.col("__row")[c].alias(c) for c in docs.columns if c.lower() != out.lower()], F.col("__found").alias(out))
 
 

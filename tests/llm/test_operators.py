@@ -400,6 +400,25 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert not any(hits[i] for i in range(100, 140))
 
 
+def test_random_parts_of_tokens_without_an_encoding(spark):
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows, want = [], {}
+    for i in range(120):
+        key = "".join(rng.choices(letters + ("+/" if i % 4 == 1 else "-_" if i % 4 == 2 else ""), k=64)) + "=" * (i % 4 == 1)
+        lead, tail = [("é session=", ""), ("sig=", "&v"), ("dbkey=", "=x"), ("/my-app/", "/end_of")][i % 4]
+        rows.append((i, f"{lead}{key}{tail} ok"))
+        want[i] = (len(lead), len(lead) + len(key))
+    rows += [(200 + i, "read /my-own_folder/of=plain+english-words/that-nobody_hides ok") for i in range(10)]
+    found = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    hits = {r["doc_id"]: [tuple(s) for s in r["secrets"]] for r in found}
+    assert not any(hits[i] for i in range(200, 210))
+    for kind in range(4):
+        covered = [any(a <= want[i][0] and want[i][1] <= b for a, _, b in hits[i]) for i in range(kind, 120, 4)]
+        assert sum(covered) >= 24, (kind, sum(covered))
+    assert all(len(spans) == len(set(spans)) for spans in hits.values())
+
+
 def test_secrets_of_odd_rows(odd, empty):
     found = secrets.find_secrets(odd)
     rows = found.collect()
