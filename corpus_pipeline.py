@@ -18,14 +18,21 @@ from minekit.scale import fresh_path
 def known_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose language cannot be told go: null texts and texts without a letter.
 
-    The language profiles are learned from the rows with a language.
+    The language profiles are learned from the rows with a language other than ``und``; if there are none, only the letters
+    decide.
     """
-    named = language.predict(docs, language.train(docs), out="__lang", score="__score")
+    prototypes = language.train(docs.where(F.col("lang") != language.UNKNOWN))
+    if not prototypes:
+        return language.lettered(docs)
+    named = language.predict(docs, prototypes, out="__lang", score="__score")
     return named.where(F.col("__lang") != language.UNKNOWN).select(*docs.columns)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays; see ``near_dedup.keep_one``."""
+    """Of each class of near copies the document with the smallest id stays; see ``near_dedup.keep_one``.
+
+    Rows that repeat an id with different texts are different documents.
+    """
     return near_dedup.keep_one(docs)
 
 

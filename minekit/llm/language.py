@@ -144,6 +144,20 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", dimensions
     return {r["lang"]: np.array([c["v"] for c in r["cells"]]) for r in sorted(rows)}
 
 
+def _has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
+def lettered(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """The rows whose text is not null and has a letter, the same for which ``predict`` names a language."""
+    fields = [T.StructField("__lettered", T.BooleanType())]
+
+    def task():
+        return lambda rows: [[_has_letter(t or "") for t in rows.column(text).to_pylist()]]
+
+    return add_columns(docs, text, fields, task).where("__lettered").select(*docs.columns)
+
+
 def predict(
     docs: DataFrame,
     prototypes: dict[str, np.ndarray],
@@ -176,7 +190,7 @@ def predict(
                 return [[UNKNOWN] * len(texts), np.zeros(len(texts))]
             best = np.argmax(vectors @ apart.value.T, 1)
             likeness = (vectors * shared.value[best]).sum(1) / np.maximum(size, 1e-9)
-            known = np.array([any(map(str.isalpha, t)) for t in texts], bool)
+            known = np.array([_has_letter(t) for t in texts], bool)
             return [[names[b] if k else UNKNOWN for b, k in zip(best, known)], np.where(known, np.clip(likeness, 0, 1), 0).astype(float)]
 
         return work

@@ -139,6 +139,16 @@ class Sampler:
         return np.where(total > 0, shared / np.maximum(total - shared, 1e-300), 0.0)
 
 
+def _digests(words: np.ndarray, first: np.ndarray) -> list[str | None]:
+    """Digest of the words of each text, null without a word."""
+    return [xxhash.xxh3_128_hexdigest(words[a:b].tobytes()) if b > a else None for a, b in zip(first[:-1], first[1:])]
+
+
+def with_content(docs: DataFrame, text: str, out: str) -> DataFrame:
+    """``docs`` with the digest ``out`` that ``signatures`` calls ``content``."""
+    return add_columns(docs, text, [T.StructField(out, T.StringType())], lambda: lambda rows: [_digests(*words_of(rows.column(text)))])
+
+
 def signatures(docs: DataFrame, log_idf: np.ndarray, *, doc_id: str, text: str) -> DataFrame:
     """``doc_id, content`` (digest of the words, null without a word), ``bands`` for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(log_idf)
@@ -151,9 +161,8 @@ def signatures(docs: DataFrame, log_idf: np.ndarray, *, doc_id: str, text: str)
         def work(rows):
             doc, grams, count, words, first = shingles(rows.column("text"))
             keys = sampler.bands(doc, grams, count, rows.num_rows)
-            content = [xxhash.xxh3_128_hexdigest(words[a:b].tobytes()) if b > a else None for a, b in zip(first[:-1], first[1:])]
             flat = pa.array(keys.view(np.int64).ravel())
-            return [content, pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), flat)]
+            return [_digests(words, first), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), flat)]
 
         return work
 
@@ -246,47 +255,88 @@ def _links(members: DataFrame, texts: DataFrame, log_idf: np.ndarray, limit: flo
     return stars.unionByName(links(pairs)).unionByName(settle(tiled))
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", limit: float = LIMIT) -> DataFrame:
-    """``doc_id, class_id, n_class`` for every row: the smallest id of its class of near copies, and the rows in it.
+def _classed(docs: DataFrame, *, doc_id: str, text: str, limit: float) -> tuple[DataFrame, bool]:
+    """``doc_id, content, class, class_id`` for every row, and whether each id has one text only.
 
-    Texts with the same words are one class from the start and stand for each other. A null or empty text, or one
-    without a word, is a class of its own, and so is a row whose id is null (its class is null). Rows that repeat an id
-    with the same text belong to one class. An empty table gives no rows.
+    Then ``class`` is the smallest id; else ids do not tell texts apart, and it is a digest of the class.
     """
     log_idf = cell_weights(docs, text)
     marks = settle(signatures(docs, log_idf, doc_id=doc_id, text=text))
+    digest = F.xxhash64(F.coalesce("content", F.lit("")))
+    several = marks.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high"))
+    by_id = several.where("low < high").isEmpty()
     heads = marks.where("content is not null and doc_id is not null").groupBy("content")
     heads = settle(heads.agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
-    members = heads.select(F.col("head").alias("doc_id"), "copies", F.posexplode("bands").alias("band", "key"))
+    node = "head" if by_id else "content"
+    members = heads.select(F.col(node).alias("doc_id"), "copies", F.posexplode("bands").alias("band", "key"))
     shared = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = settle(members.join(shared.select("band", "key"), ["band", "key"]))
     wanted = settle(members.select("doc_id").distinct())
     if wanted.count() <= LOOKUP:
         wanted = F.broadcast(wanted)
-    texts = settle(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id", "left_semi"))
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    if by_id:
+        texts = settle(source.join(wanted, "doc_id", "left_semi"))
+    else:
+        source = with_content(source.where("doc_id is not null"), "text", "content").select(F.col("content").alias("doc_id"), "text")
+        texts = settle(source.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     linked = components(_links(members, texts, log_idf, limit))
-    named = heads.select("content", F.col("head").alias("node")).join(linked, "node", "left")
-    named = named.select("content", F.coalesce("component", "node").alias("class"))
+    named = heads.select("content", "head", F.col(node).alias("node")).join(linked, "node", "left")
+    named = named.select("content", "head", F.coalesce("component", "node").alias("class"))
+    if by_id:
+        named = named.select("content", "class", F.col("class").alias("class_id"))
+    else:
+        named = settle(named)
+        named = named.join(named.groupBy("class").agg(F.min("head").alias("class_id")), "class").select("content", "class", "class_id")
+    own = F.col("doc_id") if by_id else F.concat(F.lit("#"), F.col("doc_id").cast("string"))  # of a text without a word
     classed = marks.select("doc_id", "content").join(named, "content", "left")
-    classed = settle(classed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class_id")))
-    sizes = classed.groupBy("class_id").agg(F.count("*").alias("n_class"))
-    return classed.join(sizes, "class_id").select("doc_id", "class_id", "n_class").unionByName(
-        classed.where("class_id is null").select("doc_id", "class_id", F.lit(1).cast("long").alias("n_class"))
+    known = F.col("doc_id").isNotNull()
+    classed = classed.select("doc_id", "content", F.when(known, F.coalesce("class", own)).alias("class"), F.when(known, F.coalesce("class_id", "doc_id")).alias("class_id"))
+    return settle(classed), by_id
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", limit: float = LIMIT) -> DataFrame:
+    """``doc_id, class_id, n_class`` for every row: the smallest id of its class of near copies, and the rows in it.
+
+    Texts with the same words are one class from the start and stand for each other. A null or empty text, or one
+    without a word, is a class of its own, and so is a row whose id is null (its class is null). Rows that repeat an id
+    with the same text belong to one class, those with different texts only if these are near copies. An empty table
+    gives no rows.
+    """
+    classed, _ = _classed(docs, doc_id=doc_id, text=text, limit=limit)
+    sizes = classed.groupBy("class").agg(F.count("*").alias("n_class"))
+    return classed.join(sizes, "class").select("doc_id", "class_id", "n_class").unionByName(
+        classed.where("class is null").select("doc_id", "class_id", F.lit(1).cast("long").alias("n_class"))
     )
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", limit: float = LIMIT) -> DataFrame:
     """``docs`` with one document of each class, the one with the smallest id; rows with a null id stay.
 
-    Of rows that repeat an id one stays.
+    Of rows that repeat an id with the same words one stays. Different texts of one id are told apart by their digests: each
+    stays unless it is a near copy of one that stays.
     """
-    classes = settle(near_duplicates(docs, doc_id=doc_id, text=text, limit=limit))
-    gone = settle(classes.where("doc_id <> class_id").select(F.col("doc_id").alias(doc_id)).distinct())
+    classes, by_id = _classed(docs, doc_id=doc_id, text=text, limit=limit)
+    if by_id:
+        keys, marked = [doc_id], docs
+        gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias(doc_id))
+    else:
+        keys, marked = [doc_id, "__content"], with_content(docs, text, "__content")
+        worded = classes.where("doc_id is not null and content is not null")
+        stays = worded.groupBy("class").agg(F.min(F.struct("doc_id", "content")).alias("stays"))
+        gone = worded.join(stays, "class").where(F.struct("doc_id", "content") != F.col("stays"))
+        gone = gone.select(F.col("doc_id").alias(doc_id), F.col("content").alias("__content"))
+    gone = settle(gone.distinct())
     if gone.count() <= LOOKUP:
         gone = F.broadcast(gone)
-    left = docs.join(gone, doc_id, "left_anti").select(*docs.columns)
-    again = classes.where("doc_id = class_id").groupBy("doc_id").count().where("count > 1")
+    left = marked.join(gone, keys, "left_anti").select(*marked.columns)
+    again = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if again.isEmpty():
-        return left
-    single = left.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
-    return single.unionByName(left.where(F.col(doc_id).isNull()))
+        return left.select(*docs.columns)
+    known = left.where(F.col(doc_id).isNotNull())
+    if by_id:
+        single = known.dropDuplicates(keys)
+    else:  # without a word the text itself counts
+        plain = F.when(F.col("__content").isNull(), F.sha2(F.col(text).cast("binary"), 256))
+        single = known.withColumn("__plain", plain).dropDuplicates([*keys, "__plain"])
+    return single.select(*docs.columns).unionByName(left.where(F.col(doc_id).isNull()).select(*docs.columns))

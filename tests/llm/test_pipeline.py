@@ -51,3 +51,17 @@ def test_stages_keep_odd_rows_in_order(spark):
             at = stage(spark, at, SMALL)
         rows = at.collect()
         assert sorted((r["doc_id"] for r in rows), key=str) == ([3, 4, None] if table is docs else [])
+
+
+def test_no_label_and_repeated_ids_lose_no_text(spark):
+    near = "the quick brown fox jumps over the lazy dog and runs away through the green forest until the evening comes down upon the hills"
+    other = "a wholly different page about bread and flour and how long a dough should rest before it goes into the oven at last"
+    rows = [(1, near, None), (2, near, None), (2, other, None), (2, other, None), (5, "eins zwei drei vier fünf sechs", None), (5, "un deux trois quatre cinq six", None), (6, "...", None), (7, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for labels in (docs, docs.withColumn("lang", F.lit("und"))):
+        at = corpus_pipeline.known_language(spark, labels, SMALL)
+        assert sorted(r["doc_id"] for r in at.collect()) == [1, 2, 2, 2, 5, 5]
+    left = corpus_pipeline.one_of_near_copies(spark, docs, SMALL).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in left) == sorted([(1, near), (2, other), *((r[0], r[1] or "") for r in rows[4:])])
+    classes = near_dedup.near_duplicates(docs).collect()
+    assert sorted(tuple(r) for r in classes) == [(1, 1, 2), (2, 1, 2), (2, 2, 2), (2, 2, 2), (5, 5, 1), (5, 5, 1), (6, 6, 1), (7, 7, 1)]
