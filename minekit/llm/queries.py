@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minekit.llm import bpe, language, licences, lm, near_dedup, secrets, simhash, substrings, urls
+from minekit.llm import bpe, language, licences, lm, merkle, near_dedup, secrets, simhash, substrings, urls
 from minekit.llm import decontaminate as bench
 from minekit.scale import settle
 
@@ -222,3 +222,58 @@ select doc_id, coalesce(n, 0)::bigint n_passages, coalesce(p, '') passages from
 
 
 SQL["op10_licences"] = _licence_sql()
+
+
+@register
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    lower = F.translate("text", _LETTERS, _LETTERS.lower())
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, merkle.digest(merkle.record([*fields, lower])))
+    leaves = merkle.manifest(documents(spark, folder), fields=[*fields, "text"], carry={"tampered": tampered})
+    back = merkle.folded(F.coalesce("tampered", "leaf"), "proof")
+    proved = leaves.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings("proof")).alias("proof_sha256"), back.alias("folded_root"))
+    return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _manifest_sql() -> str:
+    field = "coalesce(octet_length(encode({0}::varchar)) || ':' || {0}::varchar, '-')"
+    fields = [field.format(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lower = field.format(f"translate(text, '{_LETTERS}', '{_LETTERS.lower()}')")
+    flipped = "xor(a, x)"
+    crc = (
+        "xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: "
+        f"[ascii(c)::bigint, 0, 0, 0, 0, 0, 0, 0]))), lambda a, x: xor({flipped} >> 1, case when {flipped} & 1 = 1 then 3988292384 else 0 end)))"
+    )
+    levels, steps = range(6), []
+    for t in "lt":  # the leaves of each source, then the roots of the sources
+        if t == "t":
+            steps.append("t0 as (select '' k, row_number() over (order by k) - 1 pos, count(*) over () n, h, k name from l6)")
+        for i in levels:
+            steps.append(
+                f"{t}{i + 1} as (select k, pos // 16 pos, n, case when n > {16**i} then sha256(string_agg(h, '' order by pos)) else min(h) end h"
+                f"{', min(name) as name' if t == 't' else ''} from {t}{i} group by k, pos // 16, n)"
+            )
+            steps.append(
+                f"{t}s{i} as (select a.k, a.pos, coalesce(string_agg(b.h, '' order by b.pos) filter (b.pos < a.pos), '') l,"
+                f" coalesce(string_agg(b.h, '' order by b.pos) filter (b.pos > a.pos), '') r"
+                f" from {t}{i} a join {t}{i} b on a.k = b.k and a.pos // 16 = b.pos // 16 group by 1, 2)"
+            )
+    joins = " ".join(f"join {t}s{i} on {t}s{i}.k = {t}0.k and {t}s{i}.pos = {t}0.pos // {16**i}" for t in "lt" for i in levels)
+    proof = " || ".join(f"{t}s{i}.l || {t}s{i}.r" for t in "lt" for i in levels)
+    pairs = ", ".join(f"case when {t}0.n > {16**i} then {t}s{i}.l || '|' || {t}s{i}.r end" for t in "lt" for i in levels)
+    pairs = f"list_filter([{pairs}], lambda p: p is not null)"
+    fold = f"list_reduce(list_prepend(f, {pairs}), lambda a, p: sha256(split_part(p, '|', 1) || a || split_part(p, '|', 2)))"
+    return f"""
+with d as (
+    select doc_id, coalesce('1' || source, '0') k, sha256({" || ".join([*fields, field.format("text")])}) h,
+        case when {crc} % 5 = 0 then sha256({" || ".join([*fields, lower])}) end tampered
+    from documents
+),
+l0 as (select *, row_number() over (partition by k order by doc_id nulls first, h) - 1 pos, count(*) over (partition by k) n, coalesce(tampered, h) f from d),
+{", ".join(steps)}
+select doc_id, l0.h leaf, l6.h subroot, t6.h root, sha256({proof}) proof_sha256, {fold} folded_root, folded_root = t6.h verified
+from l0 join l6 on l6.k = l0.k join t0 on t0.name = l0.k cross join t6 {joins}
+"""
+
+
+SQL["op11_merkle_manifest"] = _manifest_sql()
