@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minekit.llm import bpe, language, licences, lm, merkle, near_dedup, secrets, simhash, substrings, urls
+from minekit.llm import bpe, language, licences, lm, merkle, near_dedup, prefix_bpe, secrets, simhash, substrings, urls
 from minekit.llm import decontaminate as bench
 from minekit.scale import settle
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+VOCABULARY = "byte_bpe_50k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -277,3 +278,10 @@ from l0 join l6 on l6.k = l0.k join t0 on t0.name = l0.k cross join t6 {joins}
 
 
 SQL["op11_merkle_manifest"] = _manifest_sql()
+
+
+@register
+def op13_prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = prefix_bpe.read_vocabulary(public_tokenizers.path(VOCABULARY))
+    coded = prefix_bpe.encode_decode(documents(spark, folder).select("doc_id", "text"), vocabulary, with_ids=False, keep=["doc_id"])
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
