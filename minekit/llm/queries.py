@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minekit.llm import bpe, language, licences, lm, merkle, near_dedup, prefix_bpe, secrets, simhash, substrings, urls
+from minekit.llm import bpe, language, licences, lm, merkle, near_dedup, prefix_bpe, secrets, simhash, substrings, urls, whitening
 from minekit.llm import decontaminate as bench
 from minekit.scale import settle
 
@@ -285,3 +285,20 @@ def op13_prefix_bpe(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = prefix_bpe.read_vocabulary(public_tokenizers.path(VOCABULARY))
     coded = prefix_bpe.encode_decode(documents(spark, folder).select("doc_id", "text"), vocabulary, with_ids=False, keep=["doc_id"])
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@register
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    rows = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    shares = F.array(*map(F.lit, model.explained)) if model else F.array().cast("array<double>")
+    return rows.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n if model else 0).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(shares, "at").alias("explained"),
+        F.lit(model.identity_error if model else None).cast("double").alias("identity_error"),
+    )
