@@ -14,6 +14,8 @@ import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
+from itertools import chain
 from struct import pack
 
 import numpy as np
@@ -29,7 +31,7 @@ from minekit.llm.bpe import HAS_NEW, NEW_LETTERS, NEW_NUMBERS, RUNS
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BITS = 24  # of a token id in a pair
 NEVER = 1 << 60
-CACHED = 400_000  # runs, pieces or pairs a task remembers
+CACHED = 600_000  # runs, pieces or pairs a worker remembers
 RUN = 64  # characters of a run or piece that may be remembered
 
 
@@ -141,6 +143,11 @@ class Vocabulary:
             self.ends[s] = ((states[s], self.length[s]), *after) if self.own[s] else after
         return self
 
+    @cached_property
+    def encoder(self) -> Encoder:
+        """One encoder for all tasks that a worker runs with this vocabulary."""
+        return Encoder(self)
+
 
 def read_vocabulary(path: str) -> Vocabulary:
     """The vocabulary of a tokenizer file; raises ValueError for anything that this module does not do as the file asks."""
@@ -186,69 +193,76 @@ class Encoder:
         longest_first = sorted(vocabulary.added, key=len, reverse=True)
         self.added = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
         self.packed = {t: pack("<I", i) for t, i in vocabulary.added.items()}
+        self.sizes = list(map(len, vocabulary.tokens))
         self.runs: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
 
-    def piece(self, data: bytes) -> list[int]:
-        """The ids of one piece of text."""
-        go, link, length, own, ends, pairs, fits = *self.parts, self.pairs, self.v.fits
-        last = [0] * (len(data) + 1)
-        state = matched = i = 0
-        for c in data:
-            i += 1
-            to = go.get(state << 8 | c)
-            while to is None:
-                state = link[state]
-                matched = length[state]
+    def learn_pieces(self, pieces: list[str]) -> None:
+        """Encode new pieces in order, so that one starts from the prefix it shares with the one before."""
+        go, link, length, own, ends, pairs, fits, sizes = *self.parts, self.pairs, self.v.fits, self.sizes
+        before, last, states, depths = b"", [0], [0], [0]  # per prefix: its last token, the automaton's state and match
+        for data, piece in sorted([(p.encode(), p) for p in pieces]):
+            i, n = 0, min(len(before), len(data))
+            while i < n and data[i] == before[i]:
+                i += 1
+            del last[i + 1 :], states[i + 1 :], depths[i + 1 :]
+            state, matched, before = states[i], depths[i], data
+            for c in data[i:]:
+                i += 1
                 to = go.get(state << 8 | c)
-            state = to
-            matched += 1
-            for t, n in ends[state if matched == length[state] or not own[state] else link[state]]:
-                if n == i:
-                    break
-                before = last[i - n]
-                pair = before << BITS | t
-                fit = pairs.get(pair)
-                if fit is None:
-                    fit = pairs[pair] = fits(before, t)
-                if fit:
-                    break
-            last[i] = t
-        ids, i, tokens = [], len(data), self.v.tokens
-        while i:
-            ids.append(last[i])
-            i -= len(tokens[last[i]])
-        return ids[::-1]
-
-    def run(self, run: str) -> bytes:
-        """The packed ids of a text between white space."""
-        out, known = [], self.pieces
-        for p in (self.careful if HAS_NEW.search(run) else self.plain).findall(run):
-            ids = known.get(p)
-            if ids is None:
-                found = self.piece(p.encode())
-                ids = pack(f"<{len(found)}I", *found)
-                if len(p) <= RUN:
-                    known[p] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers; the text of an added token is that token."""
-        if self.added and self.added.search(text):
-            return b"".join([self.packed[s] if s in self.packed else self.encode(s) for s in self.added.split(text) if s])
+                while to is None:
+                    state = link[state]
+                    matched = length[state]
+                    to = go.get(state << 8 | c)
+                state = to
+                matched += 1
+                for t, size in ends[state if matched == length[state] or not own[state] else link[state]]:
+                    if size == i:
+                        break
+                    pair = last[i - size] << BITS | t
+                    fit = pairs.get(pair)
+                    if fit is None:
+                        fit = pairs[pair] = fits(last[i - size], t)
+                    if fit:
+                        break
+                last.append(t)
+                states.append(state)
+                depths.append(matched)
+            ids = []
+            while i:
+                t = last[i]
+                ids.append(t)
+                i -= sizes[t]
+            ids.reverse()
+            self.pieces[piece] = pack(f"<{len(ids)}I", *ids)
+
+    def learn(self, runs: set[str]) -> None:
+        """Encode new texts between white space, the new pieces of all of them together."""
+        split = {run: (self.plain if run.isascii() or not HAS_NEW.search(run) else self.careful).findall(run) for run in runs}
+        known = self.pieces
+        self.learn_pieces(list(set(chain.from_iterable(split.values())).difference(known)))
+        for run, pieces in split.items():
+            self.runs[run] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
+        for run in [r for r in split if len(r) > RUN]:  # long ones are not kept for later texts
+            for p in split[run]:
+                if len(p) > RUN:
+                    known.pop(p, None)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Per text the ids as little-endian unsigned 32-bit integers; the text of an added token is that token."""
+        parts = [self.added.split(t) if any(a in t for a in self.packed) else [t] for t in texts]
+        split = [[p if p in self.packed else RUNS.findall(p) for p in part] for part in parts]
         if max(len(self.runs), len(self.pieces), len(self.pairs)) > CACHED:
             self.runs, self.pieces, self.pairs = {}, {}, {}
-        known, out = self.runs, []
-        for run in RUNS.findall(text):
-            ids = known.get(run)
-            if ids is None:
-                ids = self.run(run)
-                if len(run) <= RUN:
-                    known[run] = ids
-            out.append(ids)
-        return b"".join(out)
+        fresh = set(chain.from_iterable(p for part in split for p in part if isinstance(p, list))).difference(self.runs)
+        if fresh:
+            self.learn(fresh)
+        known, packed = self.runs, self.packed
+        out = [b"".join([packed[p] if isinstance(p, str) else b"".join([known[r] for r in p]) for p in part]) for part in split]
+        for run in [r for r in fresh if len(r) > RUN]:  # long ones are not kept for later texts
+            del known[run]
+        return out
 
     def decode(self, ids: Sequence[int]) -> str:
         return b"".join(map(self.v.tokens.__getitem__, ids)).decode("utf-8", "replace")
@@ -274,10 +288,10 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text"
         fields.append(T.StructField(decoded, T.StringType()))
 
     def task():
-        codec = Encoder(shared.value)
+        codec = shared.value.encoder
 
         def work(rows):
-            packed = [codec.encode(t or "") for t in rows.column(text).to_pylist()]
+            packed = codec.encode([t or "" for t in rows.column(text).to_pylist()])
             ids = [np.frombuffer(p, "<u4") for p in packed]
             back = [codec.decode(x.tolist()) for x in ids]
             counts = np.array([len(x) for x in ids], np.int64)

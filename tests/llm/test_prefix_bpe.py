@@ -27,7 +27,7 @@ def library():
 
 
 def ids(encoder, text):
-    return np.frombuffer(encoder.encode(text), "<u4").tolist()
+    return np.frombuffer(encoder.encode([text])[0], "<u4").tolist()
 
 
 def test_query_like_the_library(spark, library):
