@@ -156,11 +156,44 @@ def typo_match(a: str | Column, b: str | Column, ratio: int = RATIO_STATE) -> Co
     )
 
 
-def _close_pairs(pairs: set[tuple[str, str]], ratio: int) -> set[tuple[str, str]]:
-    """The pairs that agree up to ``floor(longest / ratio)`` typos."""
-    limit = lambda p: max(map(len, p)) // ratio
-    open_pairs = {p for p in pairs if limit(p) > 0 and abs(len(p[0]) - len(p[1])) <= limit(p) and p[0] != p[1]}
-    return {p for p in pairs if p[0] == p[1]} | {p for p, d in _distance_map(open_pairs).items() if d <= limit(p)}
+def _swapped(a: Column, b: Column) -> Column:
+    """True when two neighbouring letters of ``a`` have changed places in ``b``."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1)))
+    turned = lambda i: F.concat(a.substr(F.lit(1), i - 1), a.substr(i + 1, F.lit(1)), a.substr(i, F.lit(1)), a.substr(i + 2, F.length(a)))
+    return (F.length(a) == F.length(b)) & F.exists(places, lambda i: turned(i) == b)
+
+
+def _typos_of(a: Column, b: Column) -> Column:
+    """Damerau-Levenshtein distance with unrestricted transpositions of two non-empty texts, row by row on the JVM."""
+
+    def cell(rows: Column, row: Column, i: Column, j: Column) -> Column:
+        mine, other = a.substr(i, F.lit(1)), b.substr(j, F.lit(1))
+        # how far back the other's letter stands in each text, 0 if nowhere
+        back_a, back_b = F.instr(F.reverse(a.substr(F.lit(1), i - 1)), other), F.instr(F.reverse(b.substr(F.lit(1), j - 1)), mine)
+        turned = F.get(F.get(rows, i - back_a - 1), j - back_b - 1) + back_a + back_b - 1
+        swap = F.when((back_a > 0) & (back_b > 0), turned)
+        change = F.get(F.get(rows, i - 1), j - 1) + F.when(mine == other, 0).otherwise(1)
+        return F.least(change, F.get(F.get(rows, i - 1), j) + 1, F.get(row, j - 1) + 1, swap)
+
+    across = lambda rows, i: F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(i), lambda row, j: F.concat(row, F.array(cell(rows, row, i, j))))
+    rows = F.aggregate(F.sequence(F.lit(1), F.length(a)), F.array(F.sequence(F.lit(0), F.length(b))), lambda rows, i: F.concat(rows, F.array(across(rows, i))))
+    return F.element_at(F.element_at(rows, -1), -1)
+
+
+def agreeing_pairs(u: Column, v: Column, ratio: int) -> Column:
+    """How many word pairs of two arrays agree up to ``floor(longest / ratio)`` typos; null if an array is null.
+
+    All on the JVM: the built-in ``levenshtein`` and, for one typo, a look for a swap settle nearly all pairs; only where the limit
+    is two or more and the plain distance lies between the limit and its double are transpositions counted in full.
+    """
+
+    def close(x: Column, y: Column) -> Column:
+        limit, plain = typo_limit(x, y, ratio), F.levenshtein(x, y)
+        near = (F.abs(F.length(x) - F.length(y)) <= limit) & (limit > 0)
+        swaps = F.when(limit == 1, _swapped(x, y)).otherwise(_typos_of(x, y) <= limit)
+        return F.when(x == y, True).when(~near | (plain > 2 * limit), False).when(plain <= limit, True).otherwise(swaps)
+
+    return F.aggregate(u, F.when(v.isNotNull(), 0), lambda n, x: n + F.size(F.filter(v, lambda y: close(x, y))))
 
 
 def address_match(
@@ -175,33 +208,21 @@ def address_match(
     for word in stop:
         left = F.replace(left, F.lit(word), F.lit(" "))
 
-    @F.pandas_udf(IntegerType())
-    def agreeing(x: pd.Series, y: pd.Series) -> pd.Series:
-        rows = [None if u is None or v is None else [(p, q) for p in u for q in v] for u, v in zip(x, y)]
-        close = _close_pairs({p for row in rows if row for p in row}, ratio)
-        return pd.Series([None if row is None else sum(p in close for p in row) for row in rows], dtype="Int32")
-
-    count = agreeing(F.split(left, " "), F.split(F.translate(col(b), " ", ","), ","))
+    count = agreeing_pairs(F.split(left, " "), F.split(F.translate(col(b), " ", ","), ","), ratio)
     return F.when(count.isNull(), 0).when(count >= pairs, 1).otherwise(-1)
 
 
 def part_score(word: str | Column, text: str | Column, ratio: int = RATIO_GENERAL) -> Column:
     """Best score of ``word`` against the comma separated parts of ``text``: contained or within typos.
 
-    A part contains the word as is, or equals it after place normalisation up to typos. Words found inside
-    a part never reach the Python comparison.
+    A part contains the word as is, or equals it after place normalisation up to typos.
     """
     word, parts = col(word), F.split(col(text), ",")
     contained = F.exists(parts, lambda p: F.contains(p, word))
 
-    @F.pandas_udf(IntegerType())
-    def similar(w: pd.Series, clean: pd.Series) -> pd.Series:
-        rows = [[] if x is None or parts is None else [(x, c) for c in parts] for x, parts in zip(w, clean)]
-        close = _close_pairs({p for row in rows for p in row}, ratio)
-        return pd.Series([1 if any(p in close for p in row) else -1 for row in rows], dtype="Int32")
-
     open_word = F.when(~F.coalesce(contained, F.lit(False)), word)
-    score = similar(open_word, F.transform(parts, norm_place_scalar))
+    agreeing = agreeing_pairs(F.array(F.coalesce(open_word, F.lit(""))), F.transform(parts, norm_place_scalar), ratio)
+    score = F.when(open_word.isNotNull() & (agreeing > 0), 1).otherwise(-1)
     return F.when(word.isNull(), 0).when(contained, 1).otherwise(score)
 
 

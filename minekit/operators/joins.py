@@ -7,13 +7,17 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from minekit.functions.geo import EARTH_KM, haversine_km, unit_vector
 from minekit.functions.text import typo_match
-from minekit.scale import enrich, settle, tile_join
+from minekit.scale import attach, blocks_for, enrich, settle
+
+PIVOTS = 1024  # vectors on the driver that split the references
+_FINEST = 24  # halvings of the globe's height for the smallest radii
 
 
 def lookup_join(df: DataFrame, dim: DataFrame, on: Sequence[str], validate: str | None = "m:1") -> DataFrame:
@@ -92,27 +96,33 @@ def semi_match(a: DataFrame, b: DataFrame, cols: Sequence[str]) -> DataFrame:
     return a.join(other, same, "left_semi")
 
 
-def _pieces(text: Column, own: Column, limit: Column, drift: bool) -> Column:
-    """Numbered pieces of a name cut into 2 * limit + 1 parts by the length ``own`` of the asked name.
+def _typos(longest: Column, ratio: int) -> Column:
+    return F.floor(longest / ratio).cast("int")
 
-    One typo touches at most two neighbouring pieces, so two names within the limit share a piece, moved by
-    at most ``limit`` places. ``drift`` lists the moved positions (for the dimension side).
-    """
-    count = 2 * limit + 1
 
-    def cut(i: Column, move: Column) -> Column:
-        start, end = F.floor(i * own / count), F.floor((i + 1) * own / count)
-        begin = start + move
-        inside = (begin >= 0) & (begin + end - start <= F.length(text))
-        piece = text.substr((begin + 1).cast("int"), (end - start).cast("int"))
-        return F.when(inside, F.struct(i.alias("part"), piece.alias("piece")))
+def _grams(names: DataFrame, clean: str, ratio: int) -> DataFrame:
+    """``names`` once for every length ``__long`` that the longer name of a matching pair can have, with its pieces ``__grams`` (gram, pos).
 
-    parts = F.sequence(F.lit(0), (count - 1).cast("int"))
-    if not drift:
-        return F.transform(parts, lambda i: cut(i, F.lit(0)))
-    moves = F.sequence((-limit).cast("int"), limit.cast("int"))
-    listed = F.flatten(F.transform(parts, lambda i: F.transform(moves, lambda d: cut(i, d))))
-    return F.array_distinct(F.filter(listed, lambda x: x.isNotNull()))
+    A typo (a swap of neighbours at worst) changes q + 1 of the pieces of q letters, so of any (q + 1) * typos + 1 pieces of a name
+    (``__least``) one stands, moved by at most the number of typos, in every name within the limit. q is as large as leaves about
+    half of the pieces unasked; it depends on the longer name alone, so both names are cut alike. A pair that allows no typo is equal.
+    """
+    own = F.length(clean)
+    reach = F.floor(own / (ratio - 1)).cast("int")
+    sized = names.withColumn("__long", F.explode(F.sequence(own, own + reach)))
+    typos = _typos(F.col("__long"), ratio)
+    sized = sized.withColumn("__typos", typos).where(F.col("__long") - own <= F.col("__typos"))
+    if ratio < 4:  # short names have too few pieces: they all meet
+        one = F.array(F.struct(F.lit("").alias("gram"), F.lit(0).alias("pos")))
+        return sized.withColumn("__grams", one).withColumn("__least", F.lit(1))
+    t = F.col("__typos")
+    room = F.floor((0.55 * (F.col("__long") - t + 3) - t - 1) / (t + 0.55))
+    sized = sized.withColumn("__q", F.greatest(F.lit(2), F.least(F.lit(6), room)).cast("int"))
+    framed = F.concat(F.lit("\x02"), F.col(clean), F.lit("\x03"))
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), own + 3 - F.col("__q")))
+    pieces = F.transform(places, lambda i: F.struct(framed.substr(i, F.col("__q")).alias("gram"), i.alias("pos")))
+    whole = F.array(F.struct(F.concat(F.lit("\x04"), F.col(clean)).alias("gram"), F.lit(0).alias("pos")))
+    return sized.withColumn("__grams", F.when(t == 0, whole).otherwise(pieces)).withColumn("__least", (F.col("__q") + 1) * t + 1)
 
 
 def fuzzy_lookup(
@@ -129,9 +139,10 @@ def fuzzy_lookup(
 ) -> DataFrame:
     """Dimension name for each row: exact match first, else the first name (alphabetically) within typos.
 
-    Adds ``out`` and ``<out>_exact``. Only distinct (block, name) pairs are compared, exact hits leave before
-    the typo search, and candidates must share a piece of the name, so a block never meets itself in full.
-    ``asked_as`` gives the bare spellings (array) of an asked name, ``dim_as`` the bare dimension name.
+    Adds ``out`` and ``<out>_exact``. Only distinct (block, name) pairs are compared and exact hits leave before the typo
+    search. Candidates meet at the rarest pieces of their names (see ``_grams``), so what most names share brings no two of
+    them together; their lengths and the places of the piece must fit. ``asked_as`` gives the bare spellings (array) of an asked name,
+    ``dim_as`` the bare dimension name. With a ``ratio`` below 4 all names of a block meet.
     """
     if ratio < 2:
         raise ValueError("ratio must be at least 2")
@@ -143,22 +154,25 @@ def fuzzy_lookup(
     exact = exact.select(*block, "__name", F.col("__dim").alias(out), F.lit(True).alias(f"{out}_exact"))
     rest = asked.join(exact.select(*block, "__name"), [*block, "__name"], "left_anti")
 
-    def keyed(df: DataFrame, clean: str, own_is_asked: bool) -> DataFrame:
-        own = F.length(clean)
-        reach = F.floor(own / (ratio - 1)).cast("int")
-        other = F.explode(F.sequence(F.greatest(F.lit(0), own - reach), own + reach))
-        sized = df.withColumn("__own", own).withColumn("__other", other)
-        limit = F.floor(F.greatest("__own", "__other") / ratio).cast("int")
-        asked_len = F.col("__own") if own_is_asked else F.col("__other")
-        sized = sized.withColumn("__key", F.explode(_pieces(F.col(clean), asked_len, limit, not own_is_asked)))
-        sizes = ("__own", "__other") if own_is_asked else ("__other", "__own")
-        return sized.select(
-            *df.columns, F.col(sizes[0]).alias("__la"), F.col(sizes[1]).alias("__lb"), "__key.part", "__key.piece"
-        )
-
-    left = keyed(rest.withColumn("__clean", F.explode(asked_as(F.col("__name")))), "__clean", True)
-    right = keyed(names.withColumn("__dim_clean", dim_as(F.col("__dim"))), "__dim_clean", False)
-    near = left.join(right, [*block, "__la", "__lb", "part", "piece"])
+    bare = settle(_grams(names.withColumn("__dim_clean", dim_as(F.col("__dim"))).where("__dim_clean is not null"), "__dim_clean", ratio))
+    # a piece's rank is the same on both sides; pieces that no dimension name has come first and find nothing
+    often = settle(bare.select(F.explode(F.array_distinct(F.transform("__grams", lambda g: g["gram"]))).alias("__gram")).groupBy("__gram").agg(F.count("*").alias("__n")))
+
+    def keyed(df: DataFrame, side: str) -> DataFrame:
+        own = [c for c in df.columns if c not in ("__grams", "__q", "__typos")]
+        known = attach(df.select(*own, "__typos", F.inline("__grams")).withColumnRenamed("gram", "__gram"), often.withColumn("__often", F.col("__n")), ["__gram"], "__n", written=True)
+        order = F.struct(F.coalesce("__often", F.lit(0)).alias("often"), F.col("__gram").alias("gram"))
+        listed = F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("pos"))))
+        sets = known.groupBy(*own, "__typos").agg(listed.alias("__l"))
+        last = F.get("__l", F.least("__least", F.size("__l")) - 1)["o"]  # all places of the last piece are asked
+        kept = sets.withColumn("__last", last).withColumn("__g", F.explode(F.filter("__l", lambda g: g["o"] <= F.col("__last"))))
+        kept = kept.select(*[c for c in own if c != "__least"], *(["__typos"] if side == "a" else []), F.col("__g.o.gram").alias("__gram"), F.col("__g.pos").alias(f"__pos_{side}"))
+        return kept
+
+    spelled = rest.withColumn("__clean", F.explode(asked_as(F.col("__name")))).where("__clean is not null").distinct()
+    both = keyed(_grams(spelled, "__clean", ratio), "a").join(keyed(bare, "b"), [*block, "__long", "__gram"])
+    fits = (F.greatest(F.length("__clean"), F.length("__dim_clean")) == F.col("__long")) & (F.abs(F.col("__pos_a") - F.col("__pos_b")) <= F.col("__typos"))
+    near = both.where(fits)
     # written once: the matches below feed several branches, the comparison runs in Python
     near = settle(near.select(*block, "__name", "__clean", "__dim", "__dim_clean").distinct())
     typo = (
@@ -184,16 +198,53 @@ def radius_join(
     """First region (by name) of the same block whose centroid lies within that region's radius.
 
     ``regions``: block columns, ``name``, ``centroid_lat``, ``centroid_lon``, ``radius_km``. Identical
-    points are matched once. The number of regions of a block is small against the points of a block.
+    points are matched once. A circle is covered by a few cells of a grid whose cells are about as high as its radius, and meets only
+    the points of these cells; points are put on the grids of the radii that occur (one per power of two). Rows without a place, or
+    with one that is not on the globe, match nothing.
     """
-    spots = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(*block, lat, lon).distinct()
+    block = list(block)
+    globe = F.col(lat).between(-90, 90) & F.col(lon).between(-1e6, 1e6)
+    spots = points.where(globe).select(*block, lat, lon).distinct()
+    round_them = regions.where(F.col("centroid_lat").between(-90, 90) & (F.col("radius_km") >= 0))
+    round_them = round_them.select(*block, name, "centroid_lat", "centroid_lon", "radius_km")
+
+    # the cover reaches a little further than the circle, so that rounding loses nothing
+    reach = F.least(F.lit(180.0), F.degrees(F.col("radius_km") / EARTH_KM) * (1 + 1e-9) + 1e-9)
+    level = F.least(F.lit(_FINEST), F.floor(F.log2(180.0 / reach))).cast("int")
+    height = lambda lv: 180.0 / F.pow(F.lit(2.0), lv)
+    covers = settle(round_them.withColumn("__reach", reach).withColumn("__level", level))
+    levels = [r["__level"] for r in covers.select("__level").distinct().collect()]  # at most _FINEST + 1
+    if not levels:
+        levels = [0]
+
+    def cells(lv: Column, row: Column) -> Column:
+        """Number of cells around the globe in a row of cells: none is narrower than high at its polar edge."""
+        edge = F.greatest(F.abs(row * height(lv) - 90), F.abs((row + 1) * height(lv) - 90))
+        return F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(edge)) / height(lv))).cast("long")
+
+    east = lambda c: F.pmod(F.col(c) + 180.0, F.lit(360.0))
+    row_of = lambda y, lv: F.floor((y + 90) / height(lv))
+    last_row = lambda lv: F.pow(F.lit(2.0), lv).cast("long") - 1
+    placed = spots.withColumn("__level", F.explode(F.array(*map(F.lit, levels))))
+    placed = placed.withColumn("__row", F.least(row_of(F.col(lat), F.col("__level")), last_row(F.col("__level"))))
+    around = cells(F.col("__level"), F.col("__row"))
+    placed = placed.withColumn("__cell", F.pmod(F.floor(east(lon) / 360.0 * around), around))
+
+    lv, r = F.col("__level"), F.col("__reach")
+    first = F.greatest(F.lit(0), row_of(F.col("centroid_lat") - r, lv))
+    final = F.least(last_row(lv), row_of(F.col("centroid_lat") + r, lv))
+    covers = covers.withColumn("__row", F.explode(F.sequence(F.least(first, last_row(lv)), final)))
+    # the meridians that touch the circle; all of them if it holds a pole
+    pole = F.abs("centroid_lat") + r >= 90
+    wide = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.least(r, F.lit(90.0)))) / F.cos(F.radians("centroid_lat")))))
+    covers = covers.withColumn("__wide", F.when(pole, 180.0).otherwise(wide * (1 + 1e-9) + 1e-9)).withColumn("__n", cells(lv, F.col("__row")))
+    edge = lambda sign: F.floor((east("centroid_lon") + sign * F.col("__wide")) / 360.0 * F.col("__n"))
+    whole = F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)
+    some = F.when(edge(1) - edge(-1) + 1 >= F.col("__n"), whole).otherwise(F.transform(F.sequence(edge(-1), edge(1)), lambda j: F.pmod(j, F.col("__n"))))
+    covers = covers.withColumn("__cell", F.explode(some)).drop("__reach", "__wide", "__n")
+
     near = haversine_km(lat, lon, "centroid_lat", "centroid_lon") <= F.col("radius_km")
-    hits = (
-        spots.join(regions.select(*block, name, "centroid_lat", "centroid_lon", "radius_km"), list(block))
-        .where(near)
-        .groupBy(*block, lat, lon)
-        .agg(F.min(name).alias(out))
-    )
+    hits = placed.join(covers, [*block, "__level", "__row", "__cell"]).where(near).groupBy(*block, lat, lon).agg(F.min(name).alias(out))
     return enrich(points, hits, [*block, lat, lon])
 
 
@@ -358,6 +409,14 @@ def knn_geo(
     return chord.withColumn("dist", 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.col("dist") / 2)))
 
 
+def _to_pivots(rows: np.ndarray, pivots: np.ndarray, p: int) -> np.ndarray:
+    """Distances of rows to pivots."""
+    if p == 1:
+        return np.stack([np.abs(row - pivots).sum(1) for row in rows])
+    squares = (rows**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * rows @ pivots.T
+    return np.sqrt(np.maximum(squares, 0.0))
+
+
 def knn_vectors(
     queries: DataFrame,
     refs: DataFrame,
@@ -369,11 +428,15 @@ def knn_vectors(
     p: int = 2,
     strict: bool = False,
     per_block: int = 4096,
+    report: dict | None = None,
 ) -> DataFrame:
     """Exact k nearest neighbours of high-dimensional vectors: ``query_id, nn_ref_id, dist, rank``.
 
-    Blocks of queries meet blocks of references in tiles; a tile keeps the k best per query, and the
-    tiles are merged by a ranked top k. Ties go to the smaller id.
+    References go to the nearest of up to ``PIVOTS`` pivots, about ``per_block`` to a pivot. A query first meets the references
+    of its own pivot; its k-th distance there bounds the true one, and by the triangle inequality only pivots whose
+    references can be that near are met next. Crowded pivots are cut by the hash of the id on both sides, so a tile stays at about
+    ``per_block`` rows. A tile keeps the k best per query, and the tiles are merged by a ranked top k. Ties go to the smaller id.
+    ``report`` gets the ``share`` of all pairs that were compared.
     """
 
     def kernel(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
@@ -385,11 +448,7 @@ def knn_vectors(
         parts = []
         for start in range(0, len(a), 256):
             chunk = a[start : start + 256]
-            if p == 2:
-                d2 = (chunk**2).sum(1)[:, None] + (b**2).sum(1) - 2 * chunk @ b.T
-                d = np.sqrt(np.maximum(d2, 0))
-            else:
-                d = np.stack([np.abs(row - b).sum(1) for row in chunk])
+            d = _to_pivots(chunk, b, p)
             if strict:
                 d[q["__id"].to_numpy()[start : start + 256][:, None] == ids] = np.inf
             want = min(k, d.shape[1])
@@ -411,12 +470,85 @@ def knn_vectors(
             }
         )
 
-    left = queries.select(F.col(query_id).cast("long").alias("__id"), F.col(vector).alias("__v"))
-    right = refs.select(F.col(ref_id).cast("long").alias("__id"), F.col(vector).alias("__v"))
-    close = tile_join(left, right, "__id", "__id", kernel, "q long, r long, dist double", per_block=per_block)
+    left = settle(queries.select(F.col(query_id).cast("long").alias("__id"), F.col(vector).cast("array<double>").alias("__v")))
+    right = settle(refs.select(F.col(ref_id).cast("long").alias("__id"), F.col(vector).cast("array<double>").alias("__v")))
+    n_left, n_right = left.count(), right.count()
+    wanted = min(PIVOTS, blocks_for(n_right, per_block))
+    # a fixed number of short vectors, taken by hash
+    chosen = right.orderBy(F.xxhash64("__id"), "__id").limit(wanted).select("__v").collect()
+    pivots = np.array([r["__v"] for r in chosen], float)
+
+    def place(batches):
+        for batch in batches:
+            rows = np.stack(batch.column("__v").to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, pivots.shape[1]))
+            home, far = np.zeros(len(rows), np.int32), np.zeros(len(rows))
+            for i in range(0, len(rows), 1024):
+                d = _to_pivots(rows[i : i + 1024], pivots, p)
+                home[i : i + 1024] = d.argmin(1)
+                far[i : i + 1024] = d.min(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(far)], names=["__id", "__v", "part", "far"])
+
+    schema = "__id long, __v array<double>, part int, far double"
+    if len(pivots) > 1:
+        left, right = settle(left.mapInArrow(place, schema)), settle(right.mapInArrow(place, schema))
+    else:
+        left, right = (t.select("*", F.lit(0).alias("part"), F.lit(0.0).alias("far")) for t in (left, right))
+    held = {r["part"]: r for r in right.groupBy("part").agg(F.count("*").alias("n"), F.min("far").alias("lo"), F.max("far").alias("hi")).collect()}
+    subs = {part: blocks_for(r["n"], per_block) for part, r in held.items()}
+    compared = [0]
+
+    def tiles(asked: DataFrame) -> DataFrame:
+        """The k best per query inside each tile of (part, cut of the references, cut of the queries)."""
+        sizes = {r["part"]: r["count"] for r in asked.groupBy("part").count().collect() if r["part"] in held}
+        compared[0] += sum(held[part]["n"] * n for part, n in sizes.items())
+        cuts = [(part, subs[part], blocks_for(n, per_block)) for part, n in sizes.items()]
+        known = F.broadcast(left.sparkSession.createDataFrame(cuts, "part int, __subs int, __cuts int"))  # at most PIVOTS rows
+        cut = lambda c: F.pmod(F.xxhash64("__id"), F.col(c)).cast("int")
+        each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        q = asked.join(known, "part").withColumn("qcut", cut("__cuts")).withColumn("rcut", each("__subs"))
+        r = right.join(known, "part").withColumn("rcut", cut("__subs")).withColumn("qcut", each("__cuts"))
+        keys = ["part", "rcut", "qcut"]
+        both = q.select(*keys, "__id", "__v").groupBy(*keys).cogroup(r.select(*keys, "__id", "__v").groupBy(*keys))
+        return both.applyInPandas(lambda a, b: kernel(a, b), "q long, r long, dist double")
+
     best = Window.partitionBy("q").orderBy("dist", "r")
-    ranked = close.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select(F.col("q").alias(query_id), F.col("r").alias(f"nn_{ref_id}"), "dist", "rank")
+
+    def top(close: DataFrame) -> DataFrame:
+        return close.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    found = top(tiles(left))
+    if len(pivots) > 1:
+        found = settle(found)
+        bound = found.groupBy("q").agg(F.count("*").alias("n"), F.max("dist").alias("d")).where(F.col("n") >= k)
+        bounded = left.join(bound.select(F.col("q").alias("__id"), F.col("d").alias("__bound")), "__id", "left")
+        low, high = (np.array([held[i][c] if i in held else np.inf * sign for i in range(len(pivots))]) for c, sign in (("lo", 1), ("hi", -1)))
+        apart = _to_pivots(pivots, pivots, p)
+
+        def reach(batches):
+            """The further parts that a query has to meet."""
+            for batch in batches:
+                rows = np.stack(batch.column("__v").to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, pivots.shape[1]))
+                home = batch.column("part").to_numpy()
+                limit = np.nan_to_num(batch.column("__bound").to_numpy(zero_copy_only=False).astype(float), nan=np.inf)
+                for i in range(0, len(rows), 1024):
+                    d, h = _to_pivots(rows[i : i + 1024], pivots, p), home[i : i + 1024]
+                    least = np.maximum(d - high, low - d)
+                    if p == 2:  # references are nearer to their pivot than to the query's
+                        own = d[np.arange(len(h)), h][:, None]
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            least = np.fmax(least, np.where(apart[h] > 0, (d**2 - own**2) / (2 * apart[h]), 0.0))
+                    slack = 1e-6 * (1 + d + np.abs(rows[i : i + 1024]).sum(1)[:, None])
+                    need = least <= limit[i : i + 1024][:, None] + slack
+                    need[np.arange(len(h)), h] = False
+                    at, part = np.nonzero(need & np.isfinite(low))
+                    taken = batch.slice(i, len(h)).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([taken.column("__id"), taken.column("__v"), pa.array(part.astype(np.int32))], names=["__id", "__v", "part"])
+
+        further = settle(bounded.select("__id", "__v", "part", "__bound").mapInArrow(reach, "__id long, __v array<double>, part int"))
+        found = top(found.drop("rank").unionByName(tiles(further)))
+    if report is not None:
+        report["share"] = compared[0] / max(1, n_left * n_right)
+    return found.select(F.col("q").alias(query_id), F.col("r").alias(f"nn_{ref_id}"), "dist", "rank")
 
 
 def column_pairs(cols: Sequence[str]) -> list[tuple[str, str]]:

@@ -10,13 +10,20 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from minekit.operators.indicators import moving_stats
 from minekit.scale import attach, running_total, settle
 
-BLOCK = 512
+BLOCK = 512  # windows of a piece, at least
+MAX_BLOCK = 32_768  # and at most
+SIDE = 32  # blocks that the longest series is cut into while they are below MAX_BLOCK
+PAIRS = 1 << 20  # window pairs that a task holds at once
+TASK_PAIRS, TASK_VALUES, MAX_PARTS = 1 << 25, 1 << 22, 20_000  # work of a task
+FRESH = 256  # rows after which rolled covariances are computed afresh
+TIE, LOOSE = 1e-9, 1e-6  # difference of correlations that rolling may have caused, at least and at most
 
 
 def clean_value(c: str = "value") -> Column:
@@ -41,7 +48,11 @@ def blocks(series: DataFrame, keys: Sequence[str], m: int, size: int) -> DataFra
 
 def _unit_windows(x: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     """z-normalised windows scaled to unit length, and which windows are constant (those become 0)."""
-    w = np.lib.stride_tricks.sliding_window_view(x, m)
+    return _unit(np.lib.stride_tricks.sliding_window_view(x, m))
+
+
+def _unit(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    m = w.shape[1]
     centred = w - w.mean(1, keepdims=True)
     length = np.sqrt((centred**2).sum(1))
     flat = length <= 1e-10 * np.maximum(1.0, np.abs(w).max(1)) * np.sqrt(m)
@@ -63,6 +74,231 @@ def excluded(query: np.ndarray, pos: np.ndarray, m: int) -> np.ndarray:
     return (gap >= -np.rint(m / 2)) & (gap < np.rint(m / 2 + 1))
 
 
+def _moments(x: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, inverse centred length (0 for a constant window) and constancy of every window."""
+    w = np.lib.stride_tricks.sliding_window_view(x, m)
+    mean, inverse, flat = np.empty(len(w)), np.empty(len(w)), np.empty(len(w), bool)
+    step = max(1, PAIRS // m)
+    for i in range(0, len(w), step):
+        part = w[i : i + step]
+        mean[i : i + step] = part.mean(1)
+        length = np.sqrt(((part - part.mean(1, keepdims=True)) ** 2).sum(1))
+        level = length <= 1e-10 * np.maximum(1.0, np.abs(part).max(1)) * np.sqrt(m)
+        flat[i : i + step], inverse[i : i + step] = level, np.where(level, 0.0, 1 / np.where(level, 1.0, length))
+    return mean, inverse, flat
+
+
+def _exact(a: np.ndarray, b: np.ndarray, m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """z-normalised distances of window ``i`` of one piece and ``j`` of the other, from the windows themselves."""
+    wa, wb = np.lib.stride_tricks.sliding_window_view(a, m), np.lib.stride_tricks.sliding_window_view(b, m)
+    out, step = np.empty(len(i)), max(1, PAIRS // m)
+    for k in range(0, len(i), step):
+        ua, fa = _unit(wa[i[k : k + step]])
+        ub, fb = _unit(wb[j[k : k + step]])
+        d = np.sqrt(np.maximum(2 * m * (1 - np.einsum("ij,ij->i", ua, ub)), 0.0))
+        out[k : k + step] = np.where(fa & fb, 0.0, d)
+    return out
+
+
+class _Nearest:
+    """The nearest partner of each window of one side, from candidates whose exact distance is still to be taken."""
+
+    def __init__(self, n: int, tie: float, measure):
+        self.mp, self.at, self.tie, self.measure = np.full(n, np.inf), np.full(n, -1, np.int64), tie, measure
+        self.top = np.full(n, -np.inf)  # best approximate correlation
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, own: np.ndarray, partner: np.ndarray, corr: np.ndarray) -> None:
+        self.waiting.append((own, partner, corr))
+        self.held += len(own)
+        if self.held > 8 * len(self.mp) + 1024:
+            self.settle()
+
+    def settle(self) -> None:
+        """Keep the smallest exact distance of each window, of equal ones the first partner."""
+        if not self.waiting:
+            return
+        own, partner, corr = (np.concatenate(x) for x in zip(*self.waiting))
+        self.waiting, self.held = [], 0
+        near = corr >= self.top[own] - self.tie
+        own, partner = own[near], partner[near]
+        d = self.measure(own, partner)
+        order = np.lexsort((partner, d, own))
+        own, partner, d = own[order], partner[order], d[order]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        own, partner, d = own[first], partner[first], d[first]
+        better = (d < self.mp[own]) | ((d == self.mp[own]) & (partner < self.at[own]))
+        self.mp[own[better]], self.at[own[better]] = d[better], partner[better]
+
+    def level(self, own: np.ndarray, flat: np.ndarray, low, high, m: int) -> None:
+        """Constant windows: the first constant partner (distance 0) or else the first at all, outside ``[low, high)``."""
+        flats = np.flatnonzero(flat)
+        for i in own:
+            a, b = max(0, low(i)), max(0, high(i))
+            left = flats[(flats < a) | (flats >= b)]
+            j = left[0] if len(left) else 0 if a > 0 or b <= a else b
+            if j < len(flat):
+                self.mp[i], self.at[i] = (0.0 if len(left) else np.sqrt(2 * m)), j
+
+
+def rolled_nearest(a: np.ndarray, b: np.ndarray, m: int, zone, both: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distance to and number of the nearest window of ``b`` for each window of ``a``; with ``both`` also the other way.
+
+    Covariances roll along the diagonals, so a pair of windows costs the same for any ``m``; they are computed afresh every
+    few rows. Candidates within the rounding of the rolled values are measured exactly. ``zone(i)`` gives the ranges of
+    ``b`` that are trivial matches for window ``i`` as the asking and as the answering side.
+    """
+    xa, xb = a - np.median(a), b - np.median(b)
+    (mean_a, inv_a, flat_a), (mean_b, inv_b, flat_b) = _moments(xa, m), _moments(xb, m)
+    _, _, flat_a = _moments(a, m)  # constancy is judged on the values as they are
+    _, _, flat_b = _moments(b, m)
+    inv_a, inv_b = np.where(flat_a, 0.0, inv_a), np.where(flat_b, 0.0, inv_b)
+    na, nb = len(mean_a), len(mean_b)
+    # a rolled value is off by some rounding units of the largest one; where that is too much rows are computed afresh more often
+    spread = [inv.max() / inv[inv > 0].min() if (inv > 0).any() else 1.0 for inv in (inv_a, inv_b)]
+    off = FRESH * float(np.finfo(float).eps) * spread[0] * spread[1]
+    tie, fresh = min(max(off, TIE), LOOSE), max(1, int(FRESH * min(1.0, LOOSE / off)))
+
+    def steps(x, mean):
+        tail, head = x[m:], x[: len(x) - m]
+        return np.concatenate([[0.0], (tail - head) / 2]), np.concatenate([[0.0], (tail - mean[1:]) + (head - mean[:-1])])
+
+    (df_a, dg_a), (df_b, dg_b) = steps(xa, mean_a), steps(xb, mean_b)
+    windows = np.lib.stride_tricks.sliding_window_view(xb, m)
+    first = np.lib.stride_tricks.sliding_window_view(xa, m) @ (xb[:m] - mean_b[0])
+    rows = _Nearest(na, tie, lambda i, j: _exact(a, b, m, i, j))
+    cols = _Nearest(nb, tie, lambda j, i: _exact(a, b, m, i, j))
+    lines = np.empty(na + nb - 1)  # the covariance of (i, j) stands at j - i + na - 1
+    corr, spare, floor = np.empty(nb), np.empty(nb), np.full(nb, -np.inf)
+    for i in range(na):
+        line = lines[na - 1 - i : na - 1 - i + nb]
+        if i % fresh == 0:
+            line[:] = windows @ (xa[i : i + m] - mean_a[i])
+        else:
+            np.multiply(dg_b[1:], df_a[i], out=spare[1:])
+            line[1:] += spare[1:]
+            np.multiply(df_b[1:], dg_a[i], out=spare[1:])
+            line[1:] += spare[1:]
+            line[0] = first[i]
+        if flat_a[i]:
+            continue
+        np.multiply(line, inv_b, out=corr)
+        np.multiply(corr, inv_a[i], out=corr)
+        (low, high), (low2, high2) = zone(i)
+        shut = corr[max(0, low) : max(0, high)]
+        kept = shut.copy()
+        shut[:] = -np.inf
+        top = corr.max()
+        if top > -np.inf:
+            rows.top[i] = top
+            j = np.flatnonzero(corr >= top - tie)
+            rows.add(np.full(len(j), i), j, corr[j])
+        if both:
+            shut[:] = kept
+            corr[max(0, low2) : max(0, high2)] = -np.inf
+            j = np.flatnonzero(corr >= floor)
+            j = j[corr[j] > -np.inf]
+            cols.top[j] = np.maximum(cols.top[j], corr[j])
+            floor[j] = cols.top[j] - tie
+            cols.add(j, np.full(len(j), i), corr[j])
+    rows.settle()
+    rows.level(np.flatnonzero(flat_a), flat_b, lambda i: zone(i)[0][0], lambda i: zone(i)[0][1], m)
+    if not both:
+        return [(rows.mp, rows.at)]
+    cols.settle()
+    shift = zone(0)[1]  # the ranges move with i, so the rows shut for j are j - high < i <= j - low
+    if flat_a.any():  # constant rows were passed over; to a window that is not constant they are all equally far
+        for j in np.flatnonzero(~flat_b):
+            i = np.flatnonzero(flat_a)
+            i = i[(i <= j - shift[1]) | (i > j - shift[0])]
+            if len(i) and (np.sqrt(2 * m), i[0]) < (cols.mp[j], cols.at[j]):
+                cols.mp[j], cols.at[j] = np.sqrt(2 * m), i[0]
+    cols.level(np.flatnonzero(flat_b), flat_a, lambda j: j - shift[1] + 1, lambda j: j - shift[0] + 1, m)
+    return [(rows.mp, rows.at), (cols.mp, cols.at)]
+
+
+def direct_nearest(a: np.ndarray, b: np.ndarray, m: int, zone, both: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """As ``rolled_nearest``, from the matrix of all distances; for small pieces."""
+    d = window_distances(a, b, m)
+    out = []
+    for side in range(1 + both):
+        shut = d.copy()
+        for i in range(len(d)):
+            low, high = zone(i)[side]
+            shut[i, max(0, low) : max(0, high)] = np.inf
+        shut = shut.T if side else shut
+        at = shut.argmin(1)
+        low = shut[np.arange(len(at)), at]
+        out.append((low, np.where(np.isfinite(low), at, -1)))
+    return out
+
+
+def nearest_windows(a: np.ndarray, b: np.ndarray, m: int, gap: int, exclude: bool, both: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Nearest windows of two pieces of a series whose starts lie ``gap`` apart; ``exclude`` leaves trivial matches out."""
+    before, after = int(np.rint(m / 2)), int(np.rint(m / 2 + 1))
+    shut = lambda i: ((gap + i - after + 1, gap + i + before + 1), (gap + i - before, gap + i + after))
+    zone = shut if exclude else lambda i: ((0, 0), (0, 0))
+    small = (len(a) - m + 1) * (len(b) - m + 1) <= PAIRS
+    return (direct_nearest if small else rolled_nearest)(a, b, m, zone, both)
+
+
+def fused(pieces: DataFrame, keys: Sequence[str], size: int, by: int) -> DataFrame:
+    """Every ``by`` pieces of ``size`` windows as one."""
+    keys = list(keys)
+    if by == 1:
+        return pieces
+    own = F.array_sort(F.collect_list(F.struct("block", "x")))
+    run = pieces.groupBy(*keys, F.floor(F.col("block") / by).cast("int").alias("block")).agg(own.alias("__run"))
+    body = F.flatten(F.transform(F.slice("__run", F.lit(1), F.size("__run") - 1), lambda p: F.slice(p["x"], 1, size)))
+    return run.select(*keys, "block", F.concat(body, F.element_at("__run", -1)["x"]).alias("x"), (F.col("block") * size * by).alias("start"))
+
+
+def tile_minima(tiles: DataFrame, keys: Sequence[str], m: int, *, exclude: bool, both: bool) -> DataFrame:
+    """The nearest window inside each tile ``(keys, start, x, ref_start, ref_x)``: rows ``keys, pos, mp, mp_idx``.
+
+    Answers go from ``x`` to ``ref_x``, with ``both`` also back, but for a tile of one piece with itself. A tile gives one row
+    of arrays per side, which are opened on the JVM.
+    """
+    keys = list(keys)
+
+    def compare(batches):
+        for batch in batches:
+            x, y = batch.column("x"), batch.column("ref_x")
+            start, ref = batch.column("start").to_pylist(), batch.column("ref_start").to_pylist()
+            at, first, mp, idx = [], [], [], []
+            for r in range(batch.num_rows):
+                a, b = np.asarray(x[r].values, float), np.asarray(y[r].values, float)
+                sides = nearest_windows(a, b, m, start[r] - ref[r], exclude, both and start[r] != ref[r])
+                for (low, j), (own, other) in zip(sides, ((start[r], ref[r]), (ref[r], start[r]))):
+                    at.append(r)
+                    first.append(own)
+                    mp.append(pa.array(low))
+                    idx.append(pa.array(np.where(j >= 0, j + other, -1).astype(np.int32)))
+            if at:
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(v) for v in mp])]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.concat_arrays(v)) for v in (mp, idx)]
+                taken = [batch.column(k).take(pa.array(at)) for k in keys]
+                yield pa.RecordBatch.from_arrays([*taken, pa.array(first, pa.int32()), *lists], names=[*keys, "first", "mp", "mp_idx"])
+
+    key_types = "".join(f"{k} {tiles.schema[k].dataType.simpleString()}, " for k in keys)
+    found = tiles.select(*keys, "start", "x", "ref_start", "ref_x").mapInArrow(compare, f"{key_types}first int, mp array<double>, mp_idx array<int>")
+    opened = found.select(*keys, "first", F.posexplode(F.arrays_zip("mp", "mp_idx")).alias("at", "b"))
+    return opened.where("b.mp_idx >= 0").select(*keys, (F.col("first") + F.col("at")).alias("pos"), "b.mp", "b.mp_idx")
+
+
+def merged(found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The nearest of several answers per window; of equally near ones the first position."""
+    least = found.groupBy(*keys, "pos").agg(F.min(F.struct("mp", "mp_idx")).alias("b"))
+    return least.select(*keys, "pos", F.col("b.mp").alias("mp"), F.col("b.mp_idx").alias("mp_idx"))
+
+
+def spread_tiles(tiles: DataFrame, keys: Sequence[str], pairs: float, values: float) -> DataFrame:
+    """Tiles over tasks by their number of window pairs and values; Spark would size tasks by bytes, of which tiles have few."""
+    parts = int(min(MAX_PARTS, max(1, pairs // TASK_PAIRS, values // TASK_VALUES) + 1))
+    return tiles.repartition(parts, *keys, "ref_start", "start")
+
+
 def matrix_profile(
     series: DataFrame,
     keys: Sequence[str],
@@ -78,12 +314,20 @@ def matrix_profile(
     Self-join: trivial matches are left out. With ``other`` the positions run over ``other`` and the index
     points into ``series`` (same keys), nothing is excluded. ``sample`` compares with a hashed share of the
     blocks only. The window pairs of a series are cut into tiles of two blocks; a tile keeps one minimum per
-    window, so a long series is spread over many tasks and no pair leaves a task.
+    window, so a long series is spread over many tasks and no pair leaves a task. Blocks grow with the longest series
+    (see ``SIDE``), so that what is shuffled grows with the length and not with its square up to ``SIDE * MAX_BLOCK`` windows.
     """
     keys = list(keys)
     size = block or max(BLOCK, 4 * m)
     left = settle(blocks(series, keys, m, size))
     right = left if other is None else settle(blocks(other, keys, m, size))
+    if block is None:
+        longest = max(t.agg(F.max("block")).first()[0] or 0 for t in {id(left): left, id(right): right}.values()) + 1
+        by = max(1, min(-(-longest // SIDE), MAX_BLOCK // size))
+        if by > 1:
+            same = right is left
+            left = settle(fused(left, keys, size, by))
+            right = left if same else settle(fused(right, keys, size, by))
     kept = left
     if sample is not None:
         kept = left.where(F.pmod(F.xxhash64(*keys, "block", F.lit(seed)), F.lit(1000)) < int(sample * 1000))
@@ -96,33 +340,10 @@ def matrix_profile(
     first = F.col("ref_block") if symmetric else F.lit(0)
     refs = refs.join(last, keys).where(first <= F.col("__last")).withColumn("block", F.explode(F.sequence(first, F.col("__last"))))
     tiles = refs.join(right.select(*keys, "block", "start", "x"), [*keys, "block"]).select(*keys, "ref_start", "ref_x", "start", "x")
-    key_types = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys)
-
-    def best(d: np.ndarray, rows: np.ndarray, cols: np.ndarray, key: tuple) -> pd.DataFrame:
-        if self_join:
-            d = np.where(excluded(cols, rows, m).T, np.inf, d)
-        at = d.argmin(1)
-        low = d[np.arange(len(rows)), at]
-        ok = np.isfinite(low)
-        out = pd.DataFrame({"pos": rows[ok], "mp": low[ok], "mp_idx": cols[at[ok]]})
-        for k, v in zip(keys, key):
-            out[k] = v
-        return out
-
-    def compare(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                key = tuple(row)[: len(keys)]
-                a, b = np.asarray(row.x, float), np.asarray(row.ref_x, float)
-                d = window_distances(a, b, m)
-                rows, cols = row.start + np.arange(d.shape[0]), row.ref_start + np.arange(d.shape[1])
-                yield best(d, rows, cols, key)[[*keys, "pos", "mp", "mp_idx"]]
-                if symmetric and row.start != row.ref_start:
-                    yield best(d.T, cols, rows, key)[[*keys, "pos", "mp", "mp_idx"]]
-
-    found = tiles.mapInPandas(compare, f"{key_types}, pos int, mp double, mp_idx int")
-    least = found.groupBy(*keys, "pos").agg(F.min(F.struct("mp", "mp_idx")).alias("b"))
-    return least.select(*keys, "pos", F.col("b.mp").alias("mp"), F.col("b.mp_idx").alias("mp_idx"))
+    windows = lambda t, c: t.groupBy(*keys).agg(F.sum(F.size("x").cast("double")).alias(c), F.count("*").alias(f"{c}_blocks"))
+    work = windows(kept, "a").join(windows(right, "b"), keys).agg(F.sum(F.col("a") * F.col("b")), F.sum(F.col("a") * F.col("b_blocks") + F.col("b") * F.col("a_blocks"))).first()
+    spread = spread_tiles(tiles, keys, work[0] or 0.0, work[1] or 0.0)
+    return merged(tile_minima(spread, keys, m, exclude=self_join, both=symmetric), keys)
 
 
 def distance_profile(series: DataFrame, keys: Sequence[str], query: Sequence[float], block: int | None = None) -> DataFrame:

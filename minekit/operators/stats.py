@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 
 from minekit.functions.maths import safe_corr
 from minekit.operators.joins import column_pairs
-from minekit.scale import all_present, attach, one_row, quantiles, running_total, settle, tile_join
+from minekit.scale import all_present, attach, one_row, quantiles, running_total, settle
+
+CELLS = 500_000  # distinct value pairs that one task orders
 
 
 def average_ranks(df: DataFrame, c: str, out: str) -> DataFrame:
@@ -24,25 +27,110 @@ def average_ranks(df: DataFrame, c: str, out: str) -> DataFrame:
     return attach(df, ranks, [c], "__n")
 
 
-def _kendall(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Tau-b from the distinct (a, b) combinations and their counts; null if a column is constant."""
-    cells = df.where(all_present([a, b])).groupBy(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-    cells = cells.agg(F.count("*").alias("n")).withColumn("id", F.concat_ws("|", "x", "y"))
+def _rank_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Spearman's correlation of every pair.
 
-    def kernel(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        total = 0.0
-        qx, qy, qn = (q[c].to_numpy(float) for c in ("x", "y", "n"))
-        for x, y, n in zip(p["x"].to_numpy(float), p["y"].to_numpy(float), p["n"].to_numpy(float)):
-            total += n * float((np.sign(x - qx) * np.sign(y - qy) * qn).sum())
-        return pd.DataFrame({"s": [total]})
+    Without nulls a column has the same ranks in all its pairs: the values of all columns are counted and ordered together, each
+    column gets its ranks once, and one aggregate gives all pairs. With nulls, the rows of a pair depend on both.
+    """
+    cols = list(dict.fromkeys(c for p in pairs for c in p))
+    rows = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
+    values = rows.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("v")) for i in range(len(cols))])))
+    counts = settle(values.groupBy("c", "v").agg(F.count("*").alias("n")))
+    if counts.where("v is null").isEmpty():
+        below = running_total(counts, ["c"], [F.col("v")], F.col("n"), out="below")
+        ranks = settle(below.select("c", "v", (F.col("below") + (F.col("n") + 1) / 2).alias("rank"), "n"))
+        for i in range(len(cols)):
+            own = ranks.where(F.col("c") == i).select(F.col("v").alias(f"v{i}"), F.col("rank").alias(f"r{i}"), "n")
+            rows = attach(rows, own, [f"v{i}"], "n", written=True)
+        at = {c: f"r{i}" for i, c in enumerate(cols)}
+        wide = rows.agg(*[safe_corr(at[a], at[b]).alias(f"{a}|{b}") for a, b in pairs])
+        names = F.split("__pair", r"\|")
+        return wide.unpivot([], wide.columns, "__pair", "corr").select(names[0].alias("a"), names[1].alias("b"), "corr")
+    out = None
+    for a, b in pairs:
+        both = df.where(all_present([a, b])).select(a, b)
+        ranked = average_ranks(average_ranks(both, a, "__ra"), b, "__rb")
+        part = ranked.agg(safe_corr("__ra", "__rb").alias("corr")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "corr")
+        out = part if out is None else out.unionByName(part)
+    return out
 
-    signed = tile_join(cells, cells, "id", "id", kernel, "s double").agg((F.sum("s") / 2).alias("s"))
-    ties = lambda c: (
-        cells.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).scalar()
-    )
-    sizes = cells.agg(F.sum("n").alias("n")).select((F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
-    tau = F.try_divide(one_row(signed)["s"], F.sqrt((F.col("pairs") - ties("x")) * (F.col("pairs") - ties("y"))))
-    return sizes.select(F.lit(a).alias("a"), F.lit(b).alias("b"), tau.alias("corr"))
+
+def inversions(values: np.ndarray, weights: np.ndarray) -> int:
+    """Sum of ``weights[i] * weights[j]`` over ``i < j`` with ``values[i] > values[j]``.
+
+    Merging from the bottom up, all blocks of a level at once: each element of a right half meets the weight of the larger
+    ones in the left half.
+    """
+    n = len(values)
+    if n < 2:
+        return 0
+    rank = np.unique(values, return_inverse=True)[1].astype(np.int64)
+    kinds, place = int(rank.max()) + 1, np.arange(n)
+    if int(weights.sum(dtype=object)) ** 2 >= 1 << 62:
+        weights = weights.astype(object)  # products beyond a long
+    total, width = 0, 1
+    while width < n:
+        block, right = place // (2 * width), place // width % 2
+        order = np.argsort((block * kinds + rank) * 2 + right)  # in a block by value, equal ones from the left first
+        left = np.where(right[order] == 0, weights[order], 0)
+        seen = np.cumsum(left)
+        ends = np.searchsorted(block[order], np.arange(block[-1] + 1), side="right") - 1
+        larger = seen[ends][block[order]] - seen  # in the left half of the own block
+        hit = right[order] == 1
+        total += int((weights[order][hit] * larger[hit]).sum())
+        width *= 2
+    return total
+
+
+def discordant(cells: DataFrame) -> DataFrame:
+    """Weighted number of discordant pairs per group: ``g, d``, from distinct ``(g, x, y)`` with counts ``n``.
+
+    In the order of (x, y) a pair is discordant if its y's are inverted. Cells are cut into ranges of (x, y) and into ranges of
+    (y, x). Pairs inside a range of either kind are counted there; of all others the two range numbers tell, and the
+    counts per pair of range numbers are a smaller problem of the same kind.
+    """
+    parts = -(-cells.count() // CELLS)
+
+    def count(order: Sequence[str]):
+        def one(table: pa.Table) -> pa.Table:
+            t = table.sort_by([(c, "ascending") for c in ("g", *order)])
+            g, y, n = (t.column(c).to_numpy() for c in ("g", "y", "n"))
+            cuts = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
+            sums = [Decimal(inversions(y[a:b], n[a:b])) for a, b in zip(cuts, cuts[1:])]
+            return pa.table({"g": pa.array(g[cuts[:-1]], pa.int32()), "d": pa.array(sums, pa.decimal128(38, 0))})
+
+        return one
+
+    found = "g int, d decimal(38,0)"
+    if parts <= 1:
+        return cells.groupBy("g").applyInArrow(count(("x", "y")), found)
+    by_x = settle(cells.repartitionByRange(parts, "g", "x", "y").withColumn("r", F.spark_partition_id()))
+    by_y = settle(by_x.repartitionByRange(parts, "g", "y", "x").withColumn("s", F.spark_partition_id()))
+    inside = by_x.groupBy("r").applyInArrow(count(("x", "y")), found)
+    across = by_y.groupBy("s").applyInArrow(count(("r", "y")), found)
+    table = settle(by_y.groupBy("g", F.col("r").cast("double").alias("x"), F.col("s").cast("double").alias("y")).agg(F.sum("n").alias("n")))
+    both = inside.unionByName(across).unionByName(discordant(table))
+    return both.groupBy("g").agg(F.sum("d").alias("d"))
+
+
+def _kendall(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Tau-b of every pair from its distinct combinations and their counts; null if a column is constant."""
+    cell = [F.struct(F.lit(i).alias("g"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, (a, b) in enumerate(pairs)]
+    cells = df.select(F.inline(F.array(*cell))).where("x is not null and y is not null").groupBy("g", "x", "y")
+    cells = settle(cells.agg(F.count("*").alias("n")))
+
+    def tied(*by: str, name: str) -> DataFrame:
+        groups = cells.groupBy("g", *by).agg(F.sum("n").cast("double").alias("n"))
+        return groups.groupBy("g").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias(name))
+
+    known = tied(name="all")
+    for part in (tied("x", name="in_x"), tied("y", name="in_y"), tied("x", "y", name="in_both"), discordant(cells)):
+        known = known.join(part, "g")
+    score = F.col("all") - F.col("in_x") - F.col("in_y") + F.col("in_both") - 2 * F.col("d").cast("double")
+    tau = F.try_divide(score, F.sqrt((F.col("all") - F.col("in_x")) * (F.col("all") - F.col("in_y"))))
+    names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "g int, a string, b string")
+    return names.join(known, "g", "left").select("a", "b", tau.alias("corr"))
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> DataFrame:
@@ -53,20 +141,11 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson") ->
         long = wide.unpivot([], wide.columns, "__pair", "corr")
         names = F.split("__pair", r"\|")
         return long.select(names[0].alias("a"), names[1].alias("b"), "corr")
-    parts = []
-    for a, b in pairs:
-        if method == "kendall":
-            parts.append(_kendall(df, a, b))
-        elif method == "spearman":
-            both = df.where(all_present([a, b])).select(a, b)
-            ranked = average_ranks(average_ranks(both, a, "__ra"), b, "__rb")
-            parts.append(ranked.agg(safe_corr("__ra", "__rb").alias("corr")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "corr"))
-        else:
-            raise ValueError(f"unknown method {method!r}")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if method == "kendall":
+        return _kendall(df, pairs)
+    if method == "spearman":
+        return _rank_correlations(df, pairs)
+    raise ValueError(f"unknown method {method!r}")
 
 
 def correlated_pairs(corr: DataFrame, threshold: float) -> DataFrame:

@@ -46,17 +46,22 @@ def spearman(t):
     return stats.corr_matrix(t.lineitem, LINE, "spearman").withColumn("corr", F.round("corr", 6))
 
 
-@query(
-    "SM3",
-    """WITH c AS (SELECT l_quantity AS x, l_linenumber AS y, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1, 2),
-       s AS (SELECT sum(a.n * b.n * sign(a.x - b.x) * sign(a.y - b.y)) / 2 AS s FROM c a, c b),
-       tx AS (SELECT sum(n * (n - 1) / 2) AS t FROM (SELECT sum(n) AS n FROM c GROUP BY x)),
-       ty AS (SELECT sum(n * (n - 1) / 2) AS t FROM (SELECT sum(n) AS n FROM c GROUP BY y)),
-       z AS (SELECT sum(n) * (sum(n) - 1) / 2 AS t FROM c)
-       SELECT 'l_quantity' AS a, 'l_linenumber' AS b, round(s / sqrt((z.t - tx.t) * (z.t - ty.t)), 6) AS corr FROM s, tx, ty, z""",
-)
+def _tau_sql(a: str, b: str) -> str:
+    """Tau-b from counts of smaller x per value of y; the y column has few distinct values."""
+    x, y = (a, b) if b != "l_extendedprice" else (b, a)
+    return f"""SELECT '{a}' AS a, '{b}' AS b, round(any_value(s.s) / sqrt((any_value(z.t) - any_value(tx.t)) * (any_value(z.t) - any_value(ty.t))), 6) AS corr FROM
+      (WITH c AS (SELECT {x} AS x, {y} AS y, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1, 2),
+         g AS (SELECT xs.x, ys.v, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT x FROM c) xs CROSS JOIN (SELECT DISTINCT y AS v FROM c) ys LEFT JOIN c ON c.x = xs.x AND c.y = ys.v),
+         u AS (SELECT x, v, sum(n) OVER (PARTITION BY v ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g)
+       SELECT sum(c.n * before * sign(y - v)) AS s FROM c JOIN u USING (x)) s,
+      (SELECT sum(n * (n - 1) / 2) AS t FROM (SELECT count(*)::DOUBLE AS n FROM lineitem GROUP BY {x})) tx,
+      (SELECT sum(n * (n - 1) / 2) AS t FROM (SELECT count(*)::DOUBLE AS n FROM lineitem GROUP BY {y})) ty,
+      (SELECT count(*)::DOUBLE * (count(*) - 1) / 2 AS t FROM lineitem) z"""
+
+
+@query("SM3", " UNION ALL ".join(f"SELECT * FROM ({_tau_sql(a, b)})" for a, b in LINE_PAIRS))
 def kendall(t):
-    return stats.corr_matrix(t.lineitem, ["l_quantity", "l_linenumber"], "kendall").withColumn("corr", F.round("corr", 6))
+    return stats.corr_matrix(t.lineitem, LINE, "kendall").withColumn("corr", F.round("corr", 6))
 
 
 @query(
@@ -156,23 +161,40 @@ def xmeans_clusters(t):
 
 
 EPS, MIN_SAMPLES = 0.8, 4
+SWEEP_EPS, SWEEP_MIN = [0.5, 0.8], [3, 4, 8]
 
 
-@query(
-    "CL5",
-    f"""WITH RECURSIVE {XY}, nb AS (SELECT a.c_custkey AS i, b.c_custkey AS j, pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2) AS d2
-          FROM xy a, xy b WHERE pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2) <= {EPS} * {EPS}),
-        co AS (SELECT i FROM nb GROUP BY 1 HAVING count(*) >= {MIN_SAMPLES}),
+def _dbscan_sql(eps: float, least: int) -> str:
+    """c_custkey and cluster by neighbour pairs and reachability."""
+    return f"""WITH RECURSIVE {XY}, nb AS (SELECT a.c_custkey AS i, b.c_custkey AS j, pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2) AS d2
+          FROM xy a, xy b WHERE pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2) <= {eps} * {eps}),
+        co AS (SELECT i FROM nb GROUP BY 1 HAVING count(*) >= {least}),
         e AS (SELECT i, j FROM nb WHERE i IN (SELECT i FROM co) AND j IN (SELECT i FROM co)),
         reach AS (SELECT i, i AS j FROM co UNION SELECT reach.i, e.j FROM reach JOIN e ON reach.j = e.i),
         comp AS (SELECT i, min(j) AS c FROM reach GROUP BY 1),
         bo AS (SELECT nb.i, arg_min(comp.c, (d2, comp.c)) AS c FROM nb JOIN comp ON nb.j = comp.i WHERE nb.i NOT IN (SELECT i FROM co) GROUP BY 1)
-      SELECT c_custkey, coalesce(comp.c, bo.c, -1) AS cluster FROM xy LEFT JOIN comp ON comp.i = c_custkey LEFT JOIN bo ON bo.i = c_custkey""",
-)
+      SELECT c_custkey, coalesce(comp.c, bo.c, -1) AS cluster FROM xy LEFT JOIN comp ON comp.i = c_custkey LEFT JOIN bo ON bo.i = c_custkey"""
+
+
+@query("CL5", _dbscan_sql(EPS, MIN_SAMPLES))
 def location_dbscan(t):
     return cluster_fit.dbscan(located(t), ["lat", "lon"], "c_custkey", EPS, MIN_SAMPLES).select("c_custkey", "cluster")
 
 
+@query(
+    "CL5",
+    " UNION ALL ".join(
+        f"""SELECT {e}::DOUBLE AS eps, {m}::INT AS min_samples, count(*) FILTER (cluster <> -1)::BIGINT AS clusters, (max(n) FILTER (cluster <> -1))::BIGINT AS largest,
+        round(coalesce(sum(n) FILTER (cluster = -1), 0) / sum(n), 6) AS noise_share FROM (SELECT cluster, count(*) AS n FROM ({_dbscan_sql(e, m)}) GROUP BY 1)"""
+        for e in SWEEP_EPS
+        for m in SWEEP_MIN
+    ),
+)
+def dbscan_sweep(t):
+    out = cluster_fit.dbscan_sweep(located(t), ["lat", "lon"], "c_custkey", SWEEP_EPS, SWEEP_MIN)
+    return out.withColumn("noise_share", F.round("noise_share", 6))
+
+
 @query(
     "CL6",
     f"""WITH {XY}, p AS (SELECT a.c_custkey, sqrt(pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2)) AS d FROM xy a JOIN xy b ON a.c_custkey <> b.c_custkey)

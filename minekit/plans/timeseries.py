@@ -12,7 +12,7 @@ from minekit.operators.joins import pair_metric
 from minekit.plans.registry import query, r
 from minekit.scale import fresh_path, settle
 from minekit.streaming.ingest import drain, ingest, stream_source
-from minekit.streaming.series import stream_profile, stream_series
+from minekit.streaming.series import StreamedProfile, stream_series
 
 ORIGIN = "2024-01-01"
 DAILY = f"""k AS (SELECT user_id FROM events GROUP BY 1 HAVING count(*) > 55),
@@ -363,9 +363,8 @@ def streamed_copy(t):
 
 @query("STR1", f"WITH {SELF} SELECT user_id, pos, round(mp, 6) AS mp, mp_idx FROM mp")
 def streamed_profile(t):
-    out, marks = fresh_path(t.spark, "profile"), fresh_path(t.spark, "profile-state")
-    changes = stream_profile(_event_stream(t), "user_id", M, order="event_id", value="value")
-    # one folder per batch: a repeated batch replaces its own output
-    drain(changes, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), marks, "update")
-    last = t.spark.read.parquet(out).groupBy("user_id", "pos").agg(F.max_by(F.struct("mp", "mp_idx"), "batch").alias("b"))
-    return last.select("user_id", "pos", r("b.mp", 6, "mp"), F.col("b.mp_idx").alias("mp_idx"))
+    folder, marks = fresh_path(t.spark, "profile"), fresh_path(t.spark, "profile-state")
+    kept = StreamedProfile(t.spark, folder, t.events.schema, ["user_id"], M, order="event_id", value="value", delay=1000)
+    drain(_event_stream(t), kept.take, marks, "append")
+    kept.finish()
+    return kept.profile().select("user_id", "pos", r("mp"), "mp_idx")
