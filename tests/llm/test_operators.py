@@ -393,11 +393,13 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     keys = ["".join(rng.choices(alphabet, k=64)) for _ in range(40)]
     plain = ["thanononatedationtheringandonthere", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "internationalization_of_everything_else", "01010101010101010101010101"]
+    plain += ["gggggggggggggggggggggggggggggggggggg", "XYXYXYXYXYXYXYXYXYXYXYXYXY"]
     rows = [(i, f"see {k} there") for i, k in enumerate(keys)] + [(100 + i, f"see {p} there") for i, p in enumerate(plain * 10)]
     found = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     hits = {r["doc_id"]: [tuple(s) for s in r["secrets"]] for r in found}
     assert sum(hits[i] == [(4, 3, 68)] for i in range(40)) >= 34
-    assert not any(hits[i] for i in range(100, 140))
+    for i, p in enumerate(plain * 10):  # long runs of hexadecimal signs are base spans (kind 2); no plain token is random (kind 3)
+        assert hits[100 + i] == ([(4, 2, 4 + len(p))] if re.fullmatch("[0-9a-f]+", p) else [])
 
 
 def test_random_parts_of_tokens_without_an_encoding(spark):
