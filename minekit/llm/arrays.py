@@ -22,10 +22,12 @@ _PLACE = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) | n
 _powers: dict[str, np.ndarray] = {}
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of rows holding about ``limit`` bytes of text, one row at least."""
+def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Runs of rows holding about ``limit`` bytes of text and at most ``rows`` rows, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part = np.cumsum(sizes) // limit
+    if rows:
+        part = part + np.arange(batch.num_rows) // rows * (int(sizes.sum()) // limit + 1)
     cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
@@ -112,10 +114,12 @@ def add_columns(
     task: Callable[[], Callable[[pa.RecordBatch], Sequence]],
     *,
     keep: Sequence[str] | None = None,
+    limit: int = SLICE_BYTES,
+    rows: int | None = None,
 ) -> DataFrame:
     """``df`` with columns computed per row by Arrow tasks; a column of the same name is replaced.
 
-    ``task`` is called once in each task and returns the function that maps a slice of rows to the new columns.
+    ``task`` is called once in each task and returns the function that maps a slice of rows (see ``slices``) to the new columns.
     """
     fields, columns = list(fields), list(df.columns)
     new = {f.name.lower() for f in fields}
@@ -127,8 +131,8 @@ def add_columns(
     def run(batches):
         work = task()
         for batch in batches:
-            for rows in slices(batch, text):
-                made = [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(work(rows), types)]
-                yield pa.RecordBatch.from_arrays([rows.column(i) for i in kept] + made, names=names)
+            for part in slices(batch, text, limit, rows):
+                made = [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(work(part), types)]
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in kept] + made, names=names)
 
     return df.mapInArrow(run, schema)

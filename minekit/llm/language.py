@@ -22,7 +22,8 @@ DIMENSIONS = 1024
 GRAM = 3
 UNKNOWN = "und"
 _ROWS, _GRAMS = 512, 4096  # a block of the text-by-gram count matrix
-_DIRECT = 1 << 24  # table size up to which values are counted by index instead of by sorting
+_BYTES = 1 << 20  # text that is turned into numbers at once
+_DIRECT = 1 << 22  # table size up to which values are counted by index instead of by sorting
 _POINTS = sys.maxunicode + 1
 _letters: list[np.ndarray] = []
 
@@ -39,7 +40,7 @@ def _ranked(values: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(values, return_inverse=True)
     seen = np.zeros(below, bool)
     seen[values] = True
-    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[values]
+    return np.flatnonzero(seen), (np.cumsum(seen, dtype=np.int32) - 1)[values]
 
 
 def _counted(values: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +124,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", dimensions
     def add_up(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", _BYTES, _ROWS):
                 langs = np.array(rows.column("lang").to_pylist(), object)
                 for name in set(langs):
                     # the n-grams of a language's texts are counted together before they are turned into vectors
@@ -189,13 +190,13 @@ def predict(
             if not names:
                 return [[UNKNOWN] * len(texts), np.zeros(len(texts))]
             best = np.argmax(vectors @ apart.value.T, 1)
-            likeness = (vectors * shared.value[best]).sum(1) / np.maximum(size, 1e-9)
+            likeness = np.einsum("ij,ij->i", vectors, shared.value[best]) / np.maximum(size, 1e-9)
             known = np.array([_has_letter(t) for t in texts], bool)
             return [[names[b] if k else UNKNOWN for b, k in zip(best, known)], np.where(known, np.clip(likeness, 0, 1), 0).astype(float)]
 
         return work
 
-    return add_columns(docs, text, fields, task, keep=keep)
+    return add_columns(docs, text, fields, task, keep=keep, limit=_BYTES, rows=_ROWS)
 
 
 def held_out(doc_id: str | Column, parts: int = 4, part: int = 2) -> Column:
