@@ -1,6 +1,6 @@
 """Texts as numpy arrays inside Arrow tasks: word bounds, word hashes, and columns added batch by batch.
 
-All of it works on one slice of an Arrow batch, a few MB of text at a time; a text is never cut.
+All of it works on one slice of an Arrow batch, about 1 MB of text at a time; a text is never cut.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

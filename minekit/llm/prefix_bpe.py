@@ -33,6 +33,7 @@ BITS = 24  # of a token id in a pair
 NEVER = 1 << 60
 CACHED = 600_000  # runs, pieces or pairs a worker remembers
 RUN = 64  # characters of a run or piece that may be remembered
+SLICE = 4 << 20  # bytes of text whose new pieces are encoded together
 
 
 def byte_letters() -> dict[str, int]:
@@ -304,4 +305,4 @@ def encode_decode(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text"
 
         return work
 
-    return add_columns(docs, text, fields, task, keep=keep)
+    return add_columns(docs, text, fields, task, keep=keep, limit=SLICE)
