@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from minekit.operators.profile import row_hash
 from minekit.scale import col, one_row, quantiles
 
 
@@ -60,7 +61,7 @@ def repair_dates(df: DataFrame, c: str, max_year: int, how: str, shift: int = 0,
         fixed = F.date_from_unix_date(F.floor(middle).cast("int"))
     elif how == "random":
         span = one_row(valid.agg(F.min("d").alias("a"), F.max("d").alias("b")))
-        draw = F.pmod(F.xxhash64(day, F.lit(seed)), span["b"] - span["a"] + 1).cast("int")
+        draw = F.pmod(row_hash(F.unix_date(day), seed), span["b"] - span["a"] + 1).cast("int")
         fixed = F.date_from_unix_date(span["a"] + draw)
     elif how == "null":
         fixed = F.lit(None).cast("date")

@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from minekit.operators.joins import column_pairs
+from minekit.operators.joins import column_pairs, knn_vectors
 from minekit.operators.profile import row_hash, sample
-from minekit.scale import all_present, attach, one_row, tile_join
+from minekit.scale import all_present, attach, one_row, settle, tile_join
+
+MANY = 256  # clusters that one row may look through
 
 
 def point(cols: Sequence[str]) -> Column:
@@ -47,36 +49,60 @@ def bss(df: DataFrame, cols: Sequence[str], cluster: str) -> DataFrame:
     return centres.select(cluster, "n", (F.col("n") * gap).alias("bss"))
 
 
-def _clusters(df: DataFrame, cols: Sequence[str], cluster: str) -> DataFrame:
-    """One row holding all clusters: label, size, sum vector and sum of squared lengths (k rows in all)."""
+def _cluster_sums(df: DataFrame, cols: Sequence[str], cluster: str) -> DataFrame:
+    """Label, size, sum vector and sum of squared lengths of each cluster, written once."""
     length = sum((F.col(c).cast("double") * F.col(c) for c in cols), F.lit(0.0))
-    each = df.groupBy(cluster).agg(
-        F.count("*").alias("n"),
-        F.array(*[F.sum(F.col(c).cast("double")) for c in cols]).alias("total"),
-        F.sum(length).alias("squares"),
-    )
-    return each.agg(F.collect_list(F.struct(F.col(cluster).alias("label"), "n", "total", "squares")).alias("c"))
+    total = F.array(*[F.sum(F.col(c).cast("double")) for c in cols])
+    each = df.groupBy(F.col(cluster).alias("label")).agg(F.count("*").alias("n"), total.alias("total"), F.sum(length).alias("squares"))
+    return settle(each)
+
+
+def _mean_square(x: Column, length: Column, c, minus: int = 0) -> Column:
+    """Mean squared distance of a point to the rows of a cluster, itself left out with ``minus``."""
+    return (length * c["n"] + c["squares"] - 2 * dot(x, c["total"])) / F.greatest(c["n"] - minus, F.lit(1))
+
+
+def _silhouette(own_n: Column, a: Column, b: Column) -> Column:
+    return F.when(own_n == 1, 0.0).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.when(b.isNotNull(), 0.0)))
 
 
 def silhouette(df: DataFrame, cols: Sequence[str], cluster: str) -> DataFrame:
-    """Silhouette per row with squared Euclidean distances, from cluster sums: one pass, no pairs."""
-    x = point(cols)
-    marked = df.withColumn("__all", one_row(_clusters(df, cols, cluster))["c"]).withColumn("__x", x)
+    """Silhouette per row with squared Euclidean distances, from cluster sums, without pairs of rows.
+
+    Up to ``MANY`` clusters are looked through by every row. With more, a row looks up its two nearest clusters: the mean squared
+    distance to a cluster is the squared distance to its centroid, moved by its spread along one more axis, so the nearest
+    cluster is a nearest neighbour (``knn_vectors``), and no row ever holds all clusters.
+    """
+    each = _cluster_sums(df, cols, cluster)
+    if each.count() > MANY:
+        return _silhouette_many(df, cols, cluster, each)
+    everyone = each.agg(F.collect_list(F.struct("label", "n", "total", "squares")).alias("c"))
+    marked = df.withColumn("__all", one_row(everyone)["c"]).withColumn("__x", point(cols))
     own_size = F.aggregate("__all", F.lit(0).cast("long"), lambda a, c: F.when(c["label"] == F.col(cluster), c["n"]).otherwise(a))
     marked = marked.withColumn("__len", dot(F.col("__x"), F.col("__x"))).withColumn("__own", own_size)
-    mean = F.transform(
-        "__all",
-        lambda c: F.struct(
-            (c["label"] == F.col(cluster)).alias("own"),
-            ((F.col("__len") * c["n"] + c["squares"] - 2 * dot(F.col("__x"), c["total"]))
-             / F.when(c["label"] == F.col(cluster), F.greatest(c["n"] - 1, F.lit(1))).otherwise(c["n"])).alias("d"),
-        ),
-    )
-    marked = marked.withColumn("__mean", mean)
+    mine = lambda c: c["label"] == F.col(cluster)
+    far = lambda c: F.when(mine(c), _mean_square(F.col("__x"), F.col("__len"), c, 1)).otherwise(_mean_square(F.col("__x"), F.col("__len"), c))
+    marked = marked.withColumn("__mean", F.transform("__all", lambda c: F.struct(mine(c).alias("own"), far(c).alias("d"))))
     a = F.array_max(F.transform(F.filter("__mean", lambda m: m["own"]), lambda m: m["d"]))
     b = F.array_min(F.transform(F.filter("__mean", lambda m: ~m["own"]), lambda m: m["d"]))
-    score = F.when(F.col("__own") == 1, 0.0).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.when(b.isNotNull(), 0.0)))
-    return marked.withColumn("silhouette", score).drop("__all", "__x", "__len", "__own", "__mean")
+    return marked.withColumn("silhouette", _silhouette(F.col("__own"), a, b)).drop("__all", "__x", "__len", "__own", "__mean")
+
+
+def _silhouette_many(df: DataFrame, cols: Sequence[str], cluster: str, each: DataFrame) -> DataFrame:
+    rows = settle(df.withColumn("__x", point(cols)).withColumn("__id", F.monotonically_increasing_id()))
+    named = settle(each.where("label is not null").withColumn("__ref", F.monotonically_increasing_id()))
+    mean = F.transform("total", lambda v: v / F.col("n"))
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / F.col("n") - dot(mean, mean)))
+    refs = named.select("__ref", F.concat(mean, F.array(spread)).alias("__v"))
+    whole = rows.where(~F.exists("__x", lambda v: v.isNull()))
+    near = knn_vectors(whole.select("__id", F.concat("__x", F.array(F.lit(0.0))).alias("__v")), refs, query_id="__id", ref_id="__ref", vector="__v", k=2)
+    other = named.select(F.col("__ref").alias("nn___ref"), F.struct("label", "n", "total", "squares").alias("__c"))
+    met = near.select("__id", "nn___ref").join(other, "nn___ref").join(whole.select("__id", "__x", F.col(cluster).alias("__label")), "__id")
+    b = F.min(F.when(F.col("__c.label") != F.col("__label"), _mean_square(F.col("__x"), dot(F.col("__x"), F.col("__x")), F.col("__c")))).alias("__b")
+    own = each.select(F.col("label").alias(cluster), F.col("n").alias("__rows"), F.struct("n", "total", "squares").alias("__own"))
+    marked = attach(rows, own, [cluster], "__rows").join(met.groupBy("__id").agg(b), "__id", "left")
+    a = _mean_square(F.col("__x"), dot(F.col("__x"), F.col("__x")), F.col("__own"), 1)
+    return marked.withColumn("silhouette", _silhouette(F.col("__own.n"), a, F.col("__b"))).drop("__id", "__x", "__own", "__b").select(*df.columns, "silhouette")
 
 
 def silhouette_euclidean(
@@ -122,6 +148,9 @@ def davies_bouldin(df: DataFrame, cols: Sequence[str], cluster: str) -> DataFram
     spread = attach(df, centres, [cluster], "__rows").groupBy(cluster).agg(
         F.avg(F.sqrt(sq_dist(point(cols), F.col("__centre")))).alias("s"), F.first("__centre").alias("v")
     )
+    spread = settle(spread)
+    if spread.count() > MANY:
+        return _davies_bouldin_many(spread.select(F.col(cluster).cast("string").alias("label"), "s", "v"))
     everyone = spread.agg(F.collect_list(F.struct(F.col(cluster).alias("label"), "s", "v")).alias("c"))
     marked = spread.withColumn("__all", one_row(everyone)["c"])
     others = F.filter("__all", lambda o: o["label"] != F.col(cluster))
@@ -129,6 +158,29 @@ def davies_bouldin(df: DataFrame, cols: Sequence[str], cluster: str) -> DataFram
     return marked.select(worst.alias("w")).agg(F.avg("w").alias("davies_bouldin"))
 
 
+def _davies_bouldin_many(spread: DataFrame) -> DataFrame:
+    """Blocks of clusters meet in tiles; a tile keeps the worst neighbour of each cluster."""
+
+    def kernel(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if p.empty or q.empty:
+            return pd.DataFrame({"label": [], "w": []}).astype({"label": "object", "w": "float64"})
+        a, b, sa, sb = np.stack(p["v"]).astype(float), np.stack(q["v"]).astype(float), p["s"].to_numpy(float), q["s"].to_numpy(float)
+        worst = np.full(len(a), np.nan)
+        for i in range(0, len(a), 256):
+            gap = np.sqrt(np.maximum((a[i : i + 256] ** 2).sum(1)[:, None] + (b**2).sum(1) - 2 * a[i : i + 256] @ b.T, 0.0))
+            close = gap <= 1e-4 * (1 + np.abs(a[i : i + 256]).sum(1)[:, None])  # there the short form is not exact enough
+            for r, c in np.argwhere(close):
+                gap[r, c] = np.sqrt(((a[i + r] - b[c]) ** 2).sum())
+            with np.errstate(divide="ignore", invalid="ignore"):
+                ratio = np.where(gap > 0, (sa[i : i + 256][:, None] + sb) / gap, -np.inf)
+            worst[i : i + 256] = ratio.max(1)
+        return pd.DataFrame({"label": p["label"], "w": np.where(np.isfinite(worst), worst, np.nan)})
+
+    again = spread.select(*[F.col(c).alias(c) for c in spread.columns])
+    found = tile_join(spread, again, "label", "label", kernel, "label string, w double", per_block=2048)
+    return found.where(~F.isnan("w")).groupBy("label").agg(F.max("w").alias("w")).agg(F.avg("w").alias("davies_bouldin"))
+
+
 def calinski_harabasz(df: DataFrame, cols: Sequence[str], cluster: str) -> DataFrame:
     within = sum((F.var_pop(c) * F.count(c) for c in cols), F.lit(0.0))
     per = df.groupBy(cluster).agg(F.count("*").alias("n"), within.alias("w"))
@@ -242,14 +294,25 @@ def label_flow(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(F.inline(steps)).groupBy("step", "source", "target").agg(F.count("*").alias("value"))
 
 
-def random_label_baseline(df: DataFrame, cols: Sequence[str], row_id: str, k: int, runs: int = 10) -> DataFrame:
-    """Mean and std over runs of the silhouette of hashed random labels."""
-    scores = None
-    for run in range(runs):
-        label = F.pmod(F.shiftright(row_hash(row_id, 1000 + run), 8), F.lit(k)).alias("__label")
-        one = silhouette(df.select("*", label), cols, "__label").agg(F.avg("silhouette").alias("s"))
-        scores = one if scores is None else scores.unionByName(one)
-    return scores.agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("std"), F.count("*").alias("runs"))
+def random_label_baseline(df: DataFrame, cols: Sequence[str], row_id: str, ks: Sequence[int], runs: int = 10) -> DataFrame:
+    """Mean and std over runs of the silhouette of hashed random labels, for every number of labels: ``k, mean, std, runs``.
+
+    All runs of all k go through the same two aggregates.
+    """
+    hashes = F.array(*[F.struct(F.lit(r).alias("run"), F.shiftright(row_hash(row_id, 1000 + r), 8).alias("h")) for r in range(runs)])
+    points = settle(df.select(point(cols).alias("x"), hashes.alias("hashes")))
+    rows = points.select("x", F.inline("hashes")).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
+    rows = rows.select("run", "k", F.pmod("h", "k").alias("label"), "x", dot(F.col("x"), F.col("x")).alias("len"))
+    total = F.array(*[F.sum(F.col("x")[i]) for i in range(len(cols))])
+    each = rows.groupBy("run", "k", "label").agg(F.count("*").alias("n"), total.alias("total"), F.sum("len").alias("squares"))
+    models = each.groupBy("run", "k").agg(F.collect_list(F.struct("label", "n", "total", "squares")).alias("c"))  # ``runs`` rows per k, k labels each
+    both = rows.join(settle(models), ["run", "k"])
+    x, length, own = F.col("x"), F.col("len"), lambda c: c["label"] == F.col("label")
+    a = F.array_max(F.transform(F.filter("c", own), lambda c: _mean_square(x, length, c, 1)))
+    b = F.array_min(F.transform(F.filter("c", lambda c: ~own(c)), lambda c: _mean_square(x, length, c)))
+    mine = F.array_max(F.transform(F.filter("c", own), lambda c: c["n"]))
+    scores = both.select("run", "k", _silhouette(mine, a, b).alias("s")).groupBy("run", "k").agg(F.avg("s").alias("s"))
+    return scores.groupBy("k").agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("std"), F.count("*").alias("runs"))
 
 
 def ideal_distance_corr(df: DataFrame, cols: Sequence[str], cluster: str, row_id: str, n: int) -> DataFrame:

@@ -389,12 +389,12 @@ def own_distance_profile(series: DataFrame, keys: Sequence[str], at: DataFrame,
     return both.mapInPandas(compare, f"{key_types}, pos int, dist double")
 
 
-def _free(blocked: Column, zone: float, closed: bool = True) -> Column:
+def _free(blocked: Column, zone: float, closed: bool = True, at: str = "pos") -> Column:
     """True when a position lies in none of the zones around the blocked positions.
 
     A zone is [floor(i - zone), floor(i + zone)], or half-open on the right with ``closed`` off.
     """
-    pos = F.col("pos")
+    pos = F.col(at)
     upper = (lambda i: pos <= F.floor(i + zone)) if closed else (lambda i: pos < i + zone)
     return ~F.exists(F.coalesce(blocked, F.array().cast("array<int>")), lambda i: (pos >= F.floor(i - zone)) & upper(i))
 
@@ -445,63 +445,77 @@ def motifs(
 
     A round takes, for all series at once, the best open window with its pair, then adds windows closer than
     ``radius`` times that distance in increasing order, each closing a zone of ``ex_zone`` (m / 2) around it.
-    Only the windows inside the radius are gathered per series. Sets of one window are dropped.
+    The series are cut into blocks once; a round reads the blocks beside one short window per series, and only the windows
+    inside the radius are gathered per series. Sets of one window are dropped.
     """
     keys = list(keys)
     zone = m / 2 if ex_zone is None else ex_zone
+    size = max(BLOCK, 4 * m)
     rows = settle(profile.where(F.col("mp").isNotNull() & (F.col("mp") != float("inf"))).select(*keys, "pos", "mp", "mp_idx"))
-    series = settle(series.select(*keys, "pos", "value"))
+    pieces = settle(blocks(series, keys, m, size))
     none = F.array().cast("array<int>")
     state = settle(rows.select(*keys).distinct().withColumns({"__shut": none, "__kept": none}))
     key_types = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys)
     eps = float(np.finfo(float).eps)
+
+    def inside(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                d = window_distances(np.asarray(row.x, float), np.asarray(row.q, float), m)[:, 0]
+                pos = row.start + np.arange(len(d))
+                ok = ~excluded(np.array([row.at]), pos, m)[0] & (d < row.d * radius)
+                for c in row.taken:
+                    ok &= (pos < np.floor(c - zone)) | (pos > np.floor(c + zone))
+                out = pd.DataFrame({"pos": pos[ok], "dist": d[ok]})
+                for k in keys:
+                    out[k] = getattr(row, k)
+                yield out[[*keys, "pos", "dist"]]
+
+    def grow(key, seed: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if seed.empty:
+            return pd.DataFrame(columns=[*keys, "members"])
+        members = [int(v) for v in seed["first"].iloc[0]]
+        chosen: list[int] = []
+        for p in near.sort_values(["dist", "pos"])["pos"]:
+            if n_neighbors is not None and len(members) + len(chosen) >= n_neighbors:
+                break
+            if all(not (np.floor(c - zone) <= p <= np.floor(c + zone)) for c in chosen):
+                chosen.append(int(p))
+        out = pd.DataFrame({"members": [sorted(members + chosen)]})
+        for k, v in zip(keys, key):
+            out[k] = v
+        return out[[*keys, "members"]]
+
     found = None
     for number in range(1, max_motifs + 1):
-        open_rows = rows.join(state, keys).where(_free(F.col("__shut"), zone))
+        open_rows = rows.join(state.select(*keys, "__shut"), keys).where(_free(F.col("__shut"), zone))
         best = open_rows.groupBy(*keys).agg(F.min(F.struct("mp", "pos", "mp_idx")).alias("b"))
         best = best.select(*keys, F.col("b.pos").alias("at"), F.col("b.mp_idx").alias("pair"), F.greatest(F.col("b.mp"), F.lit(eps)).alias("d"))
-        best = settle(best)
-        if best.isEmpty():
+        first = F.array_distinct(F.when(_free(F.col("__shut"), zone, at="pair"), F.array("at", "pair")).otherwise(F.array("at")))
+        seeds = settle(best.join(state, keys).withColumn("first", first))
+        if seeds.isEmpty():
             break
-        pair_open = open_rows.select(*keys, F.col("pos").alias("pair"), F.lit(True).alias("pair_open"))
-        seeds = best.join(pair_open, [*keys, "pair"], "left").join(state, keys)
-        start = F.array_distinct(F.when(F.col("pair_open"), F.array("at", "pair")).otherwise(F.array("at")))
-        seeds = settle(seeds.withColumn("__start", start).select(*keys, "at", "d", "__start", "__shut", "__kept"))
-        near = own_distance_profile(series, keys, seeds.select(*keys, "at"), m).join(seeds, keys)
-        near = near.where((F.col("dist") < F.col("d") * radius) & _free(F.concat("__start", "__kept"), zone))
-        candidates = near.select(*keys, "pos", "dist")
-
-        def grow(key, seed: pd.DataFrame, cand: pd.DataFrame) -> pd.DataFrame:
-            if seed.empty:
-                return pd.DataFrame(columns=[*keys, "members"])
-            members = [int(v) for v in seed["__start"].iloc[0]]
-            chosen: list[int] = []
-            for p in cand.sort_values(["dist", "pos"])["pos"]:
-                if n_neighbors is not None and len(members) + len(chosen) >= n_neighbors:
-                    break
-                if all(not (np.floor(c - zone) <= p <= np.floor(c + zone)) for c in chosen):
-                    chosen.append(int(p))
-            out = pd.DataFrame({"members": [sorted(members + chosen)]})
-            for k, v in zip(keys, key):
-                out[k] = v
-            return out[[*keys, "members"]]
-
-        sets = settle(
-            seeds.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(grow, f"{key_types}, members array<int>")
-        )
+        # the window of a seed lies whole in the block where it begins
+        home = pieces.select(*keys, F.col("start").alias("__home"), F.col("x").alias("__x")).join(seeds.select(*keys, "at"), keys)
+        home = home.where((F.col("at") >= F.col("__home")) & (F.col("at") < F.col("__home") + size))
+        query = home.select(*keys, F.slice("__x", F.col("at") - F.col("__home") + 1, m).alias("q"))
+        asked = seeds.select(*keys, "at", "d", F.concat("first", "__kept").alias("taken")).join(query, keys)
+        near = pieces.select(*keys, "start", "x").join(asked, keys).mapInPandas(inside, f"{key_types}, pos int, dist double")
+        sets = seeds.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInPandas(grow, f"{key_types}, members array<int>")
         real = F.size("members") >= 2
-        rows_out = sets.where(real).join(best, keys).select(
-            *keys, F.lit(number).alias("motif"), F.explode("members").alias("pos"), F.col("d").alias("distance")
-        )
-        found = rows_out if found is None else found.unionByName(rows_out)
-        merged = state.join(sets, keys, "left").withColumn("members", F.coalesce("members", none))
+        grown = state.join(seeds.select(*keys, "d"), keys, "left").join(sets, keys, "left").withColumn("members", F.coalesce("members", none))
         state = settle(
-            merged.select(
+            grown.select(
                 *keys,
+                "d",
+                "members",
                 F.concat("__shut", "members").alias("__shut"),
                 F.when(real, F.concat("__kept", "members")).otherwise(F.col("__kept")).alias("__kept"),
             )
         )
+        rows_out = state.where(real).select(*keys, F.lit(number).alias("motif"), F.explode("members").alias("pos"), F.col("d").alias("distance"))
+        found = rows_out if found is None else found.unionByName(rows_out)
+        state = state.select(*keys, "__shut", "__kept")
     if found is None:
         return rows.select(*keys, F.lit(0).alias("motif"), "pos", F.col("mp").alias("distance")).limit(0)
     return found

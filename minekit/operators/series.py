@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
+from pyspark.sql.window import Window
 
 from minekit.functions.dates import week_start
-from minekit.scale import all_present, attach, one_row, quantiles, settle
+from minekit.scale import all_present, attach, blocks_for, one_row, quantiles, settle
 
 
 def build_series(
@@ -127,6 +131,123 @@ def dtw(pairs: DataFrame, a: str = "a", b: str = "b", out: str = "dtw") -> DataF
     return pairs.withColumn(out, distance(a, b))
 
 
+def dtw_many(a: np.ndarray, others: np.ndarray, band: int | None = None, limit: float = np.inf) -> np.ndarray:
+    """Squared DTW cost of one series against many of one length, an anti-diagonal of all of them at a time.
+
+    Steps stay within ``band`` places of the diagonal (at least the difference of the lengths). A row whose two latest anti-diagonals
+    lie above ``limit`` is given up and has infinity.
+    """
+    n, m = len(a), others.shape[1]
+    reach = n + m if band is None else max(band, abs(n - m))
+    out, rows = np.full(len(others), np.inf), np.arange(len(others))
+    before = np.full((len(others), n + 1), np.inf)
+    last = before.copy()
+    before[:, 0] = 0.0
+    for s in range(2, n + m + 1):
+        low, high = max(1, s - m, -(-(s - reach) // 2)), min(n, s - 1, (s + reach) // 2)
+        now = np.full_like(last, np.inf)
+        i = np.arange(low, high + 1)
+        best = np.minimum(before[:, i - 1], np.minimum(last[:, i - 1], last[:, i]))
+        now[:, i] = (a[i - 1] - others[:, s - i - 1]) ** 2 + best
+        before, last = last, now
+        if s % 8 == 0 and np.isfinite(limit):
+            open_rows = np.minimum(before.min(1), last.min(1)) <= limit
+            if not open_rows.all():
+                before, last, others, rows = before[open_rows], last[open_rows], others[open_rows], rows[open_rows]
+                if not len(rows):
+                    return out
+    out[rows] = last[:, n]
+    return out
+
+
+def envelope_bound(a: np.ndarray, others: np.ndarray, band: int | None = None) -> np.ndarray:
+    """A lower bound of ``dtw_many``: what the others stick out of the range that ``a`` takes within reach, and the two ends."""
+    n, m = len(a), others.shape[1]
+    reach = n + m if band is None else max(band, abs(n - m))
+    places = np.arange(m)
+    left, right = np.maximum(places - reach, 0), np.minimum(places + reach, n - 1)
+    if reach >= max(n, m):
+        top, bottom = np.full(m, a.max()), np.full(m, a.min())
+    else:
+        wide = np.pad(a, (reach, reach), mode="edge")
+        runs = np.lib.stride_tricks.sliding_window_view(wide, 2 * reach + 1)
+        at = np.minimum(places, n - 1)
+        top, bottom = runs.max(1)[at], runs.min(1)[at]
+        for p in range(n, m):  # beyond the end of the shorter one
+            top[p], bottom[p] = a[left[p] : right[p] + 1].max(), a[left[p] : right[p] + 1].min()
+    out = np.maximum(others - top, 0.0) ** 2 + np.maximum(bottom - others, 0.0) ** 2
+    ends = (others[:, 0] - a[0]) ** 2, (others[:, -1] - a[-1]) ** 2
+    out[:, 0] = np.maximum(out[:, 0], ends[0])
+    if m > 1:
+        out[:, -1] = np.maximum(out[:, -1], ends[1])
+    return out.sum(1)
+
+
+def dtw_nearest(
+    arrays: DataFrame, key: str, k: int, *, band: int | None = None, column: str = "series", per_block: int = 256, report: dict | None = None
+) -> DataFrame:
+    """Exact k nearest other series under DTW: ``key, nn_<key>, dist, rank``; ties go to the smaller key.
+
+    Blocks of series meet in tiles that keep the k best per series. A series first meets its own block, whose k-th distance bounds what it
+    asks of the others: a pair whose envelope bound lies above it is skipped, a pair that rises above it is given up. Series
+    may differ in length; empty ones and nulls are left out. ``report`` gets the share ``skipped`` of all pairs, never measured.
+    """
+    data = settle(arrays.select(F.col(key).alias("id"), F.col(column).cast("array<double>").alias("x")).where(F.size("x") > 0))
+    parts = blocks_for(data.count(), per_block)
+    data = settle(data.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")))
+    kind = arrays.schema[key].dataType.simpleString()
+    schema = f"id {kind}, nn {kind}, cost double, measured long"
+
+    def nearest(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        held = held.sort_values("id", ignore_index=True)
+        lengths = held["x"].map(len).to_numpy()
+        groups = [(np.flatnonzero(lengths == n), np.stack(held["x"][lengths == n]).astype(float)) for n in np.unique(lengths)] if len(held) else []
+        names = held["id"].to_numpy()
+        for name, x, limit in zip(asked["id"], asked["x"], asked["limit"]):
+            a, limit = np.asarray(x, float), np.inf if limit is None or np.isnan(limit) else float(limit)
+            found: list[tuple[float, int]] = []
+            measured = 0
+            for at, series in groups:
+                bound = envelope_bound(a, series, band)
+                bound[names[at] == name] = np.inf
+                order = np.argsort(bound, kind="stable")
+                order = order[np.isfinite(bound[order])]
+                for i in range(0, len(order), 32):
+                    some = order[i : i + 32]
+                    some = some[bound[some] <= limit * (1 + 1e-12)]
+                    if not len(some):
+                        break
+                    measured += len(some)
+                    cost = dtw_many(a, series[some], band, limit)
+                    found += [(c, at[j]) for c, j in zip(cost, some) if c <= limit]
+                    found = sorted(found)[:k]
+                    if len(found) == k:
+                        limit = min(limit, found[-1][0])
+            rows += [(name, names[j], c, 0) for c, j in found]
+            rows.append((name, None, None, measured))
+        return pd.DataFrame(rows, columns=["id", "nn", "cost", "measured"], dtype=object)
+
+    best = Window.partitionBy("id").orderBy("cost", "nn")
+    top = lambda t: t.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    again = data.select(*[F.col(c).alias(c) for c in data.columns])  # the same rows as columns of their own
+    found = data.withColumn("limit", F.lit(None).cast("double")).groupBy("block").cogroup(again.groupBy("block")).applyInPandas(nearest, schema)
+    if parts > 1:
+        found = settle(found)
+        first = top(found.where("nn is not null"))
+        limits = first.where(F.col("rank") == k).select("id", F.col("cost").alias("limit"))
+        others = lambda c: F.explode(F.filter(F.sequence(F.lit(0), F.lit(parts - 1)), lambda b: b != F.col("block"))).alias(c)
+        asked = data.join(limits, "id", "left").select("id", "x", "limit", F.col("block").alias("own"), others("other"))
+        held = again.select("id", "x", others("own"), F.col("block").alias("other"))
+        found = settle(found.unionByName(asked.groupBy("own", "other").cogroup(held.groupBy("own", "other")).applyInPandas(nearest, schema)))
+    if report is not None:
+        found = settle(found) if parts == 1 else found
+        n = data.count()
+        report["skipped"] = 1 - (found.agg(F.sum("measured")).first()[0] or 0) / max(1, n * (n - 1))
+    ranked = top(found.where("nn is not null"))
+    return ranked.select(F.col("id").alias(key), F.col("nn").alias(f"nn_{key}"), F.sqrt("cost").alias("dist"), "rank")
+
+
 def _align(a: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums and counts of the values of ``a`` aligned to each position of ``centre``."""
     grid = _dtw_cost(a, centre)
@@ -140,50 +261,59 @@ def _align(a: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, count
 
 
-def dtw_kmeans(arrays: DataFrame, key: str, k: int, max_iter: int = 5, seed: int = 42, column: str = "series") -> tuple[DataFrame, float]:
+def dtw_kmeans(arrays: DataFrame, key: str, k: int, max_iter: int = 50, seed: int = 42, column: str = "series") -> tuple[DataFrame, float]:
     """k-means under DTW with barycentre updates: (``key, cluster, distance``, inertia).
 
-    A round sends the k centres to the tasks; each task adds up its aligned values per (cluster, position)
-    and only those sums are shuffled.
+    A round sends the k centres to the tasks; a task measures its series against a centre together, and adds up its aligned
+    values per (cluster, position); only those sums are shuffled. Rounds end when the inertia no longer falls; the best centres stay.
     """
     data = settle(arrays.select(key, column))
     first = data.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(k).collect()
     centres = [np.asarray(r[column], float) for r in first]
     id_type = arrays.schema[key].dataType.simpleString()
 
-    def nearest(x: np.ndarray, held) -> tuple[int, float]:
-        costs = [_dtw_cost(x, c)[-1, -1] for c in held]
-        best = int(np.argmin(costs))
-        return best, float(np.sqrt(costs[best]))
-
+    def nearest(series: list[np.ndarray], held) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the nearest centre and the cost of each series."""
+        cost = np.empty((len(held), len(series)))
+        lengths = np.array([len(x) for x in series])
+        for n in np.unique(lengths):
+            at = np.flatnonzero(lengths == n)
+            together = np.stack([series[i] for i in at])
+            for c, centre in enumerate(held):
+                cost[c, at] = dtw_many(centre, together)
+        best = cost.argmin(0)
+        return best, cost[best, np.arange(len(series))]
+
+    best, lowest = centres, np.inf
     for _ in range(max_iter):
 
         def sums(batches, held=tuple(centres)):
             for pdf in batches:
                 add: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-                for x in pdf[column]:
-                    x = np.asarray(x, float)
-                    c, _ = nearest(x, held)
+                series = [np.asarray(x, float) for x in pdf[column]]
+                at, cost = nearest(series, held)
+                for x, c in zip(series, at.tolist()):
                     t, n = _align(x, held[c])
                     old = add.get(c, (0, 0))
                     add[c] = (old[0] + t, old[1] + n)
                 rows = [(c, p, t[p], n[p]) for c, (t, n) in add.items() for p in range(len(t))]
-                yield pd.DataFrame(rows, columns=["cluster", "pos", "total", "n"])
+                yield pd.DataFrame([*rows, (-1, 0, float(cost.sum()), 0.0)], columns=["cluster", "pos", "total", "n"])
 
         parts = data.mapInPandas(sums, "cluster int, pos int, total double, n double")
         merged = parts.groupBy("cluster", "pos").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect()
-        new = [c.copy() for c in centres]
-        for r in merged:
-            new[r["cluster"]][r["pos"]] = r["total"] / max(r["n"], 1)
-        moved = max(float(np.abs(a - b).max()) for a, b in zip(new, centres))
-        centres = new
-        if moved < 1e-9:
+        inertia = sum(r["total"] for r in merged if r["cluster"] < 0)
+        if inertia >= lowest * (1 - 1e-9):
             break
+        best, lowest = centres, inertia
+        centres = [c.copy() for c in centres]
+        for r in merged:
+            if r["cluster"] >= 0:
+                centres[r["cluster"]][r["pos"]] = r["total"] / max(r["n"], 1)
 
-    def label(batches, held=tuple(centres)):
+    def label(batches, held=tuple(best)):
         for pdf in batches:
-            found = [nearest(np.asarray(x, float), held) for x in pdf[column]]
-            yield pd.DataFrame({key: pdf[key], "cluster": [c for c, _ in found], "distance": [d for _, d in found]})
+            at, cost = nearest([np.asarray(x, float) for x in pdf[column]], held)
+            yield pd.DataFrame({key: pdf[key], "cluster": at, "distance": np.sqrt(cost)})
 
     out = settle(data.mapInPandas(label, f"{key} {id_type}, cluster int, distance double"))
     return out, float(out.agg(F.avg(F.pow("distance", 2))).first()[0] or 0.0)
@@ -264,6 +394,111 @@ def kernel_features(arrays: DataFrame, key: str, n: int = 100, seed: int = 42, c
     return arrays.select(key, column).mapInPandas(respond, f"{key} {id_type}, features array<double>")
 
 
+@dataclass
+class RidgeModel:
+    """One-against-all ridge scores: ``(x - mean) / scale @ weights + offset`` per class."""
+
+    classes: list
+    mean: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
+    offset: np.ndarray
+    alpha: float
+    errors: dict[float, float]  # mean squared leave-one-out error by penalty
+
+
+def _summed(parts: DataFrame, fan: int = 16) -> np.ndarray:
+    """Sum of the arrays ``v`` of ``part, v``, added in groups of ``fan`` until one is left."""
+
+    def add(keys, table):
+        total = sum(np.asarray(v.values) for v in table.column("v"))
+        return pa.table({"part": pa.array([keys[0].as_py()], pa.int64()), "v": pa.array([total], pa.list_(pa.float64()))})
+
+    parts = settle(parts)
+    while parts.count() > 1:
+        parts = settle(parts.groupBy(F.expr(f"part div {fan}").alias("up")).applyInArrow(add, "part long, v array<double>"))
+    row = parts.first()
+    return np.array(row["v"] if row else [])
+
+
+def _per_task(df: DataFrame, work, size: int) -> DataFrame:
+    """``part, v``: per task the sum of the flat arrays that ``work(x, y)`` gives for its blocks of rows."""
+
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            d = len(batch.column("x")[0]) if batch.num_rows else 0
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                total += work(x, part.column("y").to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total], pa.list_(pa.float64()))], names=["part", "v"])
+
+    return df.select("x", "y").mapInArrow(run, "part long, v array<double>")
+
+
+def ridge_classifier(df: DataFrame, features: str, label: str, alphas: Sequence[float] = tuple(10.0**e for e in range(-3, 4))) -> RidgeModel:
+    """Ridge regression on class indicators (+1/-1), the penalty chosen by leave-one-out error.
+
+    Two passes: tasks add up sums and products of the features (a matrix of their number squared, whatever the number of rows); one
+    eigendecomposition of it serves all penalties, and the second pass adds up every row's leave-one-out residual for each of them.
+    Rows with a null feature array or label teach nothing.
+    """
+    rows = df.select(F.col(features).cast("array<double>").alias("x"), F.col(label).alias("label")).where("x is not null and label is not null")
+    classes = sorted(r["label"] for r in rows.select("label").distinct().collect())
+    if len(classes) < 2:
+        raise ValueError("a classifier needs two classes")
+    number = F.create_map(*[v for i, c in enumerate(classes) for v in (F.lit(c), F.lit(i))])
+    data = settle(rows.select("x", F.element_at(number, F.col("label")).alias("y")))
+    d, k = len(data.first()["x"]), len(classes)
+
+    def first(x, y):
+        return np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)])
+
+    sums = _summed(_per_task(data, first, 1 + 2 * d))
+    n, mean = sums[0], sums[1 : d + 1] / sums[0]
+    scale = np.sqrt(np.maximum(sums[d + 1 :] / n - mean**2, 0.0))
+    scale[scale <= 1e-12 * np.maximum(1.0, np.abs(mean))] = 1.0
+
+    def products(x, y):
+        z, t = (x - mean) / scale, 2.0 * np.eye(k)[y] - 1
+        return np.concatenate([(z.T @ z).ravel(), (z.T @ t).ravel(), t.sum(0), z.sum(0)])
+
+    flat = _summed(_per_task(data, products, d * d + d * k + k + d))
+    gram, cross, level, rest = np.split(flat, [d * d, d * d + d * k, d * d + d * k + k])
+    gram, cross, level = gram.reshape(d, d), cross.reshape(d, k), level / n
+    cross -= np.outer(rest, level)
+    values, vectors = np.linalg.eigh(gram - np.outer(rest, rest) / n)
+    values, turned = np.maximum(values, 0.0), vectors.T @ cross
+    fits = [vectors @ (turned / (values + a)[:, None]) for a in alphas]
+
+    def left_out(x, y):
+        z, t = (x - mean) / scale, 2.0 * np.eye(k)[y] - 1
+        along, out = (z @ vectors) ** 2, []
+        for a, w in zip(alphas, fits):
+            own = 1 - 1 / n - (along / (values + a)).sum(1)
+            out.append((((t - level - z @ w) / np.maximum(own, 1e-12)[:, None]) ** 2).sum())
+        return np.array(out)
+
+    errors = dict(zip(map(float, alphas), (_summed(_per_task(data, left_out, len(alphas))) / (n * k)).tolist()))
+    alpha = min(errors, key=lambda a: (errors[a], -a))
+    return RidgeModel(classes, mean, scale, fits[list(map(float, alphas)).index(alpha)], level, alpha, errors)
+
+
+def ridge_scores(df: DataFrame, features: str, model: RidgeModel, out: str = "predicted", scores: str = "scores") -> DataFrame:
+    """``df`` with the score of every class (array in the order of ``model.classes``) and the class with the highest; ties go to the first."""
+    kind = "array<double>"
+
+    @F.pandas_udf(kind)
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else ((np.asarray(v, float) - model.mean) / model.scale @ model.weights + model.offset).tolist() for v in x])
+
+    scored = df.withColumn(scores, F.when(F.col(features).isNotNull(), score(F.col(features).cast(kind))))
+    best = F.array_position(F.col(scores), F.array_max(scores))
+    named = F.element_at(F.array(*map(F.lit, model.classes)), F.greatest(best, F.lit(1)).cast("int"))
+    return scored.withColumn(out, F.when(F.col(scores).isNotNull(), named))
+
+
 def apply_kernel(series: DataFrame, keys: Sequence[str], kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str, order: str = "t") -> DataFrame:
     """Any function of one series: ``kernel`` gets its rows in order and returns rows of ``schema``.
 

@@ -975,7 +975,11 @@ def dates_nulled(t):
     return _repaired(t, "null")
 
 
-@query("DT4")
+_EPOCH = "DATE '1970-01-01'"
+_DRAW = f"({profile.row_hash_sql(f'o_orderdate::DATE - {_EPOCH}', 0)}) % ((SELECT max(d) FROM v) - (SELECT min(d) FROM v) + 1)"
+
+
+@query("DT4", _repair("random", f"{_EPOCH} + ((SELECT min(d) FROM v) - {_EPOCH} + {_DRAW})::INT"))
 def dates_random_filled(t):
     return _repaired(t, "random")
 

@@ -206,7 +206,7 @@ def location_kth_distance(t):
 
 @query("CL7")
 def location_som(t):
-    placed, _ = cluster_fit.som(located(t), ["lat", "lon"], 3, 3, epochs=5)
+    placed, _ = cluster_fit.som(located(t), ["lat", "lon"], 3, 3)
     return cluster_fit.award_matrix(placed)
 
 
@@ -337,9 +337,25 @@ def flag_flow(t):
     return cluster_scores.label_flow(t.lineitem, ["l_returnflag", "l_linestatus", "l_linenumber"])
 
 
-@query("CL16")
+RANDOM_KS, RANDOM_RUNS = [2, 4, 8], 10
+
+
+@query(
+    "CL16",
+    f"""WITH h AS ({" UNION ALL ".join(f"SELECT {n} AS run, vec_id, ({row_hash_sql('vec_id', 1000 + n)}) >> 8 AS h, embedding FROM embeddings" for n in range(RANDOM_RUNS))}),
+        l AS (SELECT run, k, vec_id, h % k AS label, embedding::DOUBLE[] AS x FROM h, (SELECT unnest({RANDOM_KS}) AS k)),
+        u AS (SELECT run, k, label, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM l),
+        d AS (SELECT run, k, label, i, sum(v) AS v, count(*) AS n, sum(v * v) AS q FROM u GROUP BY 1, 2, 3, 4),
+        c AS (SELECT run, k, label, list(v ORDER BY i) AS total, any_value(n) AS n, sum(q) AS squares FROM d GROUP BY 1, 2, 3),
+        m AS (SELECT l.run, l.k, vec_id, l.label = c.label AS own, c.n, (list_dot_product(x, x) * c.n + squares - 2 * list_dot_product(x, total))
+          / CASE WHEN l.label = c.label THEN greatest(c.n - 1, 1) ELSE c.n END AS d FROM l JOIN c ON l.run = c.run AND l.k = c.k),
+        ab AS (SELECT run, k, vec_id, max(d) FILTER (own) AS a, min(d) FILTER (NOT own) AS b, max(n) FILTER (own) AS n FROM m GROUP BY 1, 2, 3),
+        s AS (SELECT run, k, avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END) AS s FROM ab GROUP BY 1, 2)
+      SELECT k::INT AS k, round(avg(s), 6) AS mean, round(stddev_pop(s), 6) AS std, count(*)::BIGINT AS runs FROM s GROUP BY 1""",
+)
 def random_labels(t):
-    return cluster_scores.random_label_baseline(vectors(t), E_COLS, "vec_id", 4, runs=3)
+    out = cluster_scores.random_label_baseline(vectors(t), E_COLS, "vec_id", RANDOM_KS, RANDOM_RUNS)
+    return out.select("k", r("mean"), r("std"), "runs")
 
 
 @query(

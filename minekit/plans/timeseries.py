@@ -102,9 +102,14 @@ def dtw_neighbours(t):
     return ser.dtw(_neighbour_pairs(t)).select("user_id", "dtw")
 
 
+@query("TS7")
+def dtw_nearest(t):
+    return ser.dtw_nearest(ser.to_arrays(daily(t), ["user_id"]), "user_id", 3, band=7)
+
+
 @query("TS8")
 def dtw_clusters(t):
-    return ser.dtw_kmeans(ser.to_arrays(daily(t), ["user_id"]), "user_id", 3, max_iter=2)[0]
+    return ser.dtw_kmeans(ser.to_arrays(daily(t), ["user_id"]), "user_id", 3)[0]
 
 
 ACF = f"""{DAILY}, m AS (SELECT user_id, avg(value) AS mu FROM s GROUP BY 1), x AS (SELECT s.user_id, t, value - mu AS x FROM s JOIN m USING (user_id)),
@@ -217,7 +222,7 @@ def annotated_profile(t):
 @query("TS15")
 def event_motifs(t):
     s = settle(event_series(t).select("user_id", "pos", "value"))
-    return mpf.motifs(mpf.matrix_profile(s, ["user_id"], M), s, ["user_id"], M, max_motifs=2)
+    return mpf.motifs(mpf.matrix_profile(s, ["user_id"], M), s, ["user_id"], M, max_motifs=5)
 
 
 @query(
@@ -284,7 +289,7 @@ def daily_shapelets(t):
 
 @query("TS21")
 def daily_kernels(t):
-    return ser.kernel_features(ser.to_arrays(daily(t), ["user_id"]), "user_id", 10)
+    return ser.kernel_features(ser.to_arrays(daily(t), ["user_id"]), "user_id", 500)
 
 
 @query(
@@ -301,6 +306,16 @@ def peak_in_and_out(t):
     return out.select("user_id", "inside", "n", r("mean"), r("min"), r("max"))
 
 
+@query("TS21")
+def kernel_classes(t):
+    """The most frequent event type of each user, told from 500 random kernels of the daily series."""
+    features = settle(ser.kernel_features(ser.to_arrays(daily(t), ["user_id"]), "user_id", 500))
+    busy = t.events.groupBy("user_id").agg(F.mode("event_type", True).alias("label"))
+    known = features.join(busy, "user_id")
+    model = ser.ridge_classifier(known, "features", "label")
+    return ser.ridge_scores(known, "features", model).select("user_id", "label", "predicted", "scores")
+
+
 @query(
     "U3",
     f"""WITH {DAILY} SELECT user_id, count(*)::BIGINT AS n, round(max(value) - min(value), 6) AS span, round(arg_max(value, t) - arg_min(value, t), 6) AS rise

@@ -338,3 +338,26 @@ def test_spearman_with_and_without_nulls(spark):
         for (x, y), rho in got.items():
             both = frame[[x, y]].dropna().rank()
             assert rho == pytest.approx(both[x].corr(both[y]), abs=1e-12)
+
+
+def test_scores_of_many_clusters(spark, monkeypatch):
+    """More clusters than a row may look through give the same scores, alone ones and a null label among them."""
+    rng = np.random.default_rng(8)
+    centres = rng.uniform(-50, 50, (40, 3))
+    rows = [(i, *map(float, centres[i % 40] + rng.normal(size=3)), None if i == 7 else f"c{i % 40}") for i in range(300)] + [(900, 0.0, 0.0, 0.0, "alone"), (901, 1.0, None, 0.0, "c1")]
+    df = spark.createDataFrame(rows, "i int, x double, y double, z double, c string")
+    full = df.where("y is not null")
+    want = {r["i"]: r["silhouette"] for r in cluster_scores.silhouette(full.where("c is not null"), ["x", "y", "z"], "c").collect()}
+    bouldin = cluster_scores.davies_bouldin(full.where("c is not null"), ["x", "y", "z"], "c").first()[0]
+    monkeypatch.setattr(cluster_scores, "MANY", 5)
+    got = {r["i"]: r["silhouette"] for r in cluster_scores.silhouette(full.where("c is not null"), ["x", "y", "z"], "c").collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want) and got[900] == 0.0
+    assert cluster_scores.davies_bouldin(full.where("c is not null"), ["x", "y", "z"], "c").first()[0] == pytest.approx(bouldin, rel=1e-9)
+    assert cluster_scores.silhouette(df, ["x", "y", "z"], "c").where("i in (7, 901) and silhouette is not null").count() == 0
+
+
+def test_silhouette_of_20_000_clusters(spark):
+    i = F.col("id")
+    df = spark.range(60_000).select(i, (i % 20_000).alias("c"), ((i % 20_000) % 141 + (i % 7) / 100).alias("x"), F.floor((i % 20_000) / 141).cast("double").alias("y"))
+    out = cluster_scores.silhouette(df, ["x", "y"], "c")
+    assert out.agg(F.count("silhouette")).first()[0] == 60_000 and out.where("silhouette < 0.9").count() == 0
