@@ -2,8 +2,9 @@
 
 Each word votes on 64 signed bits with the bits of its hash, weighted by its length up to ``HEAVY`` letters; a word that
 occurs twice votes twice. Two votes are counted in one long, so a text gives 32 sums. Fingerprints within
-``RADIUS`` bits agree in at least five of eight blocks, so 56 tables, each keyed by five of the blocks, hold every such pair
-in a common bucket.
+``RADIUS`` bits agree in at least three of six blocks, so 20 tables, each keyed by three of the blocks, hold every such pair
+in a common bucket. From ``FEW`` fingerprints on, when 32 bits of a key no longer tell most of them apart, there are eight blocks and 56
+tables of 40 bits.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql.window import Window
 from minekit.llm.graph import components
 from minekit.scale import settle
 
-HEAVY, RADIUS, BLOCKS = 8, 3, 8
+HEAVY, RADIUS = 8, 3
+FEW = 1 << 31  # distinct fingerprints that the smaller set of tables serves
 WORD = r"[\p{L}\p{N}]+"
 _PAIR = 0x100000001
 
@@ -111,22 +113,25 @@ def fingerprint_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", following.alias("next_fingerprint"))
 
 
-def fingerprint_classes(prints: DataFrame, *, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def fingerprint_classes(prints: DataFrame, *, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """``fingerprint, class`` for the distinct values of ``fingerprint``: those within ``radius`` bits of each other, and whoever
     they lead to, share a class, named by its smallest fingerprint.
 
-    The bits are cut into ``blocks`` blocks; a table for each choice of ``blocks - radius`` of them holds the fingerprints by
+    The bits are cut into ``blocks`` blocks (chosen by the number of fingerprints unless given; the classes are the same); a table for each choice of ``blocks - radius`` of them holds the fingerprints by
     the bits of these blocks. In a bucket the fingerprint of most rows is first compared with all others; those that one
     component joins by then need not meet, the rest do. Null fingerprints have no row.
     """
     values = settle(prints.where("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias("rows")))
+    blocks = blocks or (max(radius + 1, 2 * radius) if values.count() < FEW else 2 * radius + 2)
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = []
     for chosen in combinations(range(blocks), blocks - radius):
         mask = sum(((1 << (cuts[c + 1] - cuts[c])) - 1) << cuts[c] for c in chosen)
         masks.append(mask - (1 << 64) if mask >> 63 else mask)
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fingerprint").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
-    tables = values.select(F.explode(keys).alias("bucket"), "fingerprint", "rows")
+    # few bytes, but many rows when exploded: a fixed number of tasks
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tables = values.repartition(tasks, "fingerprint").select(F.explode(keys).alias("bucket"), "fingerprint", "rows")
     # nearly all buckets hold one fingerprint and end here
     crowded = tables.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     shared = settle(tables.join(crowded, "bucket"))

@@ -488,6 +488,34 @@ def test_fingerprints_like_brute_force(spark, small):
     assert len({(root(p), r["near_class"]) for p, r in zip(prints, rows)}) == len({root(p) for p in prints})
 
 
+@pytest.mark.parametrize("blocks", [None, 4, 8])
+def test_classes_for_any_number_of_blocks(spark, blocks):
+    rng = random.Random(3)
+    prints = [rng.getrandbits(64) for _ in range(60)]
+    for p in list(prints):  # chains of neighbours, and pairs just outside the radius
+        for flips in (1, 3, 4):
+            prints.append(p ^ sum(1 << b for b in rng.sample(range(64), flips)))
+    prints += [prints[0]] * 50
+    up = {p: p for p in prints}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(up), 2):
+        if (a ^ b).bit_count() <= 3:
+            up[root(a)] = root(b)
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    df = spark.createDataFrame([(signed(p),) for p in prints] + [(None,)], "fingerprint long")
+    got = {r["fingerprint"]: r["class"] for r in simhash.fingerprint_classes(df, blocks=blocks).collect()}
+    assert got.keys() == {signed(p) for p in up}
+    members = {}
+    for p in up:
+        members.setdefault(root(p), []).append(signed(p))
+    assert all({got[m] for m in ms} == {min(ms)} for ms in members.values())
+
+
 def test_votes(spark):
     rows = spark.createDataFrame([(1, "aa"), (1, "bb"), (1, "bb"), (2, None)], "k long, term string")
     got = {r["k"]: r["fingerprint"] for r in simhash.fingerprints(rows, ["k"], "term").collect()}
