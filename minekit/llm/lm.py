@@ -26,6 +26,7 @@ from minekit.scale import fresh_path
 
 CHUNK_BYTES = 3 << 20
 SHARD_TOKENS = 1_500_000
+LOOK_UP = 1 << 16  # pairs looked up at once
 HOT = 1000
 MASS = 8.0  # M above
 WORD_BITS = 40  # of a successor's hash, inside its context
@@ -330,9 +331,11 @@ def score_texts(docs: DataFrame, held_out: Column, *, doc_id: str = "doc_id", te
         trie = Trie(Trie.build(u, w, code))
         vocabulary, where = np.unique(np.concatenate(names), return_inverse=True)
         used = np.bincount(where, np.concatenate(uses), len(vocabulary)).astype(np.int64)
+        # pairs of many chunks are looked up together: a look-up is some hundred array calls, however few pairs a chunk has here
+        found = np.concatenate([trie.look_up(context[i : i + LOOK_UP], word[i : i + LOOK_UP]) for i in range(0, max(1, len(context)), LOOK_UP)])
         codes, totals, a, b = [], [], 0, 0
         for c, v in zip(contexts, names):
-            codes.append(packed(trie.look_up(context[a : a + len(c)], word[a : a + len(c)])))
+            codes.append(packed(found[a : a + len(c)]))
             totals.append(packed(used[where[b : b + len(v)]]))
             a, b = a + len(c), b + len(v)
         k = len(rows)

@@ -288,6 +288,24 @@ def test_scores_of_odd_rows(odd, empty):
     assert lm.score_texts(empty, F.lit(False)).count() == 0
 
 
+def test_pairs_of_all_chunks_are_looked_up_together(spark, small, monkeypatch, tmp_path):
+    calls, real = str(tmp_path / "calls"), lm.Trie.look_up
+
+    def counted(self, context, word):
+        with open(calls, "a") as f:
+            f.write(".")
+        return real(self, context, word)
+
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 1 << 13)  # some twenty chunks
+    expected = {r["doc_id"]: r["score"] for r in lm.score_texts(small, F.lit(False)).collect()}
+    monkeypatch.setattr(lm.Trie, "look_up", counted)
+    lm.score_texts(small, F.lit(False)).collect()
+    assert len(open(calls).read()) <= 3  # one shard
+    monkeypatch.setattr(lm.Trie, "look_up", real)
+    monkeypatch.setattr(lm, "LOOK_UP", 100)
+    assert {r["doc_id"]: r["score"] for r in lm.score_texts(small, F.lit(False)).collect()} == expected
+
+
 def test_elias_fano():
     rng = np.random.default_rng(6)
     for top, n in ((1, 5), (50, 400), (1 << 40, 1000), ((1 << 61) + 7, 300), (0, 3)):
