@@ -102,3 +102,30 @@ def test_dtw_kmeans_finds_shapes(spark):
     assert inertia == pytest.approx(np.mean([r["distance"] ** 2 for r in got.values()]))
     once, first = ser.dtw_kmeans(arrays, "k", 2, max_iter=1)
     assert inertia <= first + 1e-9 and ser.dtw_kmeans(arrays.limit(0), "k", 2)[0].count() == 0
+
+
+def test_align_many_like_one_at_a_time():
+    rng = np.random.default_rng(8)
+    series, centre = rng.integers(0, 4, (40, 9)).astype(float), rng.normal(size=7)
+    total, count = np.zeros(7), np.zeros(7)
+    for x in series:
+        grid, i, j = ser._dtw_cost(x, centre), len(x), len(centre)
+        while i > 0 and j > 0:
+            total[j - 1] += x[i - 1]
+            count[j - 1] += 1
+            step = int(np.argmin([grid[i - 1, j - 1], grid[i - 1, j], grid[i, j - 1]]))
+            i, j = i - (step != 2), j - (step != 1)
+    got = ser._align_many(series, centre)
+    assert np.allclose(got[0], total) and (got[1] == count).all()
+    assert not ser._align_many(np.zeros((3, 0)), centre)[1].any()
+
+
+def test_dtw_given_up_by_what_is_left():
+    rng = np.random.default_rng(9)
+    a = rng.normal(size=30)
+    for m, band in ((30, 5), (30, None), (24, 3), (33, 7)):
+        others = rng.normal(size=(300, m)) * rng.uniform(0.2, 3, (300, 1))
+        whole = ser.dtw_many(a, others, band)
+        limit = np.sort(whole)[10]
+        cut = ser.dtw_many(a, others, band, limit, ser.outside(a, others, band))
+        assert (cut[whole <= limit] == whole[whole <= limit]).all() and np.isinf(cut).sum() > 100
