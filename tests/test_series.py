@@ -129,3 +129,23 @@ def test_dtw_given_up_by_what_is_left():
         limit = np.sort(whole)[10]
         cut = ser.dtw_many(a, others, band, limit, ser.outside(a, others, band))
         assert (cut[whole <= limit] == whole[whole <= limit]).all() and np.isinf(cut).sum() > 100
+
+
+def test_kernels_like_one_series_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    data = [rng.normal(size=int(n)) for n in rng.integers(3, 40, 30)]
+    arrays = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)], "k long, series array<double>").coalesce(1)
+    monkeypatch.setattr(ser, "KERNEL_CELLS", 64)  # some series of one length at a time
+    got = {r["k"]: np.array(r["features"]) for r in ser.kernel_features(arrays, "k", 20, seed=5).collect()}
+    rng = np.random.default_rng(5)
+    for k in range(20):
+        size = int(rng.choice([7, 9, 11]))
+        w = rng.normal(size=size)
+        w, bias, u, pad = w - w.mean(), float(rng.uniform(-1, 1)), float(rng.uniform()), bool(rng.integers(2))
+        for i, x in enumerate(data):
+            step = max(int(2 ** (u * np.log2(max((len(x) - 1) / (size - 1), 1.0)))), 1)
+            reach = (size - 1) * step
+            y = np.pad(x, reach // 2) if pad or len(x) <= reach else x
+            y = np.pad(y, (0, max(0, reach + 1 - len(y))))
+            r = np.array([y[p : p + reach + 1 : step] @ w + bias for p in range(len(y) - reach)])
+            assert np.allclose(got[i][2 * k : 2 * k + 2], [r.max(), (r > 0).mean()], atol=1e-9)
