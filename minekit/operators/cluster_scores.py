@@ -117,9 +117,19 @@ def silhouette_euclidean(
         a, b = np.stack(p["v"]), np.stack(q["v"])
         labels, code = np.unique(q["label"].to_numpy(str), return_inverse=True)
         hot = np.eye(len(labels))[code]
-        sums = np.vstack(
-            [np.sqrt(((a[i : i + 64, None, :] - b[None]) ** 2).sum(2)) @ hot for i in range(0, len(a), 64)]
-        )
+        sums = np.empty((len(a), len(labels)))
+        lengths, wide = (b**2).sum(1), (a**2).sum(1)
+        for i in range(0, len(a), 256):
+            part = a[i : i + 256]
+            d = part @ (-2.0 * b.T)
+            d += wide[i : i + 256, None]
+            d += lengths
+            # there the short form is not exact enough, for copies above all
+            near = np.nonzero(d <= 1e-5 * (wide[i : i + 256, None] + lengths))
+            for at in range(0, len(near[0]), 1 << 14):
+                r, c = near[0][at : at + (1 << 14)], near[1][at : at + (1 << 14)]
+                d[r, c] = ((part[r] - b[c]) ** 2).sum(1)
+            sums[i : i + 256] = np.sqrt(d, out=d) @ hot
         return pd.DataFrame(
             {
                 "id": np.repeat(p["id"].to_numpy(), len(labels)),
