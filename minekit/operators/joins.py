@@ -268,11 +268,13 @@ def knn_grid(
     k: int,
     block: Sequence[str] = (),
     per_cell: int = 4096,
+    per_point: int = 2,
     strict: bool = False,
 ) -> DataFrame:
     """Exact k nearest neighbours in 1 to 3 dimensions: ``query_id, ref_id, dist, rank``.
 
-    Cells halve in size from the extent of all points until no cell holds more than ``per_cell`` reference locations.
+    Cells halve in size from the extent of all points until no cell holds more than ``per_cell`` reference points, and a reference
+    point shares its cell with ``per_point`` * k of them on average, however the points lie.
       1. For every query cell, the finest level whose 3^d neighbourhood holds k reference points is
          found from cell counts; the k nearest points in it bound the true distance by r.
       2. Everything within r lies in the 3^d neighbourhood at the level with cells just above r.
@@ -321,9 +323,12 @@ def knn_grid(
     levels = max(1, math.ceil(math.log2(n / 64 + 1) / dims))
     while levels < _DEEPEST:
         finest = spots.groupBy(*block, *[cell(F.lit(levels), c) for c in coords]).count()
-        if (finest.agg(F.max("count")).first()[0] or 0) <= per_cell:
+        held = finest.agg(F.max("count"), F.sum(F.col("count") * F.col("count")), F.sum("count")).first()
+        # points on a curve or surface, or in few places, fill few cells: what a point finds in its own cell counts, not the mean cell
+        if (held[0] or 0) <= per_cell and (held[1] or 0) <= per_point * keep * (held[2] or 0):
             break
-        levels = min(_DEEPEST, levels + 3)
+        crowd = max((held[0] or 0) / per_cell, (held[1] or 0) / max(1, per_point * keep * (held[2] or 0)))
+        levels = min(_DEEPEST, levels + max(2, math.ceil(math.log2(crowd) / dims)))  # a level parts a cell in 2^dims at most
     every = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("__level")
     ref_cells = settle(at_levels(spots))
     cell_keys = [*block, "__level", *axes]

@@ -361,3 +361,27 @@ def test_silhouette_of_20_000_clusters(spark):
     df = spark.range(60_000).select(i, (i % 20_000).alias("c"), ((i % 20_000) % 141 + (i % 7) / 100).alias("x"), F.floor((i % 20_000) / 141).cast("double").alias("y"))
     out = cluster_scores.silhouette(df, ["x", "y"], "c")
     assert out.agg(F.count("silhouette")).first()[0] == 60_000 and out.where("silhouette < 0.9").count() == 0
+
+
+def test_grid_is_cut_by_what_a_point_meets(spark):
+    """Points on a line fill few of the cells of a plane; finer cells keep the pairs few, at the same result."""
+    rows = [(i, float(i % 2000), float(i % 2000) + (i // 2000) * 0.1) for i in range(4000)]
+    df = spark.createDataFrame(rows, "i long, x double, y double")
+    kept = []
+    for fine in (10**6, 2):
+        out = joins.knn_grid(df, df.withColumnRenamed("i", "r"), query_id="i", ref_id="r", coords=["x", "y"], k=2, strict=True, per_point=fine)
+        kept.append(sorted(map(tuple, out.collect())))
+    assert kept[0] == kept[1] and len(kept[0]) == 8000
+
+
+def test_exact_silhouettes_of_copies_and_far_points(spark):
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(30, 3)) + 1e5, np.full((4, 3), 1e5), rng.normal(size=(20, 3)) * 1e-3 + 1e5])
+    label = np.arange(len(x)) % 3
+    df = spark.createDataFrame([(i, str(c), *map(float, v)) for i, (c, v) in enumerate(zip(label, x))], "i long, g string, a double, b double, c double")
+    got = {r["i"]: r["silhouette"] for r in cluster_scores.silhouette_euclidean(df, ["a", "b", "c"], "g", "i", per_block=16).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for i in range(len(x)):
+        mean = [d[i, label == c].sum() / ((label == c).sum() - (c == label[i])) for c in range(3)]
+        own, other = mean[label[i]], min(m for c, m in enumerate(mean) if c != label[i])
+        assert abs(got[i] - (other - own) / max(own, other)) < 1e-9
