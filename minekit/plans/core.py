@@ -600,7 +600,10 @@ def _ratio_sql() -> str:
 
 @query("W1 U1", _ratio_sql())
 def window_ratio_table(t):
-    out = indicators.window_ratios(settle(order_lines(t)), ["y", "h", "l_returnflag", "l_suppkey"], _FEATURES)
+    ids, keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], ["y", "h", "l_returnflag", "l_suppkey"]
+    used = dict.fromkeys([*ids, *keys, *[x for x, _ in _FEATURES.values()]])
+    # a written table keeps all its columns, so the others are left out before the join
+    out = indicators.window_ratios(settle(order_lines(t).select(*used)), keys, _FEATURES)
     return out.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *[r(o, 9) for o in _FEATURES]
     )
