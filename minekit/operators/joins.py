@@ -414,6 +414,11 @@ def knn_geo(
     return chord.withColumn("dist", 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.col("dist") / 2)))
 
 
+def _stacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of equally long lists as a matrix of doubles."""
+    return np.stack(column.to_numpy(zero_copy_only=False)).astype(float)
+
+
 def _to_pivots(rows: np.ndarray, pivots: np.ndarray, p: int) -> np.ndarray:
     """Distances of rows to pivots."""
     if p == 1:
@@ -422,6 +427,112 @@ def _to_pivots(rows: np.ndarray, pivots: np.ndarray, p: int) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0.0))
 
 
+def _exact_distances(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
+    """Distances of the rows of ``a`` to the same rows of ``b``."""
+    gap = b - a
+    return np.sqrt((gap**2).sum(1)) if p == 2 else np.abs(gap).sum(1)
+
+
+class _Scores:
+    """A score of every pair of rows and, per row of ``a``, an edge: pairs within a limit score the edge at most.
+
+    Euclidean scores come from one matrix product. Manhattan scores are sums of whole numbers: entries are cut off at the usual range
+    and rounded to steps, which makes no distance longer by more than a step per dimension.
+    """
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, p: int):
+        self.a, self.b, self.p, self.dims = a, b, p, b.shape[1]
+        levels = min(65535 // max(1, self.dims), 32767)
+        self.whole = p == 1 and levels >= 32
+        if p == 2:
+            self.squares = (b**2).sum(1)
+            self.wide = np.column_stack([-2 * b, self.squares]).T.copy()
+        elif self.whole:
+            usual = np.nan_to_num(b[:: max(1, len(b) // 4096)])
+            low, high = np.quantile(usual, [0.001, 0.999], axis=0)
+            self.step = float((high - low).max()) / levels or 1.0
+            cut = lambda x: np.rint((np.clip(np.nan_to_num(x), low, low + self.step * levels) - low) / self.step).astype(np.int16)
+            self.qa, self.qb = cut(a), np.ascontiguousarray(cut(b).T)
+
+    def of(self, rows: np.ndarray, refs: slice) -> np.ndarray:
+        if self.p == 2:
+            return np.column_stack([self.a[rows], np.ones(len(rows))]) @ self.wide[:, refs]
+        if not self.whole:
+            return _to_pivots(self.a[rows], self.b[refs], 1)
+        own, other = self.qa[rows], self.qb[:, refs]
+        total, gap = np.zeros((len(own), other.shape[1]), np.uint16), np.empty((len(own), other.shape[1]), np.int16)
+        for i in range(self.dims):
+            np.subtract(own[:, i, None], other[i], out=gap)
+            np.abs(gap, out=gap)
+            np.add(total, gap.view(np.uint16), out=total)
+        return total
+
+    def edge(self, rows: np.ndarray, refs: slice, limit: np.ndarray) -> np.ndarray:
+        if self.p == 2:
+            own = (self.a[rows] ** 2).sum(1)
+            rounding = 1e-9 * (own + np.nan_to_num(self.squares[refs], posinf=0.0).max())
+            return limit**2 * (1 + 1e-6) - own + rounding + 1e-12
+        if not self.whole:
+            return limit * (1 + 1e-6) + 1e-6
+        steps = np.nan_to_num(limit / self.step * (1 + 1e-9), nan=65535.0, posinf=65535.0)
+        return np.minimum(steps + self.dims + 1, 65535.0).astype(np.uint16)
+
+
+def nearest_rows(
+    a: np.ndarray, b: np.ndarray, own: np.ndarray, ids: np.ndarray, bound: np.ndarray, mask: np.ndarray, slots: np.ndarray, k: int, p: int, strict: bool
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of ``a``, id and distance of the up to ``k`` nearest rows of ``b`` no further than ``bound``.
+
+    ``slots`` numbers the units of ``b`` (ascending); a row meets the units whose bit its ``mask`` has. ``own`` and ``ids`` are the
+    ids of the rows. Scores leave few candidates, the exact form decides.
+    """
+    limit, scores, found = bound.astype(float).copy(), _Scores(a, b, p), []
+    for slot in np.unique(slots):
+        first, last = (int(x) for x in np.searchsorted(slots, [slot, slot + 1]))
+        refs, asking = slice(first, last), np.flatnonzero(mask >> slot & 1)
+        want, size = min(k, last - first), 256 if p == 2 else 64
+        for start in range(0, len(asking), size):
+            rows = asking[start : start + size]
+            score = scores.of(rows, refs)
+            if strict:
+                same = own[rows][:, None] == ids[refs]
+            loose = np.flatnonzero(~np.isfinite(limit[rows]))
+            if len(loose) and want == k:  # the distances of the k best by score bound the true ones
+                ranked = score[loose].astype(float)
+                if strict:
+                    ranked[same[loose]] = np.inf
+                best = np.argpartition(ranked, want - 1, axis=1)[:, :want]
+                far = _exact_distances(np.repeat(a[rows[loose]], want, 0), b[first + best.ravel()], p).reshape(best.shape)
+                if strict:
+                    far[np.take_along_axis(same[loose], best, 1)] = np.inf
+                limit[rows[loose]] = np.where(np.isfinite(far).all(1), far.max(1), np.inf)
+            hit = score <= scores.edge(rows, refs, limit[rows])[:, None]
+            if strict:
+                hit &= ~same
+            i, j = np.nonzero(hit)
+            true = [_exact_distances(a[rows[i[c : c + 65536]]], b[first + j[c : c + 65536]], p) for c in range(0, len(i), 65536)]
+            true = np.concatenate([np.zeros(0), *true])
+            kept = np.isfinite(true)
+            i, near, true = i[kept], ids[first + j[kept]], true[kept]
+            order = np.lexsort((near, true, i))
+            i, near, true = i[order], near[order], true[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            full = rank == k - 1
+            limit[rows[i[full]]] = np.minimum(limit[rows[i[full]]], true[full])
+            found.append((rows[i[rank < k]], near[rank < k], true[rank < k]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    row, near, true = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((near, true, row))
+    row, near, true = row[order], near[order], true[order]
+    top = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[top], near[top], true[top]
+
+
+UNITS = 8  # units of references, and as many of queries, that a tile holds at most
+TILES = 32  # tiles wanted, while a cut has a quarter of a unit of queries
+
+
 def knn_vectors(
     queries: DataFrame,
     refs: DataFrame,
@@ -439,44 +550,26 @@ def knn_vectors(
 
     References go to the nearest of up to ``PIVOTS`` pivots, about ``per_block`` to a pivot. A query first meets the references
     of its own pivot; its k-th distance there bounds the true one, and by the triangle inequality only pivots whose
-    references can be that near are met next. Crowded pivots are cut by the hash of the id on both sides, so a tile stays at about
-    ``per_block`` rows. A tile keeps the k best per query, and the tiles are merged by a ranked top k. Ties go to the smaller id.
-    ``report`` gets the ``share`` of all pairs that were compared.
+    references can be that near are met next. Crowded pivots are cut by the hash of the id into units of about ``per_block`` rows;
+    ``UNITS`` units of neighbouring pivots and as many queries share a tile, in which a query meets the units it needs and takes
+    the references within its bound. A tile keeps the k best per query, and the tiles are merged by a ranked top k. Ties go to the
+    smaller id. ``report`` gets the ``share`` of all pairs that were compared.
     """
 
-    def kernel(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or r.empty:
-            return pd.DataFrame({"q": [], "r": [], "dist": []}).astype({"q": "int64", "r": "int64"})
-        r = r.sort_values("__id")
-        a, b = np.stack(q["__v"]).astype(float), np.stack(r["__v"]).astype(float)
-        ids = r["__id"].to_numpy()
-        parts = []
-        for start in range(0, len(a), 256):
-            chunk = a[start : start + 256]
-            d = _to_pivots(chunk, b, p)
-            if strict:
-                d[q["__id"].to_numpy()[start : start + 256][:, None] == ids] = np.inf
-            want = min(k, d.shape[1])
-            # the k-th distance plus rounding slack bounds the candidates, the exact form decides
-            edge = np.partition(d, want - 1, axis=1)[:, want - 1]
-            for i, row in enumerate(d):
-                near = np.flatnonzero(row <= edge[i] * (1 + 1e-6) + 1e-6)
-                gap = b[near] - chunk[i]
-                true = np.sqrt((gap**2).sum(1)) if p == 2 else np.abs(gap).sum(1)
-                true = np.where(np.isinf(row[near]), np.inf, true)
-                pick = np.lexsort((ids[near], true))[:want]
-                pick = pick[np.isfinite(true[pick])]
-                parts.append((q["__id"].iloc[start + i], ids[near][pick], true[pick]))
-        return pd.DataFrame(
-            {
-                "q": np.repeat([x[0] for x in parts], [len(x[1]) for x in parts]),
-                "r": np.concatenate([x[1] for x in parts]),
-                "dist": np.concatenate([x[2] for x in parts]),
-            }
-        )
-
-    left = settle(queries.select(F.col(query_id).cast("long").alias("__id"), F.col(vector).cast("array<double>").alias("__v")))
-    right = settle(refs.select(F.col(ref_id).cast("long").alias("__id"), F.col(vector).cast("array<double>").alias("__v")))
+    def kernel(q: pa.Table, r: pa.Table) -> pa.Table:
+        if not q.num_rows or not r.num_rows:
+            return pa.table({"q": pa.array([], pa.int64()), "r": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
+        r = r.sort_by([("slot", "ascending"), ("__id", "ascending")])
+        a, b = _stacked(q.column("__v")), _stacked(r.column("__v"))
+        own, ids, bound, mask, slots = (t.column(c).to_numpy() for t, c in ((q, "__id"), (r, "__id"), (q, "__bound"), (q, "mask"), (r, "slot")))
+        row, near, dist = nearest_rows(a, b, own, ids, bound, mask, slots, k, p, strict)
+        return pa.table({"q": own[row], "r": near, "dist": dist})
+
+    def read(df: DataFrame, row_id: str) -> DataFrame:
+        kept = df.schema[vector].dataType.simpleString()
+        return settle(df.select(F.col(row_id).cast("long").alias("__id"), F.col(vector).cast(kept if kept == "array<float>" else "array<double>").alias("__v")))
+
+    left, right = read(queries, query_id), read(refs, ref_id)
     n_left, n_right = left.count(), right.count()
     wanted = min(PIVOTS, blocks_for(n_right, per_block))
     # a fixed number of short vectors, taken by hash
@@ -485,7 +578,7 @@ def knn_vectors(
 
     def place(batches):
         for batch in batches:
-            rows = np.stack(batch.column("__v").to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, pivots.shape[1]))
+            rows = _stacked(batch.column("__v")) if batch.num_rows else np.zeros((0, pivots.shape[1]))
             home, far = np.zeros(len(rows), np.int32), np.zeros(len(rows))
             for i in range(0, len(rows), 1024):
                 d = _to_pivots(rows[i : i + 1024], pivots, p)
@@ -493,64 +586,91 @@ def knn_vectors(
                 far[i : i + 1024] = d.min(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(far)], names=["__id", "__v", "part", "far"])
 
-    schema = "__id long, __v array<double>, part int, far double"
-    if len(pivots) > 1:
-        left, right = settle(left.mapInArrow(place, schema)), settle(right.mapInArrow(place, schema))
-    else:
-        left, right = (t.select("*", F.lit(0).alias("part"), F.lit(0.0).alias("far")) for t in (left, right))
+    def placed(df: DataFrame) -> DataFrame:
+        if len(pivots) > 1:
+            return settle(df.mapInArrow(place, f"__id long, __v {df.schema['__v'].dataType.simpleString()}, part int, far double"))
+        return df.select("*", F.lit(0).alias("part"), F.lit(0.0).alias("far"))
+
+    left, right = placed(left), placed(right)
     held = {r["part"]: r for r in right.groupBy("part").agg(F.count("*").alias("n"), F.min("far").alias("lo"), F.max("far").alias("hi")).collect()}
-    subs = {part: blocks_for(r["n"], per_block) for part, r in held.items()}
-    compared = [0]
+    if report is not None:
+        report["share"] = 0.0
+    if not held:
+        return left.select(F.col("__id").alias(query_id), F.col("__id").alias(f"nn_{ref_id}"), F.lit(0.0).alias("dist"), F.lit(0).alias("rank")).limit(0)
+    # parts that lie near each other get neighbouring units: those of one of the first few pivots together
+    near = _to_pivots(pivots, pivots[: math.isqrt(len(pivots))], p).argmin(1) if len(pivots) > 1 else np.zeros(1, int)
+    order = sorted(held, key=lambda part: (near[part], part))
+    subs = np.array([blocks_for(held[part]["n"], per_block) for part in order])
+    begin = np.cumsum(subs) - subs
+    units = [(part, int(u), int(n)) for part, u, n in zip(order, begin, subs)]  # at most PIVOTS rows
+    known = F.broadcast(left.sparkSession.createDataFrame(units, "part int, __first int, __subs int"))
+    unit = (F.col("__first") + F.pmod(F.xxhash64("__id"), F.col("__subs"))).cast("int")
+    right = right.join(known, "part").select("__id", "__v", F.floor(unit / UNITS).cast("int").alias("group"), F.pmod(unit, F.lit(UNITS)).alias("slot"))
+    groups = -(-int(subs.sum()) // UNITS)
+    part_of = np.repeat(order, subs)
+    low, high = (np.array([held[i][c] if i in held else np.inf * sign for i in range(len(pivots))]) for c, sign in (("lo", 1), ("hi", -1)))
+    apart = _to_pivots(pivots, pivots, p)
+    compared = [0.0]
+
+    def ask(bounded: DataFrame, further: bool) -> DataFrame:
+        """Every query once for each group of units it has to meet: those of its own part, or the ``further`` ones within its bound."""
+
+        def reach(batches):
+            for batch in batches:
+                rows = _stacked(batch.column("__v")) if batch.num_rows else np.zeros((0, pivots.shape[1]))
+                home = batch.column("part").to_numpy()
+                limit = batch.column("__bound").to_numpy(zero_copy_only=False).astype(float)
+                for i in range(0, len(rows), 1024):
+                    h, at = home[i : i + 1024], np.arange(len(home[i : i + 1024]))
+                    need = np.zeros((len(h), len(pivots)), bool)
+                    if further:
+                        d = _to_pivots(rows[i : i + 1024], pivots, p)
+                        least = np.maximum(d - high, low - d)
+                        if p == 2:  # references are nearer to their pivot than to the query's
+                            with np.errstate(divide="ignore", invalid="ignore"):
+                                least = np.fmax(least, np.where(apart[h] > 0, (d**2 - d[at, h][:, None] ** 2) / (2 * apart[h]), 0.0))
+                        slack = 1e-6 * (1 + d + np.abs(rows[i : i + 1024]).sum(1)[:, None])
+                        need = (least <= limit[i : i + 1024][:, None] + slack) & np.isfinite(low)
+                    need[at, h] = not further
+                    bits = np.zeros((len(h), groups * UNITS), bool)
+                    bits[:, : len(part_of)] = need[:, part_of]
+                    masks = bits.reshape(len(h), groups, UNITS) @ (1 << np.arange(UNITS, dtype=np.int32))
+                    which, group = np.nonzero(masks)
+                    taken = batch.slice(i, len(h)).take(pa.array(which))
+                    columns = [*[taken.column(c) for c in ("__id", "__v", "__bound")], pa.array(group.astype(np.int32)), pa.array(masks[which, group].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["__id", "__v", "__bound", "group", "mask"])
+
+        return bounded.mapInArrow(reach, f"__id long, __v {left.schema['__v'].dataType.simpleString()}, __bound double, group int, mask int")
+
+    filled = {(r["group"], r["slot"]): r["count"] for r in right.groupBy("group", "slot").count().collect()} if report is not None else {}
 
     def tiles(asked: DataFrame) -> DataFrame:
-        """The k best per query inside each tile of (part, cut of the references, cut of the queries)."""
-        sizes = {r["part"]: r["count"] for r in asked.groupBy("part").count().collect() if r["part"] in held}
-        compared[0] += sum(held[part]["n"] * n for part, n in sizes.items())
-        cuts = [(part, subs[part], blocks_for(n, per_block)) for part, n in sizes.items()]
-        known = F.broadcast(left.sparkSession.createDataFrame(cuts, "part int, __subs int, __cuts int"))  # at most PIVOTS rows
-        cut = lambda c: F.pmod(F.xxhash64("__id"), F.col(c)).cast("int")
-        each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        q = asked.join(known, "part").withColumn("qcut", cut("__cuts")).withColumn("rcut", each("__subs"))
-        r = right.join(known, "part").withColumn("rcut", cut("__subs")).withColumn("qcut", each("__cuts"))
-        keys = ["part", "rcut", "qcut"]
-        both = q.select(*keys, "__id", "__v").groupBy(*keys).cogroup(r.select(*keys, "__id", "__v").groupBy(*keys))
-        return both.applyInPandas(lambda a, b: kernel(a, b), "q long, r long, dist double")
+        """The k best per query inside each tile of a group of units and a cut of its queries."""
+        met = [F.sum(F.col("mask").bitwiseAND(1 << i) / (1 << i)).alias(f"m{i}") for i in range(UNITS)]
+        sizes = asked.groupBy("group").agg(F.count("*").alias("n"), *met).collect()  # a row per group
+        compared[0] += sum(filled.get((r["group"], i), 0) * r[f"m{i}"] for r in sizes for i in range(UNITS))
+        share = -(-TILES // max(1, len(sizes)))
+        cuts = [(r["group"], max(blocks_for(r["n"], per_block * UNITS), min(share, blocks_for(r["n"], -(-per_block // 4))))) for r in sizes]
+        many = max(1, 2 * sum(n for _, n in cuts))
+        cut = F.broadcast(left.sparkSession.createDataFrame(cuts, "group int, __cuts int"))
+        q = asked.join(cut, "group").withColumn("cut", F.pmod(F.xxhash64("__id"), F.col("__cuts")).cast("int")).drop("__cuts")
+        r = right.join(cut, "group").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("__cuts") - 1))).drop("__cuts")
+        # Spark would size tasks by bytes, of which tiles have few for their work
+        q, r = (t.repartition(many, "group", "cut").groupBy("group", "cut") for t in (q, r))
+        return q.cogroup(r).applyInArrow(kernel, "q long, r long, dist double")
 
     best = Window.partitionBy("q").orderBy("dist", "r")
 
     def top(close: DataFrame) -> DataFrame:
         return close.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
-    found = top(tiles(left))
+    found = top(tiles(settle(ask(left.withColumn("__bound", F.lit(float("inf"))), False))))
     if len(pivots) > 1:
         found = settle(found)
         bound = found.groupBy("q").agg(F.count("*").alias("n"), F.max("dist").alias("d")).where(F.col("n") >= k)
-        bounded = left.join(bound.select(F.col("q").alias("__id"), F.col("d").alias("__bound")), "__id", "left")
-        low, high = (np.array([held[i][c] if i in held else np.inf * sign for i in range(len(pivots))]) for c, sign in (("lo", 1), ("hi", -1)))
-        apart = _to_pivots(pivots, pivots, p)
-
-        def reach(batches):
-            """The further parts that a query has to meet."""
-            for batch in batches:
-                rows = np.stack(batch.column("__v").to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, pivots.shape[1]))
-                home = batch.column("part").to_numpy()
-                limit = np.nan_to_num(batch.column("__bound").to_numpy(zero_copy_only=False).astype(float), nan=np.inf)
-                for i in range(0, len(rows), 1024):
-                    d, h = _to_pivots(rows[i : i + 1024], pivots, p), home[i : i + 1024]
-                    least = np.maximum(d - high, low - d)
-                    if p == 2:  # references are nearer to their pivot than to the query's
-                        own = d[np.arange(len(h)), h][:, None]
-                        with np.errstate(divide="ignore", invalid="ignore"):
-                            least = np.fmax(least, np.where(apart[h] > 0, (d**2 - own**2) / (2 * apart[h]), 0.0))
-                    slack = 1e-6 * (1 + d + np.abs(rows[i : i + 1024]).sum(1)[:, None])
-                    need = least <= limit[i : i + 1024][:, None] + slack
-                    need[np.arange(len(h)), h] = False
-                    at, part = np.nonzero(need & np.isfinite(low))
-                    taken = batch.slice(i, len(h)).take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays([taken.column("__id"), taken.column("__v"), pa.array(part.astype(np.int32))], names=["__id", "__v", "part"])
-
-        further = settle(bounded.select("__id", "__v", "part", "__bound").mapInArrow(reach, "__id long, __v array<double>, part int"))
-        found = top(found.drop("rank").unionByName(tiles(further)))
+        bounded = left.join(bound.select(F.col("q").alias("__id"), F.col("d")), "__id", "left")
+        bounded = bounded.withColumn("__bound", F.coalesce("d", F.lit(float("inf"))))
+        found = top(found.drop("rank").unionByName(tiles(settle(ask(bounded, True)))))
     if report is not None:
         report["share"] = compared[0] / max(1, n_left * n_right)
     return found.select(F.col("q").alias(query_id), F.col("r").alias(f"nn_{ref_id}"), "dist", "rank")
