@@ -6,6 +6,7 @@ Series are long tables ``(keys, pos, value)`` with dense 0-based positions. Prof
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -21,7 +22,7 @@ BLOCK = 512  # windows of a piece, at least
 MAX_BLOCK = 32_768  # and at most
 SIDE = 32  # blocks that the longest series is cut into while they are below MAX_BLOCK
 PAIRS = 1 << 20  # window pairs that a task holds at once
-TASK_PAIRS, TASK_VALUES, MAX_PARTS = 1 << 25, 1 << 22, 20_000  # work of a task
+TASK_PAIRS, TASK_VALUES, TASK_PIECES, MAX_PARTS = 1 << 25, 1 << 22, 1024, 20_000  # work of a task
 FRESH = 256  # rows after which rolled covariances are computed afresh
 TIE, LOOSE = 1e-9, 1e-6  # difference of correlations that rolling may have caused, at least and at most
 
@@ -221,12 +222,11 @@ def rolled_nearest(a: np.ndarray, b: np.ndarray, m: int, zone, both: bool) -> li
 def direct_nearest(a: np.ndarray, b: np.ndarray, m: int, zone, both: bool) -> list[tuple[np.ndarray, np.ndarray]]:
     """As ``rolled_nearest``, from the matrix of all distances; for small pieces."""
     d = window_distances(a, b, m)
+    apart = np.arange(d.shape[1]) - np.arange(d.shape[0])[:, None]
     out = []
     for side in range(1 + both):
-        shut = d.copy()
-        for i in range(len(d)):
-            low, high = zone(i)[side]
-            shut[i, max(0, low) : max(0, high)] = np.inf
+        low, high = zone(0)[side]  # the ranges move with i
+        shut = np.where((apart >= low) & (apart < high), np.inf, d)
         shut = shut.T if side else shut
         at = shut.argmin(1)
         low = shut[np.arange(len(at)), at]
@@ -293,9 +293,9 @@ def merged(found: DataFrame, keys: Sequence[str]) -> DataFrame:
     return least.select(*keys, "pos", F.col("b.mp").alias("mp"), F.col("b.mp_idx").alias("mp_idx"))
 
 
-def spread_tiles(tiles: DataFrame, keys: Sequence[str], pairs: float, values: float) -> DataFrame:
-    """Tiles over tasks by their number of window pairs and values; Spark would size tasks by bytes, of which tiles have few."""
-    parts = int(min(MAX_PARTS, max(1, pairs // TASK_PAIRS, values // TASK_VALUES) + 1))
+def spread_tiles(tiles: DataFrame, keys: Sequence[str], pairs: float, values: float, number: float = 0) -> DataFrame:
+    """Tiles over tasks by their window pairs, values and number; Spark would size tasks by bytes, of which tiles have few."""
+    parts = int(min(MAX_PARTS, max(1, pairs // TASK_PAIRS, values // TASK_VALUES, number // TASK_PIECES) + 1))
     return tiles.repartition(parts, *keys, "ref_start", "start")
 
 
@@ -341,8 +341,8 @@ def matrix_profile(
     refs = refs.join(last, keys).where(first <= F.col("__last")).withColumn("block", F.explode(F.sequence(first, F.col("__last"))))
     tiles = refs.join(right.select(*keys, "block", "start", "x"), [*keys, "block"]).select(*keys, "ref_start", "ref_x", "start", "x")
     windows = lambda t, c: t.groupBy(*keys).agg(F.sum(F.size("x").cast("double")).alias(c), F.count("*").alias(f"{c}_blocks"))
-    work = windows(kept, "a").join(windows(right, "b"), keys).agg(F.sum(F.col("a") * F.col("b")), F.sum(F.col("a") * F.col("b_blocks") + F.col("b") * F.col("a_blocks"))).first()
-    spread = spread_tiles(tiles, keys, work[0] or 0.0, work[1] or 0.0)
+    work = windows(kept, "a").join(windows(right, "b"), keys).agg(F.sum(F.col("a") * F.col("b")), F.sum(F.col("a") * F.col("b_blocks") + F.col("b") * F.col("a_blocks")), F.sum(F.col("a_blocks") * F.col("b_blocks"))).first()
+    spread = spread_tiles(tiles, keys, *(w or 0 for w in work))
     return merged(tile_minima(spread, keys, m, exclude=self_join, both=symmetric), keys)
 
 
@@ -459,33 +459,45 @@ def motifs(
     eps = float(np.finfo(float).eps)
 
     def inside(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                d = window_distances(np.asarray(row.x, float), np.asarray(row.q, float), m)[:, 0]
-                pos = row.start + np.arange(len(d))
-                ok = ~excluded(np.array([row.at]), pos, m)[0] & (d < row.d * radius)
-                for c in row.taken:
+        for batch in batches:
+            owner, where, dist = [], [], []
+            columns = [batch.column(c).to_pylist() for c in ("start", "at", "d")]
+            lists = [batch.column(c) for c in ("x", "q", "taken")]
+            for r, (start, at, limit) in enumerate(zip(*columns)):
+                x, q, taken = (c[r].values.to_numpy(zero_copy_only=False) for c in lists)
+                d = window_distances(x.astype(float), q.astype(float), m)[:, 0]
+                hit = np.flatnonzero(d < limit * radius)
+                pos = start + hit
+                ok = ~excluded(np.array([at]), pos, m)[0]
+                for c in taken.tolist():
                     ok &= (pos < np.floor(c - zone)) | (pos > np.floor(c + zone))
-                out = pd.DataFrame({"pos": pos[ok], "dist": d[ok]})
-                for k in keys:
-                    out[k] = getattr(row, k)
-                yield out[[*keys, "pos", "dist"]]
-
-    def grow(key, seed: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        if seed.empty:
-            return pd.DataFrame(columns=[*keys, "members"])
-        members = [int(v) for v in seed["first"].iloc[0]]
-        chosen: list[int] = []
-        for p in near.sort_values(["dist", "pos"])["pos"]:
-            if n_neighbors is not None and len(members) + len(chosen) >= n_neighbors:
-                break
-            if all(not (np.floor(c - zone) <= p <= np.floor(c + zone)) for c in chosen):
-                chosen.append(int(p))
-        out = pd.DataFrame({"members": [sorted(members + chosen)]})
-        for k, v in zip(keys, key):
-            out[k] = v
-        return out[[*keys, "members"]]
-
+                owner.append(np.full(int(ok.sum()), r))
+                where.append(pos[ok])
+                dist.append(d[hit[ok]])
+            if owner:
+                take = pa.array(np.concatenate(owner))
+                places = pa.array(np.concatenate(where).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(take) for k in keys], places, pa.array(np.concatenate(dist))], names=[*keys, "pos", "dist"])
+
+    def grow(batches):
+        for batch in batches:
+            grown = []
+            for first, near in zip(batch.column("first").to_pylist(), batch.column("near")):
+                members, chosen = list(first), []
+                pos = near.values.field("pos").to_numpy() if near.is_valid else np.zeros(0, np.int32)
+                low = int(pos.min()) if len(pos) else 0
+                shut = np.zeros(int(pos.max()) - low + 1 if len(pos) else 0, bool)
+                for p in pos.tolist():  # nearest first, each closing its zone
+                    if n_neighbors is not None and len(members) + len(chosen) >= n_neighbors:
+                        break
+                    if not shut[p - low]:
+                        chosen.append(p)
+                        shut[max(0, math.floor(p - zone) - low) : max(0, math.floor(p + zone) - low + 1)] = True
+                grown.append(sorted(members + chosen))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(grown, pa.list_(pa.int32()))], names=[*keys, "members"])
+
+    # Spark would size tasks by bytes, of which pieces have few for their work
+    parts = int(min(MAX_PARTS, pieces.count() // TASK_PIECES + 1))
     found = None
     for number in range(1, max_motifs + 1):
         open_rows = rows.join(state.select(*keys, "__shut"), keys).where(_free(F.col("__shut"), zone))
@@ -500,8 +512,9 @@ def motifs(
         home = home.where((F.col("at") >= F.col("__home")) & (F.col("at") < F.col("__home") + size))
         query = home.select(*keys, F.slice("__x", F.col("at") - F.col("__home") + 1, m).alias("q"))
         asked = seeds.select(*keys, "at", "d", F.concat("first", "__kept").alias("taken")).join(query, keys)
-        near = pieces.select(*keys, "start", "x").join(asked, keys).mapInPandas(inside, f"{key_types}, pos int, dist double")
-        sets = seeds.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInPandas(grow, f"{key_types}, members array<int>")
+        near = pieces.select(*keys, "start", "x").join(asked, keys).repartition(parts, *keys).mapInArrow(inside, f"{key_types}, pos int, dist double")
+        near = near.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dist", "pos"))).alias("near"))
+        sets = seeds.select(*keys, "first").join(near, keys, "left").repartition(parts, *keys).mapInArrow(grow, f"{key_types}, members array<int>")
         real = F.size("members") >= 2
         grown = state.join(seeds.select(*keys, "d"), keys, "left").join(sets, keys, "left").withColumn("members", F.coalesce("members", none))
         state = settle(
