@@ -15,7 +15,7 @@ from minekit.functions.text import (
     part_score,
 )
 from minekit.operators.joins import fuzzy_lookup
-from minekit.scale import settle
+from minekit.scale import blocks_for, settle
 
 # Special spellings of places.
 STATE_ALIASES = {"Hawaiʻi": "Hawaii"}
@@ -46,13 +46,17 @@ def place_scores(df: DataFrame, present: str = "coord_presence") -> DataFrame:
     )
 
 
+ROWS = 10_000  # rows that a task scores
+
+
 def reconcile_place(df: DataFrame, dim: DataFrame, *, state: str, county: str) -> DataFrame:
     """Geocoded place when the three scores add up to 1 or more, else the dictionary's place.
 
     ``dim`` lists (state, county) names. Names of accepted rows are blanked before the dictionary lookup, so
     only rows that failed take part in the typo search.
     """
-    scored = settle(place_scores(df))  # the Python scores feed both lookups and the result
+    # a small file of many rows would be scored by one task; written once, the scores feed both lookups and the result
+    scored = settle(place_scores(df.repartition(blocks_for(df.count(), ROWS))))
     total = F.col("state_consistency") + F.col("county_consistency") + F.col("address_consistency")
     scored = scored.withColumn("__ok", F.col("coord_presence") & (total >= 1))
     ok = F.coalesce(F.col("__ok"), F.lit(False))
