@@ -59,36 +59,42 @@ def _rank_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataF
 def inversions(values: np.ndarray, weights: np.ndarray) -> int:
     """Sum of ``weights[i] * weights[j]`` over ``i < j`` with ``values[i] > values[j]``.
 
-    Merging from the bottom up, all blocks of a level at once: each element of a right half meets the weight of the larger
-    ones in the left half.
+    By the bits of the values' ranks, highest first: elements that agree in the higher bits stand together in their first order,
+    each one whose bit is 0 meets the weight of those before it whose bit is 1. A step per bit, few where values are few.
     """
     n = len(values)
     if n < 2:
         return 0
     rank = np.unique(values, return_inverse=True)[1].astype(np.int64)
-    kinds, place = int(rank.max()) + 1, np.arange(n)
+    kinds = int(rank.max()) + 1
     if int(weights.sum(dtype=object)) ** 2 >= 1 << 62:
         weights = weights.astype(object)  # products beyond a long
-    total, width = 0, 1
-    while width < n:
-        block, right = place // (2 * width), place // width % 2
-        order = np.argsort((block * kinds + rank) * 2 + right)  # in a block by value, equal ones from the left first
-        left = np.where(right[order] == 0, weights[order], 0)
-        seen = np.cumsum(left)
-        ends = np.searchsorted(block[order], np.arange(block[-1] + 1), side="right") - 1
-        larger = seen[ends][block[order]] - seen  # in the left half of the own block
-        hit = right[order] == 1
-        total += int((weights[order][hit] * larger[hit]).sum())
-        width *= 2
+    total, place = 0, np.arange(n)
+    for bit in reversed(range((kinds - 1).bit_length())):
+        one = rank >> bit & 1 == 1
+        higher = rank >> (bit + 1)
+        begin = np.concatenate([[True], higher[1:] != higher[:-1]])
+        first = np.maximum.accumulate(np.where(begin, place, 0))
+        ones = np.concatenate([[0], np.cumsum(np.where(one, weights, 0))])
+        zero = ~one
+        total += int((weights[zero] * (ones[:-1][zero] - ones[first[zero]])).sum())
+        # stable by the bit inside each run: zeros keep their order, then ones
+        zeros = np.concatenate([[0], np.cumsum(zero)])
+        last = np.append(np.flatnonzero(begin)[1:], n)[np.cumsum(begin) - 1]
+        to = np.where(zero, first + zeros[:-1] - zeros[first], place + zeros[last] - zeros[:-1])
+        moved, kept = np.empty_like(rank), np.empty_like(weights)
+        moved[to], kept[to] = rank, weights
+        rank, weights = moved, kept
     return total
 
 
 def discordant(cells: DataFrame) -> DataFrame:
     """Weighted number of discordant pairs per group: ``g, d``, from distinct ``(g, x, y)`` with counts ``n``.
 
-    In the order of (x, y) a pair is discordant if its y's are inverted. Cells are cut into ranges of (x, y) and into ranges of
-    (y, x). Pairs inside a range of either kind are counted there; of all others the two range numbers tell, and the
-    counts per pair of range numbers are a smaller problem of the same kind.
+    In the order of (x, y) a pair is discordant if its y's are inverted. Cells are cut into ranges of (x, y). Pairs inside a range
+    are counted there; of all others the range numbers and the y's tell, and the counts per range and y are a smaller problem of
+    the same kind wherever y has few values. Other groups are cut into ranges of (y, x) as well: pairs inside a range of either
+    kind are counted there, and the counts per pair of range numbers are the smaller problem.
     """
     parts = -(-cells.count() // CELLS)
 
@@ -106,11 +112,20 @@ def discordant(cells: DataFrame) -> DataFrame:
     if parts <= 1:
         return cells.groupBy("g").applyInArrow(count(("x", "y")), found)
     by_x = settle(cells.repartitionByRange(parts, "g", "x", "y").withColumn("r", F.spark_partition_id()))
-    by_y = settle(by_x.repartitionByRange(parts, "g", "y", "x").withColumn("s", F.spark_partition_id()))
     inside = by_x.groupBy("r").applyInArrow(count(("x", "y")), found)
-    across = by_y.groupBy("s").applyInArrow(count(("r", "y")), found)
-    table = settle(by_y.groupBy("g", F.col("r").cast("double").alias("x"), F.col("s").cast("double").alias("y")).agg(F.sum("n").alias("n")))
-    both = inside.unionByName(across).unionByName(discordant(table))
+    r = F.col("r").cast("double").alias("x")
+    by_value = settle(by_x.groupBy("g", r, "y").agg(F.sum("n").alias("n")))
+    # one row per group: is the table of ranges and y's at most half as long as its cells?
+    sizes = by_x.groupBy("g").agg(F.count("*").alias("cells")).join(by_value.groupBy("g").agg(F.count("*").alias("kept")), "g")
+    few = [row["g"] for row in sizes.where("2 * kept <= cells").collect()]
+    table, rest = by_value.where(F.col("g").isin(few)), by_x.where(~F.col("g").isin(few))
+    both = inside
+    if not rest.isEmpty():
+        share = max(1, -(-rest.count() // CELLS))
+        by_y = settle(rest.repartitionByRange(share, "g", "y", "x").withColumn("s", F.spark_partition_id()))
+        both = both.unionByName(by_y.groupBy("s").applyInArrow(count(("r", "y")), found))
+        table = table.unionByName(by_y.groupBy("g", r, F.col("s").cast("double").alias("y")).agg(F.sum("n").alias("n")))
+    both = both.unionByName(discordant(settle(table)))
     return both.groupBy("g").agg(F.sum("d").alias("d"))
 
 
@@ -119,14 +134,19 @@ def _kendall(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     cell = [F.struct(F.lit(i).alias("g"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, (a, b) in enumerate(pairs)]
     cells = df.select(F.inline(F.array(*cell))).where("x is not null and y is not null").groupBy("g", "x", "y")
     cells = settle(cells.agg(F.count("*").alias("n")))
-
-    def tied(*by: str, name: str) -> DataFrame:
-        groups = cells.groupBy("g", *by).agg(F.sum("n").cast("double").alias("n"))
-        return groups.groupBy("g").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias(name))
-
-    known = tied(name="all")
-    for part in (tied("x", name="in_x"), tied("y", name="in_y"), tied("x", "y", name="in_both"), discordant(cells)):
-        known = known.join(part, "g")
+    ties = F.sum(F.col("n") * (F.col("n") - 1) / 2)
+
+    def tied(by: str) -> DataFrame:
+        groups = cells.groupBy("g", by).agg(F.sum("n").cast("double").alias("n"))
+        return groups.groupBy("g").agg(ties.alias(f"in_{by}"), F.count("*").alias(f"kinds_{by}"))
+
+    n = F.sum("n").cast("double")
+    known = settle(cells.groupBy("g").agg((n * (n - 1) / 2).alias("all"), F.sum(F.col("n").cast("double") * (F.col("n").cast("double") - 1) / 2).alias("in_both")).join(tied("x"), "g").join(tied("y"), "g"))
+    # discordance is the same either way round: the column of fewer values is y
+    turned = [row["g"] for row in known.where("kinds_y > kinds_x").collect()]  # at most a row per pair
+    turn = F.col("g").isin(turned)
+    x, y = F.when(turn, F.col("y")).otherwise(F.col("x")), F.when(turn, F.col("x")).otherwise(F.col("y"))
+    known = known.join(discordant(cells.select("g", x.alias("x"), y.alias("y"), "n")), "g")
     score = F.col("all") - F.col("in_x") - F.col("in_y") + F.col("in_both") - 2 * F.col("d").cast("double")
     tau = F.try_divide(score, F.sqrt((F.col("all") - F.col("in_x")) * (F.col("all") - F.col("in_y"))))
     names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "g int, a string, b string")
