@@ -6,15 +6,19 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from minekit.operators.joins import column_pairs, knn_vectors
 from minekit.operators.profile import row_hash, sample
-from minekit.scale import all_present, attach, one_row, settle, tile_join
+from minekit.scale import all_present, attach, block_pairs, blocks_for, one_row, settle, tile_join
 
 MANY = 256  # clusters that one row may look through
+BLOCKS = 16  # blocks of a quadratic job whose rows all fit them
+BLOCK_CELLS = 1 << 22  # numbers that a block may hold
+TILE = 256, 1024  # rows whose distances stay in the cache
 
 
 def point(cols: Sequence[str]) -> Column:
@@ -105,42 +109,97 @@ def _silhouette_many(df: DataFrame, cols: Sequence[str], cluster: str, each: Dat
     return marked.withColumn("silhouette", _silhouette(F.col("__own.n"), a, F.col("__b"))).drop("__id", "__x", "__own", "__b").select(*df.columns, "silhouette")
 
 
+def _blocks(rows: int, cells: int) -> int:
+    """Blocks for ``rows`` of ``cells`` numbers: of 4096 rows at least, and no more than ``BLOCKS`` unless they grow too large for that."""
+    return max(blocks_for(rows, max(4096, BLOCK_CELLS // cells)), min(BLOCKS, blocks_for(rows, 4096)))
+
+
+def _distance_sums(a: np.ndarray, b: np.ndarray | None, starts: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Sums of the Euclidean distances of the rows of ``a`` to each run of rows of ``b`` (``others``: their starts), and of the rows of ``b`` to
+    the runs of ``a`` (``starts``). Without ``b``, the rows of ``a`` meet each other.
+    """
+    same = b is None
+    b = a if same else b
+    sums, back = np.zeros((len(a), len(others))), None if same else np.zeros((len(b), len(starts)))
+    lengths, wide = (b**2).sum(1), (a**2).sum(1)
+
+    def runs(cuts, lo, hi):
+        """Numbers of the runs that lie in lo..hi, and where they start there."""
+        first = int(np.searchsorted(cuts, lo, "right")) - 1
+        last = int(np.searchsorted(cuts, hi, "left"))
+        return slice(first, last), np.maximum(cuts[first:last], lo) - lo
+
+    for j in range(0, len(b), TILE[1]):
+        held = b[j : j + TILE[1]]
+        turned, square = np.ascontiguousarray(-2.0 * held.T), lengths[j : j + TILE[1]]
+        most, (over, at) = square.max(), runs(others, j, j + len(held))
+        for i in range(0, len(a), TILE[0]):
+            part, own = a[i : i + TILE[0]], wide[i : i + TILE[0], None]
+            d = part @ turned
+            d += own
+            d += square
+            # there the short form is not exact enough, for copies above all
+            for r in np.flatnonzero(d.min(1) <= 1e-5 * (own[:, 0] + most)):
+                near = np.flatnonzero(d[r] <= 1e-5 * (own[r] + square))
+                d[r, near] = ((part[r] - held[near]) ** 2).sum(1)
+            np.sqrt(d, out=d)
+            sums[i : i + TILE[0], over] += np.add.reduceat(d, at, axis=1)
+            if not same:
+                mine, rows = runs(starts, i, i + len(part))
+                back[j : j + TILE[1], mine] += np.add.reduceat(d, rows, axis=0).T
+    return sums, back
+
+
 def silhouette_euclidean(
-    df: DataFrame, cols: Sequence[str], cluster: str, row_id: str, per_block: int = 4096
+    df: DataFrame, cols: Sequence[str], cluster: str, row_id: str, per_block: int | None = None
 ) -> DataFrame:
-    """Silhouette per row with plain Euclidean distances: exact and quadratic, reduced inside tiles."""
-    data = df.select(F.col(row_id).cast("long").alias("id"), F.col(cluster).cast("string").alias("label"), point(cols).alias("v"))
+    """Silhouette per row with plain Euclidean distances: exact and quadratic, reduced inside tiles.
 
-    def kernel(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if p.empty or q.empty:
-            return pd.DataFrame({"id": [], "own": [], "label": [], "total": [], "n": []}).astype({"id": "int64", "n": "int64"})
-        a, b = np.stack(p["v"]), np.stack(q["v"])
-        labels, code = np.unique(q["label"].to_numpy(str), return_inverse=True)
-        hot = np.eye(len(labels))[code]
-        sums = np.empty((len(a), len(labels)))
-        lengths, wide = (b**2).sum(1), (a**2).sum(1)
-        for i in range(0, len(a), 256):
-            part = a[i : i + 256]
-            d = part @ (-2.0 * b.T)
-            d += wide[i : i + 256, None]
-            d += lengths
-            # there the short form is not exact enough, for copies above all
-            near = np.nonzero(d <= 1e-5 * (wide[i : i + 256, None] + lengths))
-            for at in range(0, len(near[0]), 1 << 14):
-                r, c = near[0][at : at + (1 << 14)], near[1][at : at + (1 << 14)]
-                d[r, c] = ((part[r] - b[c]) ** 2).sum(1)
-            sums[i : i + 256] = np.sqrt(d, out=d) @ hot
-        return pd.DataFrame(
+    A distance is taken once for both its rows. Blocks are as large as ``BLOCK_CELLS`` allows once there are ``BLOCKS`` of them, so a
+    row is written a few times and not once per few thousand rows. ``per_block`` fixes their rows.
+    """
+    data = df.select(F.col(row_id).cast("long").alias("id"), F.col(cluster).cast("string").alias("label"), point(cols).alias("v"))
+    if per_block is None:
+        rows, labels = data.agg(F.count("*"), F.approx_count_distinct("label")).first()
+        blocks = _blocks(rows, len(cols) + labels)
+    else:
+        blocks = blocks_for(data.count(), per_block)
+
+    def by_label(rows: pa.Table):
+        """Ids, vectors and labels of the rows in the order of the labels, the labels that occur and where they start."""
+        label = rows.column("label").fill_null("None").to_numpy().astype(str)
+        order = np.argsort(label, kind="stable")
+        names, starts = np.unique(label[order], return_index=True)
+        v = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(label), -1)
+        return rows.column("id").combine_chunks().take(pa.array(order)), v[order], label[order], names, starts
+
+    def table(ids, own, sums, names, starts, many) -> pa.Table:
+        n, k = sums.shape
+        row, sizes = np.repeat(np.arange(n), k), np.diff([*starts, many])
+        held, of = np.unique(own, return_inverse=True)
+        text = lambda known, number: pa.array(known.tolist(), pa.string()).take(pa.array(number))
+        return pa.table(
             {
-                "id": np.repeat(p["id"].to_numpy(), len(labels)),
-                "own": np.repeat(p["label"].to_numpy(str), len(labels)),
-                "label": np.tile(labels, len(a)),
-                "total": sums.ravel(),
-                "n": np.tile(hot.sum(0).astype(int), len(a)),
+                "id": ids.take(pa.array(row)),
+                "own": text(held, of[row]),
+                "label": text(names, np.tile(np.arange(k), n)),
+                "total": pa.array(sums.ravel()),
+                "n": pa.array(np.tile(sizes, n), pa.int64()),
             }
         )
 
-    parts = tile_join(data, data, "id", "id", kernel, "id long, own string, label string, total double, n long", per_block=per_block)
+    def kernel(p: pa.Table, q: pa.Table | None) -> pa.Table:
+        if q is not None and not (p.num_rows and q.num_rows):
+            return pa.table({"id": pa.array([], pa.int64()), "own": pa.array([], pa.string()), "label": pa.array([], pa.string()), "total": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
+        ids, a, own, names, starts = by_label(p)
+        if q is None:
+            return table(ids, own, _distance_sums(a, None, starts, starts)[0], names, starts, len(a))
+        other_ids, b, others, other_names, other_starts = by_label(q)
+        sums, back = _distance_sums(a, b, starts, other_starts)
+        return pa.concat_tables([table(ids, own, sums, other_names, other_starts, len(b)), table(other_ids, others, back, names, starts, len(a))])
+
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    parts = block_pairs(data, block, blocks, kernel, "id long, own string, label string, total double, n long")
     sums = parts.groupBy("id", "own", "label").agg(F.sum("total").alias("t"), F.sum("n").alias("n"))
     mine = F.col("own") == F.col("label")
     per = sums.groupBy("id").agg(
