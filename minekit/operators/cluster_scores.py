@@ -147,6 +147,8 @@ def _distance_sums(a: np.ndarray, b: np.ndarray | None, starts: np.ndarray, othe
             if not same:
                 mine, rows = runs(starts, i, i + len(part))
                 back[j : j + TILE[1], mine] += np.add.reduceat(d, rows, axis=0).T
+    for found in (sums,) if same else (sums, back):
+        found[~np.isfinite(found).all(1)] = np.nan  # a vector with a missing number leaves no sums of those that met it
     return sums, back
 
 
@@ -183,7 +185,7 @@ def silhouette_euclidean(
                 "id": ids.take(pa.array(row)),
                 "own": text(held, of[row]),
                 "label": text(names, np.tile(np.arange(k), n)),
-                "total": pa.array(sums.ravel()),
+                "total": pa.array(sums.ravel(), from_pandas=True),  # NaN becomes null
                 "n": pa.array(np.tile(sizes, n), pa.int64()),
             }
         )
